@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,6 +48,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def let_workers_import(spark: SparkSession) -> None:
+    """Put this package's folder on the Python workers' path, for a checkout on a shared file system.
+
+    A cluster without one gets the package through --py-files as usual.
+    """
+    root = str(Path(__file__).resolve().parent.parent)
+    environment = spark.sparkContext.environment
+    have = environment.get("PYTHONPATH", "")
+    if root not in have.split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, have) if x)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables of a data directory."""
+    let_workers_import(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
