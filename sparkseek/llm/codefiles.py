@@ -17,6 +17,14 @@ def task_count(spark: SparkSession, per_core: int = 4) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), per_core * spark.sparkContext.defaultParallelism)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` in enough partitions for a CPU-heavy stage: as scanned if the scan gives enough, else shuffled once."""
+    context = df.sparkSession.sparkContext
+    if df.rdd.getNumPartitions() >= 2 * context.defaultParallelism:
+        return df
+    return df.repartition(task_count(df.sparkSession))
+
+
 def extension(path: Column) -> Column:
     """The extension with its dot in lower case; empty if there is none."""
     return F.lower(F.regexp_extract(path, r"\.[^./\\]*$", 0))

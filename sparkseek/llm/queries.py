@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import table
 from .codefiles import FILE
+from .leakage import leaked_items
 from .parsing import parse_rates, unparsable_files
+from .secrets import redacted_chunks, secret_places
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,10 +20,20 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "code_chunks")
 
 
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "p5_found": lambda s, d: unparsable_files(_chunks(s, d)).select(*FILE),
         "p5_failures": lambda s, d: unparsable_files(_chunks(s, d)).drop("valid"),
+        "p7_found": lambda s, d: secret_places(_chunks(s, d)).select("row_id", "line_no").distinct(),
+        "p7_kinds": lambda s, d: secret_places(_chunks(s, d)).groupBy("kind").agg(F.count(F.lit(1)).alias("places"), F.countDistinct("row_id").alias("records")),
+        "p7_redacted": lambda s, d: redacted_chunks(_chunks(s, d)),
+        "p8_found": lambda s, d: _leaks(s, d).filter("exact").select("doc_id", "item_id"),
+        "p8_leaks": _leaks,
+        "p8_items": lambda s, d: _leaks(s, d).filter("exact").groupBy("item_id").agg(F.count(F.lit(1)).alias("leaking_docs"), F.max("matched_chars").alias("longest")),
         "p5_rates": lambda s, d: parse_rates(_chunks(s, d)),
     }
 

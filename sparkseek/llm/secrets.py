@@ -25,7 +25,8 @@ from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from .codefiles import spread
 
 # Words that explain text in names and literals.
 WORDS = frozenset(
@@ -130,9 +131,12 @@ def _flat(name: str) -> str:
     return re.sub(r"[\W_]+", "_", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", name)).strip("_").lower()
 
 
+@lru_cache(maxsize=65536)
 def asks_for_credential(name: str) -> bool:
     """Whether a name means a credential, as `dbPassword` does and `passwordLabel` and `sortKey` do not."""
     flat = _flat(name)
+    if not flat:
+        return False
     return bool(_CREDENTIAL_NAME.search(flat) or _CREDENTIAL_NAME.search(flat.replace("_", ""))) and not (_OTHER_NAME.search(flat) or re.search(r"label|header$|tokenheader|budget|keyid|sortkey", flat.replace("_", "").replace("authheader", "").replace("authorizationheader", "")))
 
 
@@ -149,13 +153,18 @@ def _mixed(run: str) -> bool:
     return classes >= 2 and len(set(run)) >= 8
 
 
+_NOTABLE = re.compile(r"://|-----BEGIN|[A-Za-z0-9_.-]{14}|^\s*(?:Basic|Bearer|Token|Digest|ApiKey)\s", re.I)
+
+
 def classify(name: str, value: str) -> list[Span]:
     """Credential spans of one literal value given to `name`; offsets count from the value's start."""
+    if len(value) < 6 or not (_NOTABLE.search(value) or asks_for_credential(name)):
+        return []
     spans: list[Span] = []
-    for m in _URL.finditer(value):
+    for m in _URL.finditer(value) if "://" in value else ():
         if not _placeholder(m[2]):
             spans.append(Span(m.start(2), m.end(2), "url"))
-    for m in _HOOK.finditer(value):
+    for m in _HOOK.finditer(value) if "://" in value else ():
         if not _placeholder(m[1]) and len(residual(m[1])) >= 8:
             spans.append(Span(m.start(1), m.end(1), "webhook"))
     if spans:
@@ -183,7 +192,7 @@ def classify(name: str, value: str) -> list[Span]:
         return []
     if asks_for_credential(name):
         if _PASSWORD_NAME.search(_flat(name)):
-            return whole if len(bare) >= 6 and not re.fullmatch(r"[a-z]+|[\d.]+", bare) and (re.search(r"\d", bare) or not re.search(r"\s", bare)) else []
+            return whole if not re.fullmatch(r"[a-z]+|[\d.]+", bare) and (re.search(r"\d", bare) or not re.search(r"\s", bare)) else []
         if re.search(r"\s", bare) or len(bare) < 8 or re.fullmatch(r"[\d.]+", bare):
             return []
         return whole if len(residual(bare)) >= 6 or _HASH.match(bare) else []
@@ -200,7 +209,8 @@ def classify(name: str, value: str) -> list[Span]:
 _CODE_LITERAL = r"""\"\"\"[\s\S]*?(?:\"\"\"|\Z)|'''[\s\S]*?(?:'''|\Z)|`(?:[^`\\]|\\[\s\S])*(?:`|\Z)|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'"""
 _SLASH = re.compile(rf"(?P<S>{_CODE_LITERAL})|(?P<C>//[^\n]*|/\*[\s\S]*?(?:\*/|\Z))")
 _HASHED = re.compile(rf"(?P<S>{_CODE_LITERAL})|(?P<C>\#[^\n]*)")
-_NAME_BEFORE = re.compile(r"""([A-Za-z_$][\w$.-]*)["'`]?\s*\]?\s*\??(?::\s*[A-Za-z][\w<>\[\]| .]*)?\s*(?:[!=]==?|:?=|:|,|\()\s*[(\[]?\s*(?:[furbFURB]{1,2})?$""")
+# The name before a literal, read backwards from the literal's start so that matching stays local.
+_NAME_BACK = re.compile(r"""(?:[furbFURB]{1,2}(?=[\s(\[=:,]))?\s*[(\[]?\s*(?:={1,3}[!:]?|:|,|\()\s*(?:[\w<>\[\]|. ]{1,40}?:\??)?\s*\]?\s*["'`]?([\w$.-]*[A-Za-z_$])""")
 _IS_KEY = re.compile(r"\s*:(?!:)")
 _JOIN = re.compile(r"""\s*(?:\+\s*|\\\r?\n\s*)?(?:[furbFURB]{1,2}(?=["']))?""")
 _SETTING = re.compile(r"""^[ \t]*(?:-[ \t]+)?(?:export[ \t]+)?["']?([A-Za-z_][\w.-]*)["']?[ \t]*(=|:(?=\s))[ \t]*(.*?)[ \t]*\r?$""", re.M)
@@ -267,8 +277,8 @@ def find_secrets(path: str | None, content: str | None) -> list[Span]:
             if _IS_KEY.match(content, m.end()):  # a member's name is no value
                 last_end = -1
                 continue
-            before = _NAME_BEFORE.search(content[max(0, m.start() - 90) : m.start()])
-            pending.append((start, end, before[1].rsplit(".", 1)[-1] if before else ""))
+            before = _NAME_BACK.match(content[max(0, m.start() - 90) : m.start()][::-1])
+            pending.append((start, end, before[1][::-1].rsplit(".", 1)[-1] if before else ""))
         last_end = m.end()
     flush()
     for m in _PEM_ALL.finditer(content):  # keys outside literals
@@ -347,7 +357,7 @@ def secret_places(chunks: DataFrame) -> DataFrame:
     with null row_id or content give none.
     """
     ready = chunks.select("row_id", "file_path", "content").dropna(subset=["row_id", "content"])
-    return ready.mapInPandas(_find_batches, FOUND_SCHEMA).dropDuplicates(["row_id", "start_char", "end_char"])
+    return spread(ready).mapInPandas(_find_batches, FOUND_SCHEMA).dropDuplicates(["row_id", "start_char", "end_char"])
 
 
 def _redact_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
