@@ -12,6 +12,7 @@ from .codefiles import FILE
 from .leakage import leaked_items
 from .parsing import parse_rates, unparsable_files
 from .secrets import redacted_chunks, secret_places
+from .sentences import document_units, unit_texts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +35,8 @@ def queries() -> dict[str, Query]:
         "p8_found": lambda s, d: _leaks(s, d).filter("exact").select("doc_id", "item_id"),
         "p8_leaks": _leaks,
         "p8_items": lambda s, d: _leaks(s, d).filter("exact").groupBy("item_id").agg(F.count(F.lit(1)).alias("leaking_docs"), F.max("matched_chars").alias("longest")),
+        "p10_found": lambda s, d: document_units(table(s, d, "documents")),
+        "p10_units": lambda s, d: unit_texts(table(s, d, "documents")),
         "p5_rates": lambda s, d: parse_rates(_chunks(s, d)),
     }
 
