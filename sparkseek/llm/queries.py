@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from .codefiles import FILE
+from .copies import collapsed_records, equal_records
 from .leakage import leaked_items
 from .parsing import parse_rates, unparsable_files
 from .secrets import redacted_chunks, secret_places
@@ -27,6 +28,8 @@ def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "p1_found": lambda s, d: equal_records(_chunks(s, d)),
+        "p1_records": lambda s, d: collapsed_records(_chunks(s, d)),
         "p5_found": lambda s, d: unparsable_files(_chunks(s, d)).select(*FILE),
         "p5_failures": lambda s, d: unparsable_files(_chunks(s, d)).drop("valid"),
         "p7_found": lambda s, d: secret_places(_chunks(s, d)).select("row_id", "line_no").distinct(),

@@ -29,7 +29,7 @@ ORDINAL_BEFORE = frozenset("am vom zum dem der den des ab bis seit im ihr sein j
 ORDINAL_AFTER = frozenset("Tag Tage Tages Mal Januar Jänner Februar März April Mai Juni Juli August September Oktober November Dezember Woche Quartal Jahrhundert Kapitel Stock Platz".split())
 # Lower-case names a sentence may begin with, and words that carry on after a quotation.
 TOOL_NAMES = frozenset("npm npx git yarn pnpm pip node deno bun cargo rustc gcc curl docker kubectl iOS macOS eBay jQuery".split())
-CARRY_ON = re.compile(r"\s*(?:と|って|は|が|を|に|の|も|で|や|へ|から|まで|という|然后|然後|并|並|但|就|而|后|後|以|的|来|說|说|地|是|等|和|或|及|，|、|,|；|;|：|:)")
+CARRY_ON = re.compile(r"\s*(?:と|って|は|が|を|に|の|も|で|や|へ|から|まで|という|然后|然後|并|並|但|就|而|后|後|的|說|说|地|是|等|和|或|及|，|、|,|；|;|：|:)")
 
 _PAIRS = {"(": ")", "[": "]", "{": "}", "（": "）", "【": "】", "［": "］", "「": "」", "『": "』", "《": "》", "〈": "〉", "«": "»", "‹": "›", "“": "”", "„": "“", "‘": "’", "‚": "‘"}
 _BRACKETS = frozenset("([{（【［")
