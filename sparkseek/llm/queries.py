@@ -11,6 +11,7 @@ from ..session import table
 from .codefiles import FILE
 from .copies import collapsed_records, equal_records
 from .leakage import leaked_items
+from .neighbours import recall_report, similar_entries, similar_pairs, valid_entries
 from .parsing import parse_rates, unparsable_files
 from .secrets import redacted_chunks, secret_places
 from .sentences import document_units, unit_texts
@@ -30,6 +31,9 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": lambda s, d: equal_records(_chunks(s, d)),
         "p1_records": lambda s, d: collapsed_records(_chunks(s, d)),
+        "p2_found": lambda s, d: similar_pairs(table(s, d, "cache_entries")),
+        "p2_neighbours": lambda s, d: similar_entries(valid_entries(table(s, d, "cache_entries"))),
+        "p2_recall": lambda s, d: recall_report(table(s, d, "cache_entries")),
         "p5_found": lambda s, d: unparsable_files(_chunks(s, d)).select(*FILE),
         "p5_failures": lambda s, d: unparsable_files(_chunks(s, d)).drop("valid"),
         "p7_found": lambda s, d: secret_places(_chunks(s, d)).select("row_id", "line_no").distinct(),
