@@ -13,6 +13,7 @@ from .copies import collapsed_records, equal_records
 from .leakage import leaked_items
 from .neighbours import recall_report, similar_entries, similar_pairs, valid_entries
 from .parsing import parse_rates, unparsable_files
+from .provenance import foreign_code, recurrence_report
 from .secrets import redacted_chunks, secret_places
 from .sentences import document_units, unit_texts
 
@@ -34,6 +35,9 @@ def queries() -> dict[str, Query]:
         "p2_found": lambda s, d: similar_pairs(table(s, d, "cache_entries")),
         "p2_neighbours": lambda s, d: similar_entries(valid_entries(table(s, d, "cache_entries"))),
         "p2_recall": lambda s, d: recall_report(table(s, d, "cache_entries")),
+        "p4_found": lambda s, d: foreign_code(_chunks(s, d)).select(*FILE),
+        "p4_kinds": lambda s, d: foreign_code(_chunks(s, d)).groupBy("repo", "kind").agg(F.count(F.lit(1)).alias("files")),
+        "p4_recurrence": lambda s, d: recurrence_report(_chunks(s, d)),
         "p5_found": lambda s, d: unparsable_files(_chunks(s, d)).select(*FILE),
         "p5_failures": lambda s, d: unparsable_files(_chunks(s, d)).drop("valid"),
         "p7_found": lambda s, d: secret_places(_chunks(s, d)).select("row_id", "line_no").distinct(),
