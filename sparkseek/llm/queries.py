@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..session import table
 from .codefiles import FILE
 from .copies import collapsed_records, equal_records
+from .docpairs import documented_functions
 from .leakage import leaked_items
 from .neighbours import recall_report, similar_entries, similar_pairs, valid_entries
 from .parsing import parse_rates, unparsable_files
@@ -40,6 +41,8 @@ def queries() -> dict[str, Query]:
         "p4_recurrence": lambda s, d: recurrence_report(_chunks(s, d)),
         "p5_found": lambda s, d: unparsable_files(_chunks(s, d)).select(*FILE),
         "p5_failures": lambda s, d: unparsable_files(_chunks(s, d)).drop("valid"),
+        "p6_found": lambda s, d: documented_functions(_chunks(s, d)).select(*FILE, "symbol"),
+        "p6_pairs": lambda s, d: documented_functions(_chunks(s, d), include_broken=True),
         "p7_found": lambda s, d: secret_places(_chunks(s, d)).select("row_id", "line_no").distinct(),
         "p7_kinds": lambda s, d: secret_places(_chunks(s, d)).groupBy("kind").agg(F.count(F.lit(1)).alias("places"), F.countDistinct("row_id").alias("records")),
         "p7_redacted": lambda s, d: redacted_chunks(_chunks(s, d)),
