@@ -12,6 +12,7 @@ from .codefiles import FILE
 from .copies import collapsed_records, equal_records
 from .docpairs import documented_functions
 from .leakage import leaked_items
+from .mixing import classifier_report, mixed_documents, reached_shares
 from .neighbours import recall_report, similar_entries, similar_pairs, valid_entries
 from .parsing import parse_rates, unparsable_files
 from .provenance import foreign_code, recurrence_report
@@ -49,6 +50,9 @@ def queries() -> dict[str, Query]:
         "p8_found": lambda s, d: _leaks(s, d).filter("exact").select("doc_id", "item_id"),
         "p8_leaks": _leaks,
         "p8_items": lambda s, d: _leaks(s, d).filter("exact").groupBy("item_id").agg(F.count(F.lit(1)).alias("leaking_docs"), F.max("matched_chars").alias("longest")),
+        "p9_mix": lambda s, d: mixed_documents(table(s, d, "documents"), table(s, d, "mix_targets")),
+        "p9_shares": lambda s, d: reached_shares(table(s, d, "documents"), table(s, d, "mix_targets")),
+        "p9_classifier": lambda s, d: classifier_report(table(s, d, "documents"), table(s, d, "mix_targets")),
         "p10_found": lambda s, d: document_units(table(s, d, "documents")),
         "p10_units": lambda s, d: unit_texts(table(s, d, "documents")),
         "p5_rates": lambda s, d: parse_rates(_chunks(s, d)),
