@@ -147,7 +147,7 @@ class Grammar:
             if name in self.memo:
                 out.append(f"    M_{name}[p] = d")
             out.append("    return d")
-        out.append(f"  return r_{self.start}")
+        out.append("  return {" + ", ".join(f"{n!r}: r_{n}" for n in self.rules) + "}")
         space = dict(self.sets)
         exec(compile("\n".join(out), f"<peg {self.start}>", "exec"), space)  # noqa: S102
         return space["make"]
@@ -242,13 +242,17 @@ class Grammar:
             if self.track:
                 out.append(f"{pad}if {dst} < 0 and {src} > far[0]: far[0] = {src}")
 
+    def matchers(self, kinds: list[str], newline: list[bool], match: list[int]) -> dict[str, Callable[[int], int]]:
+        """A function for each rule: from a token position to the position after the match, or -1."""
+        return self._fast(kinds, newline, match, [0])
+
     def parse(self, kinds: list[str], newline: list[bool], match: list[int]) -> int:
         """-1 if the whole input matches, else the position of the furthest failing token."""
         n = len(kinds)
-        if self._fast(kinds, newline, match, [0])(0) == n:
+        if self._fast(kinds, newline, match, [0])[self.start](0) == n:
             return -1
         if self._slow is None:
             self._slow = self._build(True)
         far = [0]
-        self._slow(kinds, newline, match, far)(0)
+        self._slow(kinds, newline, match, far)[self.start](0)
         return min(far[0], n - 1)
