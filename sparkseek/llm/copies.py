@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from .codefiles import task_count
-from .lexers import Tokens, lex_js
+from ..syntax.lexers import Tokens, lex_js
 
 _ALNUM = re.compile(r"[^\W_]+")
 # What stands before a brace that opens an object literal or an object type.

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .codefiles import FILE, extension, whole_files
-from .grammars import LANGUAGES, furthest_failure
+from ..syntax.grammars import LANGUAGES, furthest_failure
 
 PARSE_SCHEMA = "repo string, root_dir string, file_path string, language string, valid boolean, line int, col int, cause string"
 _MARKER = re.compile(r"^(?:<{7}|\|{7}|={7}|>{7})(?: |$|\r)", re.M)
