@@ -1,0 +1,29 @@
+"""Record types of the engine."""
+
+from __future__ import annotations
+
+from pyspark.sql import types as T
+
+
+def _struct(text: str) -> T.StructType:
+    return T._parse_datatype_string(text)
+
+
+def all_schemas() -> dict[str, T.StructType]:
+    """Schemas by name; needs a running session to parse them."""
+    payload = "struct<file_path:string,start_line:int,end_line:int,content_hash:string,node_type:string,symbol_name:string>"
+    return {
+        name: _struct(text)
+        for name, text in {
+            "chunk": "chunk_id string, file_path string, start_line int, end_line int, content string, content_hash string, node_type string, symbol_name string",
+            "file_hash": "path string, hash string",
+            "merkle_node": "path string, hash string, is_file boolean, children array<string>",
+            "change": "path string, status string",
+            "point": f"point_id string, vector array<float>, payload {payload}",
+            "hit": f"id string, score double, payload {payload}",
+            "cache_entry": "model string, content_hash string, vector array<float>, ts timestamp",
+            "query": "query_id string, text string",
+            "corpus": "corpus_id string, text string, title string",
+            "qrel": "query_id string, corpus_id string, rel double",
+        }.items()
+    }
