@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .codefiles import task_count
+from ..operators.codefiles import task_count
 from ..syntax.lexers import Tokens, lex_js
 
 _ALNUM = re.compile(r"[^\W_]+")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .codefiles import spread
+from ..operators.codefiles import spread
 
 MAX_TARGETS = 10_000
 

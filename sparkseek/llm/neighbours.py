@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .codefiles import task_count
+from ..operators.codefiles import task_count
 
 # Dimensions of the models.
 MODEL_DIMENSIONS = {"codemini-64": 64, "codewide-96": 96}

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .codefiles import FILE, extension, whole_files
+from ..operators.codefiles import FILE, extension, whole_files
 from ..syntax.grammars import LANGUAGES, furthest_failure
 
 PARSE_SCHEMA = "repo string, root_dir string, file_path string, language string, valid boolean, line int, col int, cause string"

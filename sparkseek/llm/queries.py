@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from .codefiles import FILE
+from ..operators.codefiles import FILE
 from .copies import collapsed_records, equal_records
 from .docpairs import documented_functions
 from .leakage import leaked_items

@@ -26,7 +26,7 @@ from typing import NamedTuple
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .codefiles import spread
+from ..operators.codefiles import spread
 
 # Words that explain text in names and literals.
 WORDS = frozenset(

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .codefiles import spread
+from ..operators.codefiles import spread
 
 # Abbreviations by what may follow them.
 NEVER_END = """dr prof mr mrs ms messrs st jr sr hon gen col lt sgt capt rev mt cf vs e.g i.e viz approx al et ca bzw mio mrd tsd evtl ggf inkl exkl
