@@ -111,7 +111,7 @@ def path_safe(name: Column) -> Column:
 
 def byte_size(n: Column) -> Column:
     """Bytes as B, KB or MB with one decimal."""
-    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024 * 1024, F.format_string("%.1f KB", n / 1024.0)).otherwise(F.format_string("%.1f MB", n / (1024.0 * 1024.0)))
+    return F.when(n.isNull(), F.lit(None).cast("string")).when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024 * 1024, F.format_string("%.1f KB", n / 1024.0)).otherwise(F.format_string("%.1f MB", n / (1024.0 * 1024.0)))
 
 
 def percent_bar(value: Column, width: int = 20) -> Column:

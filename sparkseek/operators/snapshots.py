@@ -45,25 +45,41 @@ def snapshot_nodes(nodes: DataFrame) -> DataFrame:
     return keyed.groupBy(*ROOT, "snapshot_no", "path").agg(F.max("v").alias("v")).select(*ROOT, "snapshot_no", "path", "v.hash", "v.is_file")
 
 
-def snapshot_pairs(nodes: DataFrame) -> DataFrame:
-    """Each delivered snapshot with the one delivered before it, in order of number; holes are skipped."""
-    delivered = nodes.select(*ROOT, "snapshot_no").dropna().distinct()
-    before = F.lag("snapshot_no").over(Window.partitionBy(*ROOT).orderBy("snapshot_no"))
-    return delivered.withColumn("before_no", before).dropna(subset=["before_no"])
+def snapshot_steps(nodes: DataFrame) -> DataFrame:
+    """Which comparisons a snapshot takes part in: repo, root_dir, no, snapshot_no (the newer one), side.
 
+    Each delivered snapshot is compared with the one delivered before it in
+    order of number (holes are skipped): as the newer one (side 1) in its own
+    comparison, as the older one (side -1) in that of its successor.
+    """
+    delivered = nodes.select(*ROOT, F.col("snapshot_no").alias("no")).dropna().distinct()
+    by = Window.partitionBy(*ROOT).orderBy("no")
+    around = delivered.withColumns({"before": F.lag("no").over(by), "after": F.lead("no").over(by)})
+    own = F.when(F.col("before").isNotNull(), F.struct(F.col("no").alias("snapshot_no"), F.lit(1).alias("side")))
+    next_ = F.when(F.col("after").isNotNull(), F.struct(F.col("after").alias("snapshot_no"), F.lit(-1).alias("side")))
+    return around.select(*ROOT, "no", F.inline(F.array_compact(F.array(own, next_))))
 
-def _digest(level: str, rows: DataFrame) -> DataFrame:
-    return rows.groupBy(*ROOT, "snapshot_no", level).agg(F.bit_xor("h1").alias("h1"), F.bit_xor("h2").alias("h2"), F.sum("n").alias("n"))
 
+def changed_ranges(leaves: DataFrame, steps: DataFrame, leaf_bits: int, fan_bits: int) -> DataFrame:
+    """repo, root_dir, snapshot_no, leaf_range of every leaf range that differs between the two sides of a comparison.
 
-def _differing(digests: DataFrame, pairs: DataFrame, level: list[str]) -> DataFrame:
-    """Of the pairs and ranges in `pairs`, those in which the two snapshots' digests differ."""
-    tagged = digests.select(*ROOT, "snapshot_no", *level, F.struct("h1", "h2", "n").alias("d"))
-    keys = [*ROOT, "snapshot_no", "before_no"]
-    newer = tagged.join(pairs, [*ROOT, "snapshot_no"]).select(*keys, *level, "d", F.lit(1).alias("side"))
-    older = tagged.withColumnRenamed("snapshot_no", "before_no").join(pairs, [*ROOT, "before_no"]).select(*keys, *level, "d", F.lit(-1).alias("side"))
-    both = newer.unionByName(older).groupBy(*keys, *level).agg(F.min("d").alias("low"), F.max("d").alias("high"), F.sum("side").alias("balance"))
-    return both.filter((F.col("balance") != 0) | (F.col("low") != F.col("high"))).select(*keys, *level)
+    A node's difference digest is the exclusive-or of both sides' digests and
+    the balance of their counts: zero exactly where the sides agree. The tree is
+    built upwards with its children kept in arrays of at most 2**fan_bits and
+    2**(leaf_bits - fan_bits), then walked downwards through differing nodes.
+    """
+    digests = leaves.groupBy(*ROOT, F.col("snapshot_no").alias("no"), "leaf_range").agg(
+        F.bit_xor(F.xxhash64("path", "hash")).alias("h1"), F.bit_xor(F.xxhash64("hash", F.lit(7), "path")).alias("h2"), F.count(F.lit(1)).alias("n")
+    )
+    keys = [*ROOT, "snapshot_no"]
+    sides = digests.join(steps, [*ROOT, "no"]).repartition(*keys)  # digests only; the groupings below need no further shuffle
+    xor = [F.bit_xor("h1").alias("h1"), F.bit_xor("h2").alias("h2")]
+    leaf = sides.groupBy(*keys, "leaf_range").agg(*xor, F.sum(F.col("n") * F.col("side")).alias("n")).withColumn("fan", F.shiftright("leaf_range", leaf_bits - fan_bits))
+    total = [*xor, F.sum(F.abs("n")).alias("n")]
+    fan = leaf.groupBy(*keys, "fan").agg(*total, F.collect_list(F.struct("leaf_range", "h1", "h2", "n")).alias("below"))
+    top = fan.groupBy(*keys).agg(*total, F.collect_list(F.struct("h1", "h2", "n", "below")).alias("below"))
+    differs = "h1 <> 0 OR h2 <> 0 OR n <> 0"
+    return top.filter(differs).select(*keys, F.inline("below")).filter(differs).select(*keys, F.inline("below")).filter(differs).select(*keys, "leaf_range")
 
 
 def snapshot_changes(nodes: DataFrame, leaf_bits: int = 12, fan_bits: int = 6) -> DataFrame:
@@ -77,26 +93,10 @@ def snapshot_changes(nodes: DataFrame, leaf_bits: int = 12, fan_bits: int = 6) -
     """
     held = snapshot_nodes(nodes)
     leaves = held.filter("is_file").select(*ROOT, "snapshot_no", "path", F.coalesce("hash", F.lit("")).alias("hash"), F.shiftrightunsigned(F.xxhash64("path"), 64 - leaf_bits).cast("int").alias("leaf_range"))
-    hashed = leaves.withColumns({"h1": F.xxhash64("path", "hash"), "h2": F.xxhash64("hash", F.lit(7), "path"), "n": F.lit(1)})
-    # A leaf digest row is much smaller than its rows; upper levels are folded from it.
-    by_leaf = _digest("leaf_range", hashed)
-    by_fan = _digest("fan_range", by_leaf.withColumn("fan_range", F.shiftright("leaf_range", leaf_bits - fan_bits)))
-    by_root = _digest("top", by_fan.withColumn("top", F.lit(0)))
-
-    pairs = snapshot_pairs(nodes)
-    tops = _differing(by_root, pairs, ["top"]).drop("top")
-    fans = _differing(by_fan, tops, ["fan_range"])
-    narrowed = by_leaf.withColumn("fan_range", F.shiftright("leaf_range", leaf_bits - fan_bits))
-    newer = narrowed.join(fans, [*ROOT, "snapshot_no", "fan_range"])
-    older = narrowed.withColumnRenamed("snapshot_no", "before_no").join(fans, [*ROOT, "before_no", "fan_range"])
-    keys = [*ROOT, "snapshot_no", "before_no", "leaf_range"]
-    d = F.struct("h1", "h2", "n").alias("d")
-    both = newer.select(*keys, d, F.lit(1).alias("side")).unionByName(older.select(*keys, d, F.lit(-1).alias("side")))
-    ranges = both.groupBy(*keys).agg(F.min("d").alias("low"), F.max("d").alias("high"), F.sum("side").alias("balance")).filter((F.col("balance") != 0) | (F.col("low") != F.col("high"))).select(*keys)
-
-    row_keys = [*ROOT, "snapshot_no", "path"]
-    new_rows = leaves.join(ranges.drop("before_no"), [*ROOT, "snapshot_no", "leaf_range"]).select(*row_keys, F.col("hash").alias("new_hash"), F.lit(None).cast("string").alias("old_hash"))
-    old_rows = leaves.withColumnRenamed("snapshot_no", "before_no").join(ranges, [*ROOT, "before_no", "leaf_range"]).select(*row_keys, F.lit(None).cast("string").alias("new_hash"), F.col("hash").alias("old_hash"))
-    compared = new_rows.unionByName(old_rows).groupBy(*row_keys).agg(F.max("new_hash").alias("new_hash"), F.max("old_hash").alias("old_hash"))
+    steps = snapshot_steps(nodes)
+    wanted = changed_ranges(leaves, steps, leaf_bits, fan_bits).join(steps, [*ROOT, "snapshot_no"])
+    rows = leaves.withColumnRenamed("snapshot_no", "no").join(wanted, [*ROOT, "no", "leaf_range"])
+    side = lambda n: F.max(F.when(F.col("side") == n, F.col("hash")))
+    compared = rows.groupBy(*ROOT, "snapshot_no", "path").agg(side(1).alias("new_hash"), side(-1).alias("old_hash"))
     status = F.when(F.col("old_hash").isNull(), "added").when(F.col("new_hash").isNull(), "removed").when(F.col("old_hash") != F.col("new_hash"), "modified")
     return compared.withColumn("status", status).dropna(subset=["status"]).select(*CHANGE_COLUMNS)
