@@ -42,7 +42,9 @@ def top_k_blocked(queries: DataFrame, corpus: DataFrame, k: int, include_self: b
     parts = None
     for b in range(n):
         rows = numbered.filter(F.col("block") == b).select("query_id", "vector").collect()  # one bounded block of the stated queries
-        ids, matrix = np.array([r["query_id"] for r in rows], np.int64), np.array([r["vector"] for r in rows], np.float64).reshape(len(rows), -1)
+        if not rows and parts is not None:
+            continue
+        ids, matrix = np.array([r["query_id"] for r in rows], np.int64), np.array([r["vector"] for r in rows], np.float64)
 
         def run(batches: Iterator[pa.RecordBatch], ids=ids, matrix=matrix) -> Iterator[pa.RecordBatch]:
             held_ids = np.zeros((len(ids), 0), np.int64)
