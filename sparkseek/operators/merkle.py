@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import parent_path
+from ..session import cut
 
 
 def merkle_tree(leaves: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -16,10 +17,11 @@ def merkle_tree(leaves: DataFrame, keys: list[str] | None = None) -> DataFrame:
     A folder's hash is sha256 over its children's hex hashes, sorted and
     concatenated; children are sorted paths. One aggregation a level, deepest
     first; a folder's children meet in one row, as its hash needs them all.
-    Null paths and hashes are left out; no files give no nodes.
+    Null paths and hashes are left out, of several hashes of a path the greatest
+    holds; no files give no nodes.
     """
     keys = keys or []
-    files = leaves.select(*keys, "path", "hash").dropna(subset=["path", "hash"]).dropDuplicates([*keys, "path"])
+    files = cut(leaves.select(*keys, "path", "hash").dropna(subset=["path", "hash"]).groupBy(*keys, "path").agg(F.max("hash").alias("hash")))
     deepest = files.agg(F.max(F.size(F.split("path", "/")))).first()[0] or 0
     nodes = files.select(*keys, "path", "hash", F.lit(True).alias("is_file"), F.array().cast("array<string>").alias("children"))
     depth = F.when(F.col("path") == ".", F.lit(0)).otherwise(F.size(F.split("path", "/")))

@@ -52,12 +52,16 @@ class VectorStore:
         return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def manifest(self) -> dict | None:
-        """The current manifest; null if there is no index. A broken one raises."""
-        path, fs = self._path("manifest.json")
+        """The current manifest: the one with the highest number. Null if there is no index; a broken one raises."""
+        path, fs = self._path("manifests")
         if not fs.exists(path):
             return None
-        text = "\n".join(r["value"] for r in self.spark.read.text(f"{self.folder}/manifest.json").collect())  # one small file
-        found = json.loads(text)
+        names = sorted(str(s.getPath().getName()) for s in fs.listStatus(path))
+        names = [n for n in names if n.endswith(".json")]
+        if not names:
+            return None
+        text = "\n".join(r["value"] for r in self.spark.read.text(f"{self.folder}/manifests/{names[-1]}").collect())  # one small file
+        found = json.loads(text) | {"number": int(names[-1].split(".")[0])}
         if found["dim"] != self.dim or found["model"] != self.model:
             raise ValueError(f"index holds {found['model']} vectors of {found['dim']} dimensions, not {self.model} of {self.dim}")
         return found
@@ -68,15 +72,16 @@ class VectorStore:
             self._swap({"version": None})
 
     def _swap(self, entry: dict) -> None:
+        """Put the next manifest in place by one rename; it fails if another writer was first."""
+        now = self.manifest()
         text = json.dumps({"dim": self.dim, "model": self.model, "metric": "cosine", **entry})
-        fresh, fs = self._path(f"manifest-{uuid.uuid4().hex}.tmp")
+        fresh, fs = self._path(f"manifests/{uuid.uuid4().hex}.tmp")
         out = fs.create(fresh, True)
         out.write(bytearray(text.encode()))
         out.close()
-        path, _ = self._path("manifest.json")
-        fs.delete(path, False)
-        if not fs.rename(fresh, path):
-            raise OSError("the manifest couldn't be put in place")
+        path, _ = self._path(f"manifests/{(now['number'] if now else 0) + 1:012d}.json")
+        if fs.exists(path) or not fs.rename(fresh, path):
+            raise OSError("another writer put its manifest in place first")
 
     def table(self, name: str) -> DataFrame:
         """A table of the current version, empty if there is none."""

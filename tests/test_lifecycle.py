@@ -87,3 +87,23 @@ def test_evaluation(spark, tmp_path):
     assert data.corpus.count() == 3 and data.queries.count() == 2
     assert evaluate(data).first()["mrr@1"] == 1.0
     assert registry(spark).count() == 7
+
+
+def test_matrix_and_json_lines(spark, tmp_path):
+    import numpy as np
+
+    from sparkseek.embed.registry import dimension
+    from sparkseek.sources.files import bytes_by_folder, count_lines, dataset_metadata, read_matrix, write_jsonl
+
+    (tmp_path / "m.bin").write_bytes(np.arange(12, dtype="<f4").tobytes())
+    assert [tuple(r["vector"]) for r in read_matrix(spark, str(tmp_path / "m.bin"), 4).orderBy("row").collect()] == [(0, 1, 2, 3), (4, 5, 6, 7), (8, 9, 10, 11)]
+    write_jsonl(spark.createDataFrame([(1, "ä"), (2, None)], "a int, b string").coalesce(1), str(tmp_path / "out"))
+    assert count_lines(spark, str(tmp_path / "out")) == 2
+    one = spark.range(1)
+    assert dataset_metadata(one, one, one, "d").first()["corpus"] == 1
+    with pytest.raises(ValueError):
+        dataset_metadata(one, one.limit(0), one, "d")
+    assert sum(r["size_bytes"] for r in bytes_by_folder(spark, str(tmp_path)).collect()) >= 48
+    assert dimension("hash-8") == 8 and dimension("BAAI/bge-m3") == 1024
+    with pytest.raises(ValueError):
+        dimension("other")
