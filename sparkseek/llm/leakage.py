@@ -15,6 +15,7 @@ only scanned, never shuffled.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -233,18 +234,13 @@ def leaked_items(documents: DataFrame, items: DataFrame, settings: Settings = Se
     item too short for a passage can't leak; repeated document rows with one
     doc_id give one row per pair.
     """
-    rows = items.select("item_id", "text").dropna().distinct().collect()  # the stated query set, taken in blocks
-    blocks: list[list[tuple[int, str]]] = [[]]
-    size = 0
-    for r in sorted(rows):
-        if size + len(r["text"]) > settings.block_chars and blocks[-1]:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((r["item_id"], r["text"]))
-        size += len(r["text"])
+    stated = items.select("item_id", "text").dropna().distinct()
+    size = stated.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, math.ceil(size / settings.block_chars))
     ready = spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").dropna())
     found = None
-    for block in blocks:
-        part = ready.mapInPandas(_scanner(block, settings), LEAK_SCHEMA)
+    for b in range(blocks):
+        rows = stated.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()  # one bounded block of the query set
+        part = ready.mapInPandas(_scanner(sorted((r["item_id"], r["text"]) for r in rows), settings), LEAK_SCHEMA)
         found = part if found is None else found.unionByName(part)
     return found.groupBy("doc_id", "item_id").agg(F.max(F.struct("exact", "matched_chars", "edits")).alias("v")).select("doc_id", "item_id", "v.matched_chars", "v.edits", "v.exact")

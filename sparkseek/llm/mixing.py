@@ -34,7 +34,8 @@ MAX_TARGETS = 10_000
 
 @dataclass(frozen=True)
 class Mix:
-    """tokenizer: a .tiktoken rank file; sample_rows bounds the rows the classifier is fitted on.
+    """tokenizer: a .tiktoken rank file; sample_rows and sample_chars
+    bound what the classifier is fitted on; it is applied to whole texts.
 
     total_tokens is the size of the mix; by default the largest at which no cap
     keeps a source from its share. soft_weight weighs the expected totals
@@ -43,6 +44,7 @@ class Mix:
 
     tokenizer: str = "/opt/tokenizers/byte_bpe_50k.tiktoken"
     sample_rows: int = 8192
+    sample_chars: int = 20_000
     features: int = 2048
     total_tokens: float | None = None
     soft_weight: float = 1e-3
@@ -130,9 +132,9 @@ def targeted(documents: DataFrame, targets: DataFrame) -> tuple[DataFrame, list[
     return docs.filter(F.col("source").isin(names) if names else F.lit(False)), wanted
 
 
-def labelled_sample(docs: DataFrame, rows: int) -> list[tuple[str, str]]:
-    """At most `rows` (text, source) pairs, those least in a hash of their id."""
-    picked = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("text", "source").collect()
+def labelled_sample(docs: DataFrame, mix: Mix) -> list[tuple[str, str]]:
+    """At most sample_rows (text, source) pairs, those least in a hash of their id, texts cut at sample_chars."""
+    picked = docs.select("doc_id", F.substring("text", 1, mix.sample_chars).alias("text"), "source").orderBy(F.xxhash64("doc_id"), "doc_id").limit(mix.sample_rows).select("text", "source").collect()
     return [(r["text"], r["source"]) for r in picked]
 
 
@@ -243,7 +245,7 @@ def _plan(documents: DataFrame, targets: DataFrame, mix: Mix) -> tuple[DataFrame
     labels = [r["source"] for r in wanted]
     if not labels:
         return docs, wanted, None
-    sample = labelled_sample(docs, mix.sample_rows)
+    sample = labelled_sample(docs, mix)
     model = SourceClassifier(labels, mix.features).fit([t for t, _ in sample], [s for _, s in sample])
     table = cut(sized(docs, labels, model, mix))
     n = len(labels)
@@ -305,7 +307,7 @@ def reached_shares(documents: DataFrame, targets: DataFrame, mix: Mix = Mix()) -
 def classifier_report(documents: DataFrame, targets: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """Held-out accuracy of the classifier: it is fitted on four fifths of the bounded sample and judged on the rest."""
     docs, wanted = targeted(documents, targets)
-    sample = labelled_sample(docs, mix.sample_rows)
+    sample = labelled_sample(docs, mix)
     held, seen = [p for i, p in enumerate(sample) if i % 5 == 0], [p for i, p in enumerate(sample) if i % 5]
     labels = [r["source"] for r in wanted]
     rows = []

@@ -59,5 +59,23 @@ def queries() -> dict[str, Query]:
     }
 
 
+_SIMILAR = """with l as (select model, content_hash, vector::double[] v from cache_entries where model is not null and content_hash is not null qualify row_number() over (partition by model, content_hash order by ts desc, loaded_at desc) = 1),
+e as (select model, content_hash h, v, sqrt(list_dot_product(v, v)) n from l where v is not null and len(v) = case model when 'codemini-64' then 64 when 'codewide-96' then 96 end
+ and len(list_filter(v, lambda x: isfinite(x))) = len(v) and len(list_filter(v, lambda x: x <> 0)) > 0),
+s as (select a.model, a.h, b.h o, list_dot_product(a.v, b.v) / (a.n * b.n) score from e a join e b on a.model = b.model and len(a.v) = len(b.v) and a.h <> b.h),
+t as (select * from s qualify row_number() over (partition by model, h order by score desc, o) <= 5)
+select distinct model, least(h, o) hash_a, greatest(h, o) hash_b from t where score >= 0.85"""
+
+_LEAKED = r"""with w as (select item_id id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') ws, len(regexp_extract_all(text, '[\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}\x{ff66}-\x{ff9f}]')) c from eval_items where text is not null),
+i as (select id, ws, array_to_string(ws, '') t, c > length(array_to_string(ws, '')) / 4.0 dense from w),
+d as (select doc_id id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') ws from documents where text is not null),
+ig as (select distinct id, array_to_string(ws[k:k + 11], ' ') g from (select id, ws, unnest(range(1, len(ws) - 10)) k from i where not dense)),
+dg as (select distinct id, array_to_string(ws[k:k + 11], ' ') g from (select id, ws, unnest(range(1, len(ws) - 10)) k from d)),
+ic as (select distinct id, substr(t, k, 20) g from (select id, t, unnest(range(1, length(t) - 18)) k from i where dense)),
+dc as (select distinct id, substr(t, k, 20) g from (select id, t, unnest(range(1, length(t) - 18)) k from (select id, array_to_string(ws, '') t from d)))
+select distinct dg.id doc_id, ig.id item_id from dg join ig using (g) union select distinct dc.id, ic.id from dc join ic using (g)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries it can express on whole tables: exhaustive comparison in place of the operators' methods."""
+    return {"p2_found": _SIMILAR, "p8_found": _LEAKED}

@@ -110,8 +110,8 @@ _OTHER_NAME = re.compile(r"label|hint|prompt|message|text|title|header_?name|tok
 _PASSWORD_NAME = re.compile(r"passw(?:or)?d|passphrase|pwd|pass$|pass_")
 _TAG = re.compile(r"(?:_?[a-z]{6})?_?\d*$")
 
-_URL = re.compile(r"\b[a-z][a-z0-9+.-]*://([^\s/:@'\"`]*):([^\s@/'\"`]+)@[^\s'\"`]+", re.I)
-_HOOK = re.compile(r"https?://[^\s'\"`]*?(?:hook)[^\s'\"`]*?/((?=[A-Za-z0-9_-]*\d)(?=[A-Za-z0-9_-]*[A-Za-z])[A-Za-z0-9_-]{16,})(?=$|[\s'\"`?])", re.I)
+_URL = re.compile(r"(?<![a-z0-9+.-])[a-z][a-z0-9+.-]{0,30}://([^\s/:@'\"`]*):([^\s@/'\"`]+)@[^\s'\"`]+", re.I)
+_HOOK = re.compile(r"https?://[^\s'\"`]{0,200}?(?:hook)[^\s'\"`]{0,200}?/((?=[A-Za-z0-9_-]*\d)(?=[A-Za-z0-9_-]*[A-Za-z])[A-Za-z0-9_-]{16,})(?=$|[\s'\"`?])", re.I)
 _AUTH = re.compile(r"^\s*(Basic|Bearer|Token|Digest|ApiKey)\s+(\S{8,})\s*$", re.I)
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _PEM_ALL = re.compile(r"(-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----)((?:(?!-----)[\s\S])*)(-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----)?")
@@ -153,6 +153,7 @@ def _mixed(run: str) -> bool:
     return classes >= 2 and len(set(run)) >= 8
 
 
+MAX_CREDENTIAL = 4096  # a longer literal is data; keys with a frame, URLs and headers have no such bound
 _NOTABLE = re.compile(r"://|-----BEGIN|[A-Za-z0-9_.-]{14}|^\s*(?:Basic|Bearer|Token|Digest|ApiKey)\s", re.I)
 
 
@@ -188,7 +189,7 @@ def classify(name: str, value: str) -> list[Span]:
     bare = value.strip()
     lead = len(value) - len(value.lstrip())
     whole = [Span(lead, lead + len(bare), "literal")]
-    if not bare or _placeholder(bare):
+    if not bare or len(bare) > MAX_CREDENTIAL or _placeholder(bare):
         return []
     if asks_for_credential(name):
         if _PASSWORD_NAME.search(_flat(name)):
@@ -214,8 +215,8 @@ _NAME_BACK = re.compile(r"""(?:[furbFURB]{1,2}(?=[\s(\[=:,]))?\s*[(\[]?\s*(?:={1
 _IS_KEY = re.compile(r"\s*:(?!:)")
 _JOIN = re.compile(r"""\s*(?:\+\s*|\\\r?\n\s*)?(?:[furbFURB]{1,2}(?=["']))?""")
 _SETTING = re.compile(r"""^[ \t]*(?:-[ \t]+)?(?:export[ \t]+)?["']?([A-Za-z_][\w.-]*)["']?[ \t]*(=|:(?=\s))[ \t]*(.*?)[ \t]*\r?$""", re.M)
-_NAMED_IN_COMMENT = re.compile(r"""([A-Za-z_][\w.-]*)\s*(?:=|:)\s*["'`]?([^\s"'`](?:[^\n"'`]*[^\s"'`,;*/])?)""")
-_BARE_URL = re.compile(r"[a-z][a-z0-9+.-]*://[^\s'\"`]+", re.I)
+_NAMED_IN_COMMENT = re.compile(r"""(?<![\w.-])([A-Za-z_][\w.-]*)\s*(?:=|:)\s*["'`]?([^\s"'`](?:[^\n"'`]*[^\s"'`,;*/])?)""")
+_BARE_URL = re.compile(r"(?<![a-z0-9+.-])[a-z][a-z0-9+.-]{0,30}://[^\s'\"`]+", re.I)
 
 
 def find_secrets(path: str | None, content: str | None) -> list[Span]:

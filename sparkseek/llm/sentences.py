@@ -29,7 +29,7 @@ ORDINAL_BEFORE = frozenset("am vom zum dem der den des ab bis seit im ihr sein j
 ORDINAL_AFTER = frozenset("Tag Tage Tages Mal Januar Jänner Februar März April Mai Juni Juli August September Oktober November Dezember Woche Quartal Jahrhundert Kapitel Stock Platz".split())
 # Lower-case names a sentence may begin with, and words that carry on after a quotation.
 TOOL_NAMES = frozenset("npm npx git yarn pnpm pip node deno bun cargo rustc gcc curl docker kubectl iOS macOS eBay jQuery".split())
-CARRY_ON = re.compile(r"\s*(?:と|って|は|が|を|に|の|も|で|や|へ|から|まで|という|然后|然後|并|並|但|就|而|后|後|的|說|说|地|是|等|和|或|及|，|、|,|；|;|：|:)")
+CARRY_ON = re.compile(r"\s*(?:と|って|は|が|を|に|の|も(?!う)|で(?!も)|や(?!は)|へ|から|まで|という|然后|然後|并|並|但|就|而|后|後|的|說|说|地|是|等|和|或|及|，|、|,|；|;|：|:)")
 
 _PAIRS = {"(": ")", "[": "]", "{": "}", "（": "）", "【": "】", "［": "］", "「": "」", "『": "』", "《": "》", "〈": "〉", "«": "»", "‹": "›", "“": "”", "„": "“", "‘": "’", "‚": "‘"}
 _BRACKETS = frozenset("([{（【［")
@@ -39,6 +39,7 @@ _TOKEN = re.compile(r"(?P<M>\.{2,}|[.!?…。！？।॥｡︒؟۔]+(?:[.!?…
 _THAI_GAP = re.compile(r"(?<=[฀-๿])\s+(?=[฀-๿])")
 _WIDE_MARK = re.compile(r"[。！？।॥｡︒؟۔]")
 _CJK = re.compile(r"[　-ヿ㐀-鿿豈-﫿＀-｠]")
+_WORD_AT = re.compile(r"\S{1,200}")
 _BLANK = re.compile(r"\s*$")
 _FENCE = re.compile(r"\s{0,3}(```+|~~~+)")
 _HEADING = re.compile(r"#{1,6}(?:\s|$)")
@@ -93,7 +94,7 @@ def _abbreviation(text: str, at: int, start: int) -> str | None:
 
 def _code_like(text: str, at: int, end: int) -> bool:
     """Whether the word at `at` is a name from code or a tool, with which a sentence may start in lower case."""
-    m = re.compile(r"\S+").match(text, at, end)
+    m = _WORD_AT.match(text, at, end)
     if not m:
         return False
     word = m[0]
@@ -122,6 +123,7 @@ def _skip(text: str, at: int, end: int) -> int:
 def _partners(text: str, start: int, end: int) -> tuple[list[re.Match], dict[int, int]]:
     """Marks and pair characters in order, and each closed pair's two places; what never closes is no pair."""
     tokens, partner, stack = [], {}, []
+    awaited: dict[str, int] = {}  # open pairs by the character that closes them
     in_code = text.count("`", start, end) > 1
     for m in _TOKEN.finditer(text, start, end):
         if m.lastgroup == "M":
@@ -133,15 +135,19 @@ def _partners(text: str, start: int, end: int) -> tuple[list[re.Match], dict[int
         if stack and stack[-1][0] == "`" and ch != "`":
             continue
         tokens.append(m)
-        depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][1] == ch), None)
+        depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][1] == ch), None) if awaited.get(ch) else None
         if depth is not None and not (ch in '"' and at + 1 < end and (text[at + 1].isalnum()) and (at == start or text[at - 1].isspace())):
             partner[stack[depth][2]], partner[at] = at, stack[depth][2]
+            for _, closer, _ in stack[depth:]:
+                awaited[closer] -= 1
             del stack[depth:]
         elif ch in "\"`":
             if ch == "`" or at == start or not text[at - 1].isalnum():
                 stack.append((ch, ch, at))
+                awaited[ch] = awaited.get(ch, 0) + 1
         elif ch in _OPEN:
             stack.append((ch, _PAIRS[ch], at))
+            awaited[_PAIRS[ch]] = awaited.get(_PAIRS[ch], 0) + 1
     return tokens, partner
 
 
