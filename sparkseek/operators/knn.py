@@ -31,11 +31,12 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, include_self: bool = Fa
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def top_k_blocked(queries: DataFrame, corpus: DataFrame, k: int, include_self: bool = False, block: int = MAX_BLOCK) -> DataFrame:
+def top_k_blocked(queries: DataFrame, corpus: DataFrame, k: int, include_self: bool = False, block: int = MAX_BLOCK, digits: int | None = None) -> DataFrame:
     """The same by matrix products: blocks of queries go to the tasks, each keeps its partition's best k.
 
     Scores may differ from the exact form in the last bits. Each task sends k
     rows a query on, so the final ranking is small however large the corpus.
+    With `digits`, scores are rounded before they are ranked.
     """
     n = max(1, math.ceil(queries.count() / block))
     numbered = queries.dropna().withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n)))
@@ -55,6 +56,7 @@ def top_k_blocked(queries: DataFrame, corpus: DataFrame, k: int, include_self: b
                 vectors = batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
                 others = batch.column("corpus_id").to_numpy()
                 score = matrix @ vectors.T
+                score = score if digits is None else np.round(score, digits)
                 if not include_self:
                     score[ids[:, None] == others[None, :]] = -np.inf
                 held = np.concatenate([held, score], axis=1)

@@ -137,12 +137,9 @@ def _embedded(s: SparkSession, d: str, name: str, key: str) -> DataFrame:
 
 
 def _semantic(s: SparkSession, d: str) -> DataFrame:
-    q = cut(_embedded(s, d, "eval_items", "item_id").withColumnRenamed("item_id", "query_id"))
-    c = cut(_embedded(s, d, "documents", "doc_id").withColumnRenamed("doc_id", "corpus_id"))
-    small = F.broadcast(q.select("query_id", F.col("vector").alias("q")))  # the fixed table of test items
-    scored = c.join(small, F.lit(True)).select("query_id", "corpus_id", F.round(S.dot(F.col("q"), F.col("vector")), 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "corpus_id"))
-    return scored.withColumn("rank", rank).filter("rank <= 5")
+    q = _embedded(s, d, "eval_items", "item_id").withColumnRenamed("item_id", "query_id")
+    c = _embedded(s, d, "documents", "doc_id").withColumnRenamed("doc_id", "corpus_id")
+    return knn.top_k_blocked(q, c, 5, include_self=True, digits=6).select("query_id", "corpus_id", "score", "rank")
 
 
 def _probe_counts(s: SparkSession, d: str) -> DataFrame:
