@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.codefiles import spread
+
 
 def hashed_words(rows: DataFrame, text: str, dim: int) -> DataFrame:
     """rows with `vector`: word counts of a text by hash bucket, scaled to length 1.
@@ -13,7 +15,7 @@ def hashed_words(rows: DataFrame, text: str, dim: int) -> DataFrame:
     """
     words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("[a-z0-9_]+"), F.lit(0))
     bucket = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 17, 8), 16, 10).cast("long") % dim)
-    counted = rows.withColumn("_b", F.array_sort(bucket))
+    counted = spread(rows).withColumn("_b", bucket)
     counts = F.aggregate(
         "_b",
         F.array_repeat(F.lit(0.0), dim),
