@@ -7,10 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import dot
+from ..session import cut
 
 MAX_BLOCK = 4096
 
@@ -38,6 +40,7 @@ def top_k_blocked(queries: DataFrame, corpus: DataFrame, k: int, include_self: b
     rows a query on, so the final ranking is small however large the corpus.
     With `digits`, scores are rounded before they are ranked.
     """
+    queries = cut(queries.select("query_id", "vector"))
     n = max(1, math.ceil(queries.count() / block))
     numbered = queries.dropna().withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n)))
     parts = None
@@ -51,6 +54,7 @@ def top_k_blocked(queries: DataFrame, corpus: DataFrame, k: int, include_self: b
             held_ids = np.zeros((len(ids), 0), np.int64)
             held = np.zeros((len(ids), 0))
             for batch in batches:
+                batch = batch.filter(pc.is_valid(batch.column("vector")))  # here, as a filter in Spark would compute a derived vector twice
                 if not batch.num_rows or not len(ids):
                     continue
                 vectors = batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
@@ -67,7 +71,7 @@ def top_k_blocked(queries: DataFrame, corpus: DataFrame, k: int, include_self: b
             rows_at, _ = np.nonzero(keep)
             yield pa.RecordBatch.from_arrays([pa.array(ids[rows_at]), pa.array(held_ids[keep]), pa.array(held[keep])], names=["query_id", "corpus_id", "score"])
 
-        part = corpus.select("corpus_id", "vector").dropna().mapInArrow(run, "query_id long, corpus_id long, score double")
+        part = corpus.select("corpus_id", "vector").dropna(subset=["corpus_id"]).mapInArrow(run, "query_id long, corpus_id long, score double")
         parts = part if parts is None else parts.unionByName(part)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "corpus_id")
     return parts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
