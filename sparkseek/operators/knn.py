@@ -59,14 +59,16 @@ def top_k_blocked(queries: DataFrame, corpus: DataFrame, k: int, include_self: b
                     continue
                 vectors = batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
                 others = batch.column("corpus_id").to_numpy()
-                score = matrix @ vectors.T
-                score = score if digits is None else np.round(score, digits)
-                if not include_self:
-                    score[ids[:, None] == others[None, :]] = -np.inf
-                held = np.concatenate([held, score], axis=1)
-                held_ids = np.concatenate([held_ids, np.broadcast_to(others, score.shape)], axis=1)
-                order = np.lexsort((held_ids, -held), axis=1)[:, :k]
-                held, held_ids = np.take_along_axis(held, order, 1), np.take_along_axis(held_ids, order, 1)
+                for a in range(0, len(others), 1024):  # a few rows at a time bound the memory by the block
+                    near = others[a : a + 1024]
+                    score = matrix @ vectors[a : a + 1024].T
+                    score = score if digits is None else np.round(score, digits)
+                    if not include_self:
+                        score[ids[:, None] == near[None, :]] = -np.inf
+                    held = np.concatenate([held, score], axis=1)
+                    held_ids = np.concatenate([held_ids, np.broadcast_to(near, score.shape)], axis=1)
+                    order = np.lexsort((held_ids, -held), axis=1)[:, :k]
+                    held, held_ids = np.take_along_axis(held, order, 1), np.take_along_axis(held_ids, order, 1)
             keep = np.isfinite(held)
             rows_at, _ = np.nonzero(keep)
             yield pa.RecordBatch.from_arrays([pa.array(ids[rows_at]), pa.array(held_ids[keep]), pa.array(held[keep])], names=["query_id", "corpus_id", "score"])
