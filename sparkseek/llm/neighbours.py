@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.codefiles import task_count
+from ..session import cut
 
 # Dimensions of the models.
 MODEL_DIMENSIONS = {"codemini-64": 64, "codewide-96": 96}
@@ -241,13 +242,52 @@ def similar_pairs(entries: DataFrame, threshold: float = 0.85, curves: Curves =
     return found.select("model", F.least("content_hash", "other_hash").alias("hash_a"), F.greatest("content_hash", "other_hash").alias("hash_b")).distinct()
 
 
+def _exact_best(groups: dict[str, tuple[list[str], np.ndarray]], k: int, rows: int = 1024):
+    """Every query's best k of a partition; vectors are compared a few rows at a time, so memory is bounded by the block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = {m: np.array(g[0], object) for m, g in groups.items()}
+        unit = {m: g[1] / np.linalg.norm(g[1], axis=1, keepdims=True) for m, g in groups.items()}
+        seen: dict[str, list[str]] = {m: [] for m in groups}
+        held = {m: (np.zeros((len(names[m]), 0)), np.zeros((len(names[m]), 0), np.int64)) for m in groups}
+        for batch in batches:
+            models = np.array(batch.column("model").to_pylist(), dtype=object)
+            for model in sorted(set(models) & set(groups)):
+                part = batch.filter(pa.array(models == model))
+                v = part.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+                v /= np.linalg.norm(v, axis=1, keepdims=True)
+                others = part.column("content_hash").to_pylist()
+                place = {h: i for i, h in enumerate(others)}
+                own = [(i, place[h]) for i, h in enumerate(names[model]) if h in place]
+                for a in range(0, len(v), rows):
+                    near = unit[model] @ v[a : a + rows].T
+                    for i, j in own:
+                        if a <= j < a + rows:
+                            near[i, j - a] = -np.inf
+                    score, index = held[model]
+                    at = np.broadcast_to(len(seen[model]) + a + np.arange(near.shape[1]), near.shape)
+                    score, index = np.concatenate([score, near], axis=1), np.concatenate([index, at], axis=1)
+                    if score.shape[1] > k:
+                        top = np.argpartition(score, score.shape[1] - k, axis=1)[:, -k:]
+                        score, index = np.take_along_axis(score, top, 1), np.take_along_axis(index, top, 1)
+                    held[model] = (score, index)
+                seen[model] += others
+        for model, (score, index) in held.items():
+            keep = np.isfinite(score)
+            at, _ = np.nonzero(keep)
+            other = np.array(seen[model], object)[index[keep]] if len(seen[model]) else np.empty(0, object)
+            yield pa.RecordBatch.from_arrays([pa.array([model] * len(at), pa.string()), pa.array(names[model][at], pa.string()), pa.array(other, pa.string()), pa.array(np.round(score[keep], 9))], names=["model", "content_hash", "other_hash", "score"])
+
+    return run
+
+
 def recall_report(entries: DataFrame, curves: Curves = Curves(), every: int = 50, block: int = 4096) -> DataFrame:
     """Per model: queries, exact links, links found, recall, and the mean loss of score.
 
     Queries are the valid entries whose id (xxhash64 of model and hash) is
     divisible by `every`; they are compared with all entries, block by block.
     """
-    valid = valid_entries(entries)
+    valid = cut(valid_entries(entries))
     ident = F.pmod(F.xxhash64("model", "content_hash"), F.lit(every))
     queries = valid.filter(ident == 0)
     blocks = max(1, math.ceil(queries.count() / block))
@@ -257,29 +297,7 @@ def recall_report(entries: DataFrame, curves: Curves = Curves(), every: int = 50
         rows = queries.filter(number == b).select("model", "content_hash", "vector").collect()  # one bounded block of the query set
         groups = {m: ([r["content_hash"] for r in rows if r["model"] == m], np.array([r["vector"] for r in rows if r["model"] == m], np.float64)) for m in {r["model"] for r in rows}}
 
-        def run(batches: Iterator[pa.RecordBatch], groups=groups) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                models = np.array(batch.column("model").to_pylist(), dtype=object)
-                for model in sorted(set(models) & set(groups)):
-                    names, q = groups[model]
-                    q = q / np.linalg.norm(q, axis=1, keepdims=True)
-                    part = batch.filter(pa.array(models == model))
-                    v = part.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
-                    v /= np.linalg.norm(v, axis=1, keepdims=True)
-                    others = np.array(part.column("content_hash").to_pylist(), object)
-                    near = q @ v.T
-                    near[np.array(names, object)[:, None] == others[None, :]] = -np.inf
-                    k = min(curves.k, near.shape[1])
-                    top = np.argpartition(near, near.shape[1] - k, axis=1)[:, -k:]
-                    mine, cols = np.repeat(np.arange(len(names)), k), top.ravel()
-                    keep = np.isfinite(near[mine, cols])
-                    mine, cols = mine[keep], cols[keep]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([model] * len(mine), pa.string()), pa.array(np.array(names, object)[mine], pa.string()), pa.array(others[cols], pa.string()), pa.array(np.round(near[mine, cols], 9))],
-                        names=["model", "content_hash", "other_hash", "score"],
-                    )
-
-        part = valid.select("model", "content_hash", "vector").mapInArrow(run, _LINKS)
+        part = valid.select("model", "content_hash", "vector").mapInArrow(_exact_best(groups, curves.k), _LINKS)
         exact = part if exact is None else exact.unionByName(part)
     by = Window.partitionBy("model", "content_hash").orderBy(F.desc("score"), "other_hash")
     truth = exact.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= curves.k)
