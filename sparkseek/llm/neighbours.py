@@ -225,7 +225,7 @@ def similar_entries(valid: DataFrame, curves: Curves = Curves()) -> DataFrame:
     the full lists, as entries left out score less than those kept.
     """
     spark = valid.sparkSession
-    n = max(task_count(spark), 4 * curves.orderings)
+    n = max(task_count(spark), curves.orderings)  # a window is cut at a partition's ends, so no more than the cores need
     keyed = valid.repartition(task_count(spark, 2), "content_hash").mapInArrow(_place(curves), _KEYED)
     ordered = keyed.repartitionByRange(n, "model", "ordering", "place", "content_hash").sortWithinPartitions("model", "ordering", "place", "content_hash")
     links = ordered.mapInArrow(_windows(curves), _LINKS)
