@@ -150,8 +150,8 @@ def _probe_counts(s: SparkSession, d: str) -> DataFrame:
 
 def _pruned(s: SparkSession, d: str) -> DataFrame:
     e = cache.latest_entries(table(s, d, "cache_entries"))
-    newest = e.agg(F.max("ts").alias("as_of"))
-    kept = cache.pruned(e.join(F.broadcast(newest)), F.col("as_of"), 90 * 86_400_000)  # one row
+    newest = e.agg(F.max("ts")).first()[0]
+    kept = cache.pruned(e, F.lit(newest), 90 * 86_400_000)
     return kept.select("model", "content_hash")
 
 
