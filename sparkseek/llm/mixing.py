@@ -23,7 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -297,8 +297,9 @@ def reached_shares(documents: DataFrame, targets: DataFrame, mix: Mix = Mix()) -
         plan = spark.createDataFrame([], "doc_id long, source string, tokens long, rate double, copies int")
     used = plan.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("tokens").alias("tokens"), F.sum(F.col("tokens") * F.col("copies")).alias("used_tokens"), F.max("copies").alias("most_copies"))
     joined = stated.join(used, "source", "left").fillna(0, ["documents", "tokens", "used_tokens", "most_copies"])
-    sums = joined.agg(F.sum("used_tokens").alias("all_used"), F.sum(F.when(F.col("tokens") > 0, F.col("target_share")).otherwise(0.0)).alias("all_aims"))
-    return joined.crossJoin(F.broadcast(sums)).select(  # one row of sums
+    every = Window.partitionBy(F.lit(0))  # the table of targets is one bounded group
+    summed = joined.withColumns({"all_used": F.sum("used_tokens").over(every), "all_aims": F.sum(F.when(F.col("tokens") > 0, F.col("target_share")).otherwise(0.0)).over(every)})
+    return summed.select(
         "source", "target_share", F.round(F.when((F.col("tokens") > 0) & (F.col("all_aims") > 0), F.col("target_share") / F.col("all_aims")).otherwise(0.0), 6).alias("aim"), "documents", "tokens", "used_tokens",
         F.round(F.when(F.col("all_used") > 0, F.col("used_tokens") / F.col("all_used")).otherwise(0.0), 6).alias("share"), "most_copies", "max_repeats",
     )
