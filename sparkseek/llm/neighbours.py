@@ -1,15 +1,23 @@
-"""The k most similar vectors of every vector, by shifted space-filling curves.
-
-Every ordering projects the unit vectors onto a few random orthogonal
-directions, shifts them, maps each coordinate to a grid by the normal
-distribution function and takes the Hilbert index. Spark range-partitions all
-orderings at once by (model, ordering, index); along each ordering, windows of
-neighbours are compared exactly and every vector's best are kept. The lists of
-all orderings are merged and the best k remain.
-
-Cost: each vector is shuffled once an ordering, compared with about
-block + 2 * window others there, and sends at most k rows on. Nothing grows
-faster than the number of vectors.
+"""The k most similar vectors of every vector.
+
+All pairs of a model are compared: the entries are put into blocks by hash, one
+task takes one pair of blocks, multiplies the unit vectors tile by tile in
+single precision and computes exactly what may belong to a list of the best k.
+The lists of all blocks are merged and the best k remain. Close to
+high-dimensional noise, as these vectors are, no ordering or graph keeps the
+lists whole, so none is used for results.
+
+Cost: products grow with the square of a model's entries; each entry is
+shuffled once a block of its model (entries / `rows`, at least `least`), and at
+most k rows of it go on from each.
+
+Where an approximate answer will do, `Curves` searches along shifted
+space-filling curves instead. Every ordering projects the unit vectors onto a
+few random orthogonal directions, shifts them, maps each coordinate to a grid
+by the normal distribution function and takes the Hilbert index. Spark
+range-partitions all orderings at once by (model, ordering, index); windows of
+neighbours along each are compared exactly. The windows don't grow with the
+table, so the larger it is, the more is missed.
 """
 
 from __future__ import annotations
@@ -217,28 +225,188 @@ def _windows(curves: Curves):
     return run
 
 
-def similar_entries(valid: DataFrame, curves: Curves = Curves()) -> DataFrame:
+def _curve_links(valid: DataFrame, curves: Curves) -> DataFrame:
+    """Links of the best k of every entry within its windows of all orderings."""
+    spark = valid.sparkSession
+    n = max(task_count(spark), curves.orderings)  # a window is cut at a partition's ends, so no more than the cores need
+    keyed = valid.repartition(task_count(spark, 2), "content_hash").mapInArrow(_place(curves), _KEYED)
+    ordered = keyed.repartitionByRange(n, "model", "ordering", "place", "content_hash").sortWithinPartitions("model", "ordering", "place", "content_hash")
+    return ordered.mapInArrow(_windows(curves), _LINKS)
+
+
+@dataclass(frozen=True)
+class Blocks:
+    """Entries of a model go to blocks of about `rows`, at least `least` of them; products are taken in tiles of tile_rows by tile_cols."""
+
+    k: int = 5
+    rows: int = 65_536
+    least: int = 6
+    tile_rows: int = 512
+    tile_cols: int = 8192
+    min_score: float = -1.0
+
+
+_SLACK = 1e-5  # more than the error of a product of unit vectors in single precision
+_RANKS = np.int64(1 << 24)  # a block has fewer rows
+
+
+class _Best:
+    """The best k of every row of a block among the rows of another: keys of rounded score and, for ties, place by hash."""
+
+    def __init__(self, n: int, k: int, min_score: float):
+        self.k, self.least = k, min_score
+        self.keys = np.full((n, k), -1, np.int64)
+        self.floor = np.full(n, min_score - _SLACK, np.float32)  # what a product must reach to matter
+
+    @staticmethod
+    def key(score: np.ndarray, other: np.ndarray) -> np.ndarray:
+        return np.rint((score + 1.0) * 1e9).astype(np.int64) * _RANKS + (_RANKS - 1 - other)
+
+    def add(self, rows: np.ndarray, keys: np.ndarray) -> None:
+        """Takes in keys of rows; of each row the best k stay."""
+        touched = np.unique(rows)
+        all_rows = np.concatenate([rows, np.repeat(touched, self.k)])
+        all_keys = np.concatenate([keys, self.keys[touched].ravel()])
+        order = np.lexsort((-all_keys, all_rows))
+        all_rows, all_keys = all_rows[order], all_keys[order]
+        rank = np.arange(len(all_rows)) - np.searchsorted(all_rows, all_rows)
+        top = rank < self.k
+        self.keys[all_rows[top], rank[top]] = all_keys[top]
+        last = self.keys[touched, -1]
+        full = np.where(last >= 0, last // _RANKS / 1e9 - 1.0, self.least)
+        self.floor[touched] = np.maximum(self.least, full) - _SLACK
+
+    def links(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, others and rounded scores."""
+        rows, at = np.nonzero(self.keys >= 0)
+        keys = self.keys[rows, at]
+        return rows, _RANKS - 1 - keys % _RANKS, np.round(keys // _RANKS / 1e9 - 1.0, 9)
+
+
+def _compare(a: np.ndarray, b: np.ndarray | None, s: Blocks) -> tuple[_Best, _Best | None]:
+    """Every row of a against every row of b, and the reverse; without b, a against itself. Rows are in the order of their hashes."""
+    own = b is None
+    b = a if own else b
+    a32, b32 = a.astype(np.float32), b.astype(np.float32)
+    lowest = s.min_score if s.min_score > -1 else -np.inf
+    mine = _Best(len(a), s.k, s.min_score)
+    theirs = mine if own else _Best(len(b), s.k, s.min_score)
+    for y in range(0, len(b), s.tile_cols):
+        y1 = min(len(b), y + s.tile_cols)
+        for x in range(0, y1 if own else len(a), s.tile_rows):  # on one's own block only tiles that reach the upper half
+            x1 = min(len(a), x + s.tile_rows)
+            near = a32[x:x1] @ b32[y:y1].T
+            tr, tc = mine.floor[x:x1], theirs.floor[y:y1]
+            flat = np.flatnonzero(near >= min(tr.min(), tc.min()))
+            if len(flat) > near.size // 50:
+                if near.shape[1] > s.k + 1 and (mine.keys[x:x1, -1] < 0).any():  # a first bound from the tile itself, in which a row may meet itself
+                    tr = np.maximum(tr, np.partition(near, near.shape[1] - s.k - 1, axis=1)[:, -s.k - 1] - np.float32(2 * _SLACK))
+                if near.shape[0] > s.k + 1 and (theirs.keys[y:y1, -1] < 0).any():
+                    tc = np.maximum(tc, np.partition(near, near.shape[0] - s.k - 1, axis=0)[-s.k - 1] - np.float32(2 * _SLACK))
+                flat = np.flatnonzero((near >= tr[:, None]) | (near >= tc[None, :]))
+            if not len(flat):
+                continue
+            if len(flat) > near.size // 50:  # many nearly equal rows: what they span, in double precision
+                i, j = np.unique(flat // near.shape[1]) + x, np.unique(flat % near.shape[1]) + y
+                exact = a[i] @ b[j].T
+                for best, scores, rows, others, turned in ((mine, exact, i, j, False), (theirs, exact.T, j, i, True)):
+                    ok = scores >= lowest
+                    if own:
+                        ok &= rows[:, None] > others[None, :] if turned else rows[:, None] < others[None, :]
+                    keys = np.where(ok, _Best.key(scores, others[None, :]), -1)
+                    k = min(s.k, keys.shape[1])
+                    top = np.partition(keys, keys.shape[1] - k, axis=1)[:, -k:].ravel()
+                    best.add(np.repeat(rows, k)[top >= 0], top[top >= 0])
+                continue
+            i, j = flat // near.shape[1], flat % near.shape[1]
+            got = near[i, j]
+            for_row, for_col = got >= tr[i], got >= tc[j]
+            use = for_row | for_col
+            if own:
+                use &= i + x < j + y
+            i, j, for_row, for_col = i[use] + x, j[use] + y, for_row[use], for_col[use]
+            score = np.empty(len(i))
+            for c in range(0, len(i), 65_536):
+                score[c : c + 65_536] = np.einsum("ij,ij->i", a[i[c : c + 65_536]], b[j[c : c + 65_536]])
+            ok = score >= lowest
+            for best, rows, others, want in ((mine, i, j, for_row & ok), (theirs, j, i, for_col & ok)):
+                if want.any():
+                    best.add(rows[want], _Best.key(score[want], others[want]))
+    return mine, None if own else theirs
+
+
+def _unit(vectors: pa.ChunkedArray, n: int) -> np.ndarray:
+    rows = vectors.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+    rows /= np.abs(rows).max(axis=1, keepdims=True)
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+
+
+def _block_pairs(s: Blocks):
+    """A partition holds the rows of one pair of blocks of one model."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        rows = pa.Table.from_batches(held).sort_by([("side", "ascending"), ("content_hash", "ascending")])
+        model, side = rows.column("model")[0].as_py(), rows.column("side").to_numpy()
+        names, unit, n = rows.column("content_hash").combine_chunks().cast(pa.string()), _unit(rows.column("vector"), rows.num_rows), int((side == 0).sum())
+        own = bool(rows.column("own")[0].as_py())
+        if own:
+            mine, theirs = _compare(unit, None, s)
+        elif n in (0, len(side)):
+            return
+        else:
+            mine, theirs = _compare(unit[:n], unit[n:], s)
+        for best, at, other in ((mine, 0, 0 if own else n), (theirs, n, 0)):
+            if best is None:
+                continue
+            r, o, score = best.links()
+            for c in range(0, len(r), 65_536):
+                part = slice(c, c + 65_536)
+                yield pa.RecordBatch.from_arrays([pa.array([model] * len(r[part]), pa.string()), names.take(pa.array(r[part] + at)), names.take(pa.array(o[part] + other)), pa.array(score[part])], names=["model", "content_hash", "other_hash", "score"])
+
+    return run
+
+
+def _all_links(valid: DataFrame, s: Blocks) -> DataFrame:
+    """Links of the best k of every entry within each other block of its model, all pairs compared."""
+    held = cut(valid.select("model", "content_hash", "vector"))
+    blocks, first, groups = {}, {}, 0
+    for row in held.groupBy("model").count().orderBy("model").collect():  # one row a model
+        b = max(s.least, math.ceil(row["count"] / s.rows))
+        blocks[row["model"]], first[row["model"]] = b, groups
+        groups += b * (b + 1) // 2
+    if not blocks:
+        return held.select("model", "content_hash", F.lit("").alias("other_hash"), F.lit(0.0).alias("score")).limit(0)
+    of = lambda values: F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[F.col("model")]
+    at, low, high = F.col("at"), F.least("at", "with"), F.greatest("at", "with")
+    placed = held.withColumn("at", F.pmod(F.xxhash64("content_hash"), of(blocks)).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), of(blocks) - 1)))
+    sent = placed.select("model", "content_hash", "vector", (at > F.col("with")).cast("int").alias("side"), (at == F.col("with")).alias("own"), (of(first) + F.expr("greatest(at, with) * (greatest(at, with) + 1) div 2") + low).cast("int").alias("pair"))
+    return sent.repartitionById(groups, F.col("pair")).drop("pair").mapInArrow(_block_pairs(s), _LINKS)
+
+
+def similar_entries(valid: DataFrame, curves: Curves | None = None, blocks: Blocks = Blocks()) -> DataFrame:
     """model, content_hash, other_hash, score, rank: the best k of every valid entry with score (cosine) >= min_score.
 
+    Without `curves` all pairs of a model are compared and the result is exact;
+    with them, the search is approximate and misses more the larger the table.
     Scores are rounded to 9 decimals; ties are ranked by other_hash. Copies of
     a vector are entries like others. With a min_score the ranks stay those of
     the full lists, as entries left out score less than those kept.
     """
-    spark = valid.sparkSession
-    n = max(task_count(spark), curves.orderings)  # a window is cut at a partition's ends, so no more than the cores need
-    keyed = valid.repartition(task_count(spark, 2), "content_hash").mapInArrow(_place(curves), _KEYED)
-    ordered = keyed.repartitionByRange(n, "model", "ordering", "place", "content_hash").sortWithinPartitions("model", "ordering", "place", "content_hash")
-    links = ordered.mapInArrow(_windows(curves), _LINKS)
+    links = _all_links(valid, blocks) if curves is None else _curve_links(valid, curves)
+    k = (blocks if curves is None else curves).k
     pair = F.struct((-F.col("score")).alias("s"), "other_hash")
-    lists = links.groupBy("model", "content_hash").agg(F.slice(F.sort_array(F.collect_set(pair)), 1, curves.k).alias("best"))
+    lists = links.groupBy("model", "content_hash").agg(F.slice(F.sort_array(F.collect_set(pair)), 1, k).alias("best"))
     return lists.select("model", "content_hash", F.posexplode("best").alias("rank", "b")).select("model", "content_hash", F.col("b.other_hash").alias("other_hash"), (-F.col("b.s")).alias("score"), (F.col("rank") + 1).alias("rank"))
 
 
-def similar_pairs(entries: DataFrame, threshold: float = 0.85, curves: Curves = Curves()) -> DataFrame:
+def similar_pairs(entries: DataFrame, threshold: float = 0.85, curves: Curves | None = None, blocks: Blocks = Blocks()) -> DataFrame:
     """model, hash_a < hash_b: pairs of at least the threshold where one is among the other's best k."""
     from dataclasses import replace
 
-    found = similar_entries(valid_entries(entries), replace(curves, min_score=threshold))
+    found = similar_entries(valid_entries(entries), curves and replace(curves, min_score=threshold), replace(blocks, min_score=threshold))
     return found.select("model", F.least("content_hash", "other_hash").alias("hash_a"), F.greatest("content_hash", "other_hash").alias("hash_b")).distinct()
 
 
@@ -281,13 +449,14 @@ def _exact_best(groups: dict[str, tuple[list[str], np.ndarray]], k: int, rows: i
     return run
 
 
-def recall_report(entries: DataFrame, curves: Curves = Curves(), every: int = 50, block: int = 4096) -> DataFrame:
+def recall_report(entries: DataFrame, curves: Curves | None = None, every: int = 50, block: int = 4096) -> DataFrame:
     """Per model: queries, exact links, links found, recall, and the mean loss of score.
 
     Queries are the valid entries whose id (xxhash64 of model and hash) is
     divisible by `every`; they are compared with all entries, block by block.
     """
     valid = cut(valid_entries(entries))
+    k = (Blocks() if curves is None else curves).k
     ident = F.pmod(F.xxhash64("model", "content_hash"), F.lit(every))
     queries = valid.filter(ident == 0)
     blocks = max(1, math.ceil(queries.count() / block))
@@ -297,10 +466,10 @@ def recall_report(entries: DataFrame, curves: Curves = Curves(), every: int = 50
         rows = queries.filter(number == b).select("model", "content_hash", "vector").collect()  # one bounded block of the query set
         groups = {m: ([r["content_hash"] for r in rows if r["model"] == m], np.array([r["vector"] for r in rows if r["model"] == m], np.float64)) for m in {r["model"] for r in rows}}
 
-        part = valid.select("model", "content_hash", "vector").mapInArrow(_exact_best(groups, curves.k), _LINKS)
+        part = valid.select("model", "content_hash", "vector").mapInArrow(_exact_best(groups, k), _LINKS)
         exact = part if exact is None else exact.unionByName(part)
     by = Window.partitionBy("model", "content_hash").orderBy(F.desc("score"), "other_hash")
-    truth = exact.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= curves.k)
+    truth = exact.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
     got = similar_entries(valid, curves).filter(F.pmod(F.xxhash64("model", "content_hash"), F.lit(every)) == 0)
     t = truth.groupBy("model").agg(F.countDistinct("content_hash").alias("queries"), F.count(F.lit(1)).alias("exact_links"), F.sum("score").alias("exact_sum"))
     hit = truth.select("model", "content_hash", "other_hash").join(got.select("model", "content_hash", "other_hash"), ["model", "content_hash", "other_hash"]).groupBy("model").agg(F.count(F.lit(1)).alias("found_links"))

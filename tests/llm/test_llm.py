@@ -95,6 +95,15 @@ def test_identical_vectors(spark):
     assert {(r["n"], r["s"]) for r in got} == {(5, 1.0)} and len(got) == 50
 
 
+def test_lists_stay_whole_on_larger_tables(spark):
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(12_000, 64)).astype(np.float32)
+    rows = [("codemini-64", f"h{i:05}", v.tolist(), None, None) for i, v in enumerate(vectors)]
+    table = spark.createDataFrame(rows, "model string, content_hash string, vector array<float>, ts timestamp, loaded_at timestamp")
+    report = neighbours.recall_report(table).first()
+    assert report["recall"] == 1.0 and report["mean_loss"] == 0.0 and report["queries"] > 150
+
+
 # 4 provenance
 HAND = "import { a } from './b.js';\n\nexport function run(items: any) {\n  const total = items.filter((x) => x.size > 3).length;\n  if (total > 4) {\n    return total;\n  }\n  return a(items, total);\n}\n"
 
