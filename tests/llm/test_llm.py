@@ -104,6 +104,33 @@ def test_lists_stay_whole_on_larger_tables(spark):
     assert report["recall"] == 1.0 and report["mean_loss"] == 0.0 and report["queries"] > 150
 
 
+def exact_lists(names, unit, k=5):
+    score = np.round(unit @ unit.T, 9)
+    return {(names[i], names[j]) for i in range(len(names)) for j in [j for j in np.lexsort((names, -score[i])) if j != i][:k]}
+
+
+def test_hot_group_of_near_and_exact_copies():
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=64)
+    near = base + 0.001 * rng.normal(size=(1500, 64))
+    near[750:] = near[:750] + 0.00003 * rng.normal(size=(750, 64))  # each has one much closer partner
+    unit = np.concatenate([near, np.repeat(base[None], 1200, axis=0), rng.normal(size=(300, 64))])
+    unit = unit[rng.permutation(len(unit))]
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    names = np.array([f"h{i:05}" for i in range(len(unit))])
+    small = neighbours.Blocks(tile_rows=128, tile_cols=512)
+    best, _ = neighbours._compare(unit, None, small)
+    rows, others, _ = best.links()
+    want = exact_lists(names, unit)
+    same = {(names[r], names[o]) for r, o in zip(rows, others)} & want
+    assert len(same) >= 0.999 * len(want)  # the last digit of a score may be rounded either way
+    mine, theirs = neighbours._compare(unit[:1000], unit[1000:], small)
+    score = np.round(unit[:1000] @ unit[1000:].T, 9)
+    for got, s in ((mine, score), (theirs, score.T)):
+        kth = np.sort(s, axis=1)[:, -5:]
+        assert np.allclose(np.sort(np.round(got.keys // neighbours._RANKS / 1e9 - 1, 9), axis=1), kth, atol=2e-9)
+
+
 # 4 provenance
 HAND = "import { a } from './b.js';\n\nexport function run(items: any) {\n  const total = items.filter((x) => x.size > 3).length;\n  if (total > 4) {\n    return total;\n  }\n  return a(items, total);\n}\n"
 
