@@ -41,16 +41,22 @@ WORDS = frozenset(
 )
 _WORD_COST, _SYLLABLE_COST, _DIGIT_COST, _PLAIN_COST, _UNEXPLAINED = 1.0, 1.6, 0.9, 0.4, 2.2
 _MAX_WORD = max(map(len, WORDS))
+_MAX_SYLLABLES = 100  # of one piece of a run
 _VOWELS = frozenset("aeiou")
 
 
-@lru_cache(maxsize=65536)
 def residual(text: str) -> str:
+    """The longest unexplained stretch of a text; short texts, which recur, are remembered."""
+    return _remembered(text) if len(text) <= 200 else _longest_unexplained(text)
+
+
+def _longest_unexplained(text: str) -> str:
     """The characters of the longest stretch that the cheapest segmentation leaves unexplained.
 
     Separators and digits inside the stretch belong to it. Words must be in one
     letter case (lower, upper or capital first); a syllable is a consonant and
-    a vowel of the same case inside a run of at least two syllables.
+    a vowel of the same case inside a run of at least two syllables; a longer run
+    is read in pieces of up to `_MAX_SYLLABLES`, so the work is linear.
     """
     n, lower = len(text), text.lower()
     best = [0.0] + [math.inf] * n
@@ -68,7 +74,7 @@ def residual(text: str) -> str:
                 if cost + _WORD_COST < best[j]:
                     best[j], how[j] = cost + _WORD_COST, (i, True)
         j = i
-        while j + 1 < n and lower[j].isalpha() and lower[j].isascii() and lower[j] not in _VOWELS and lower[j + 1] in _VOWELS and (j == i or (text[j] + text[j + 1]).islower() or text[i : j + 2].isupper()) and (text[j + 1].islower() or text[i : j + 2].isupper()):
+        while j + 1 < n and j < i + 2 * _MAX_SYLLABLES and lower[j].isalpha() and lower[j].isascii() and lower[j] not in _VOWELS and lower[j + 1] in _VOWELS and (j == i or (text[j] + text[j + 1]).islower() or text[i : j + 2].isupper()) and (text[j + 1].islower() or text[i : j + 2].isupper()):
             j += 2
             price = cost + _SYLLABLE_COST * (j - i) / 2
             if j - i >= 4 and price < best[j]:
@@ -79,20 +85,19 @@ def residual(text: str) -> str:
         start, known = how[i]
         pieces.append((start, i, known))
         i = start
-    longest, run = "", ""
+    longest, begin = (0, 0), -1  # begin of the stretch, or -1
     for start, end, known in reversed(pieces):
         piece = text[start:end]
-        if not known or (run and piece.isdigit()) or (not run and piece.isdigit()):
-            run += piece
-        elif run and len(piece) <= 1 and piece in "+/=_-.":
-            run += piece
-        elif run and len(piece) <= 4:  # a short word by chance within noise
-            run += piece
-        else:
-            run = ""
-        if len(run) > len(longest):
-            longest = run
-    return longest
+        if not known or piece.isdigit():
+            begin = start if begin < 0 else begin
+        elif begin < 0 or not (len(piece) <= 1 and piece in "+/=_-." or len(piece) <= 4):  # a short word by chance within noise belongs to it
+            begin = -1
+        if begin >= 0 and end - begin > longest[1] - longest[0]:
+            longest = (begin, end)
+    return text[longest[0] : longest[1]]
+
+
+_remembered = lru_cache(maxsize=65536)(_longest_unexplained)
 
 
 _HASH = re.compile(
@@ -153,7 +158,6 @@ def _mixed(run: str) -> bool:
     return classes >= 2 and len(set(run)) >= 8
 
 
-MAX_CREDENTIAL = 4096  # a longer literal is data; keys with a frame, URLs and headers have no such bound
 _NOTABLE = re.compile(r"://|-----BEGIN|[A-Za-z0-9_.-]{14}|^\s*(?:Basic|Bearer|Token|Digest|ApiKey)\s", re.I)
 
 
@@ -189,7 +193,7 @@ def classify(name: str, value: str) -> list[Span]:
     bare = value.strip()
     lead = len(value) - len(value.lstrip())
     whole = [Span(lead, lead + len(bare), "literal")]
-    if not bare or len(bare) > MAX_CREDENTIAL or _placeholder(bare):
+    if not bare or _placeholder(bare):
         return []
     if asks_for_credential(name):
         if _PASSWORD_NAME.search(_flat(name)):
@@ -197,14 +201,16 @@ def classify(name: str, value: str) -> list[Span]:
         if re.search(r"\s", bare) or len(bare) < 8 or re.fullmatch(r"[\d.]+", bare):
             return []
         return whole if len(residual(bare)) >= 6 or _HASH.match(bare) else []
-    if re.search(r"\s", bare) or len(bare) > 600 or _HASH.match(bare):
+    if re.search(r"\s", bare):
         return []
     if _JWT.match(bare):
         return whole
+    if _HASH.match(bare):
+        return []
     if re.search(r"[+/=(){}\[\]<>;:,@\\$%!?*&|^~`'\"#]", bare):
         return []  # data, code and paths; keys of known kinds use letters, digits and _-. only
     run = residual(bare)
-    return whole if len(run) >= 14 and _mixed(run) and not _HASH.match(run) and len(bare) <= 200 else []
+    return whole if len(run) >= 14 and _mixed(run) and not _HASH.match(run) else []
 
 
 _CODE_LITERAL = r"""\"\"\"[\s\S]*?(?:\"\"\"|\Z)|'''[\s\S]*?(?:'''|\Z)|`(?:[^`\\]|\\[\s\S])*(?:`|\Z)|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'"""

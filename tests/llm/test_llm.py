@@ -326,6 +326,21 @@ def test_residual():
     assert len(secrets.residual(KEY)) >= 14
 
 
+def noise(n, seed=1):
+    rng = random.Random(seed)
+    return "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+
+
+@pytest.mark.parametrize("text", [f"verify('eyJ{noise(40)}.{noise(700, 2)}.{noise(340, 3)}');", f"const value = '{noise(260)}';", f"const serviceKey = '{noise(9000)}+/==';"])
+def test_long_credentials_are_found_and_masked(text):
+    assert [s.kind for s in secrets.find_secrets("a.ts", text)] == ["literal"]
+    assert len(secrets.redact("a.ts", text)) < 60 and secrets.find_secrets("a.ts", secrets.redact("a.ts", text)) == []
+
+
+def test_long_texts_of_syllables_are_read_in_linear_time():
+    assert secrets.residual("ba" * 50_000) == "" and len(secrets.residual("ba" * 5_000 + KEY)) >= 14
+
+
 def test_secret_places(spark):
     files = [("a", "a.ts", f"\nconst tmp = '{KEY}';"), ("a", "b.ts", None), ("a", None, f"tmp = '{KEY}'")]
     table = chunk_table(spark, files, [(0, "a", "r", "a.ts", 1, files[0][2], "again")])
