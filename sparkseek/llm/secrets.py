@@ -19,6 +19,7 @@ import base64
 import binascii
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -222,6 +223,7 @@ _IS_KEY = re.compile(r"\s*:(?!:)")
 _JOIN = re.compile(r"""\s*(?:\+\s*|\\\r?\n\s*)?(?:[furbFURB]{1,2}(?=["']))?""")
 _SETTING = re.compile(r"""^[ \t]*(?:-[ \t]+)?(?:export[ \t]+)?["']?([A-Za-z_][\w.-]*)["']?[ \t]*(=|:(?=\s))[ \t]*(.*?)[ \t]*\r?$""", re.M)
 _NAMED_IN_COMMENT = re.compile(r"""(?<![\w.-])([A-Za-z_][\w.-]*)\s*(?:=|:)\s*["'`]?([^\s"'`](?:[^\n"'`]*[^\s"'`,;*/])?)""")
+_FURTHER_NAME = re.compile(r"[\s,;](?=[A-Za-z_][\w.-]*(?:\s*=|:\s))")
 _BARE_URL = re.compile(r"(?<![a-z0-9+.-])[a-z][a-z0-9+.-]{0,30}://[^\s'\"`]+", re.I)
 
 
@@ -259,18 +261,7 @@ def find_secrets(path: str | None, content: str | None) -> list[Span]:
         if m.lastgroup == "C":
             flush()
             last_end = -1
-            comment, at = m[0], m.start()
-            seen = len(out)
-            if "=" in comment or ":" in comment:
-                for n in _NAMED_IN_COMMENT.finditer(comment):
-                    if n[2].startswith("//"):
-                        continue
-                    out.extend(Span(at + n.start(2) + s.start, at + n.start(2) + s.end, s.kind) for s in classify(n[1], n[2]))
-                    if len(out) > seen:
-                        break
-            if len(out) == seen:
-                for u in _BARE_URL.finditer(comment):
-                    out.extend(Span(at + u.start() + s.start, at + u.start() + s.end, s.kind) for s in classify("", u[0]))
+            out.extend(Span(m.start() + x.start, m.start() + x.end, x.kind) for x in _in_comment(m[0]))
             continue
         literal = m[0]
         mark = 3 if literal.startswith(('"""', "'''")) else 1
@@ -291,7 +282,38 @@ def find_secrets(path: str | None, content: str | None) -> list[Span]:
     for m in _PEM_ALL.finditer(content):  # keys outside literals
         if not any(s.start <= m.start() < s.end for s in out):
             out.append(Span(m.start(), m.end(), "private_key"))
-    return sorted(out)
+    return _apart(out)
+
+
+def _apart(spans: list[Span]) -> list[Span]:
+    """Spans in order of place without those that overlap an earlier or, at one start, a longer one."""
+    out: list[Span] = []
+    for s in sorted(spans, key=lambda s: (s.start, -s.end, s.kind)):
+        if not out or s.start >= out[-1].end:
+            out.append(s)
+    return out
+
+
+def _in_comment(comment: str) -> list[Span]:
+    """Every named credential of a comment, also of several in a line, and every URL with one."""
+    out: list[Span] = []
+    if "=" in comment or ":" in comment:
+        cuts = [0, *[m.end() for m in _FURTHER_NAME.finditer(comment)], len(comment)]
+        parts = [(a, n) for a, b in zip(cuts, cuts[1:]) for n in _NAMED_IN_COMMENT.finditer(comment[a:b])]
+        for at, n in parts:
+            if not n[2].startswith("//"):
+                out.extend(Span(at + n.start(2) + s.start, at + n.start(2) + s.end, s.kind) for s in classify(n[1], n[2]))
+        for u in _BARE_URL.finditer(comment) if "://" in comment else ():
+            out.extend(Span(u.start() + s.start, u.start() + s.end, s.kind) for s in classify("", u[0]))
+        out = _apart(out)
+        if len(cuts) > 2:  # values that hold what looks like a further name
+            for n in _NAMED_IN_COMMENT.finditer(comment):
+                if not n[2].startswith("//"):
+                    whole = [Span(n.start(2) + s.start, n.start(2) + s.end, s.kind) for s in classify(n[1], n[2])]
+                    first = bisect_left(out, (n.start(2),))
+                    if not (first < len(out) and out[first].start < n.end(2)):
+                        out[first:first] = [w for w in whole if not first or out[first - 1].end <= w.start]
+    return out
 
 
 def _in_settings(content: str) -> list[Span]:
@@ -309,11 +331,8 @@ def _in_settings(content: str) -> list[Span]:
             value = re.sub(r"\s+#.*$", "", value)
         out.extend(Span(at + s.start, at + s.end, s.kind) for s in classify(m[1], value))
     for m in re.finditer(r"^[ \t]*#([^\n]*)", content, re.M):
-        for n in _NAMED_IN_COMMENT.finditer(m[1]):
-            if not n[2].startswith("//"):
-                found = [Span(m.start(1) + n.start(2) + s.start, m.start(1) + n.start(2) + s.end, s.kind) for s in classify(n[1], n[2])]
-                out.extend(s for s in found if s not in out)
-    return sorted(out)
+        out.extend(Span(m.start(1) + s.start, m.start(1) + s.end, s.kind) for s in _in_comment(m[1]))
+    return _apart(out)
 
 
 MASK = "REDACTED"

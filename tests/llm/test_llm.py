@@ -337,6 +337,16 @@ def test_long_credentials_are_found_and_masked(text):
     assert len(secrets.redact("a.ts", text)) < 60 and secrets.find_secrets("a.ts", secrets.redact("a.ts", text)) == []
 
 
+SEVERAL = f"DB_PASSWORD=lupine-4821-Rook\n{{0}}API_KEY={KEY} next_token: {noise(24)}\n{{0}}postgres://app:s3cretPw9@db.internal/x\n"
+
+
+@pytest.mark.parametrize("path,text", [("a.ts", "/* " + SEVERAL.format(" * ") + "*/"), ("a.yaml", "# " + SEVERAL.format("# ")), (".env", "# " + SEVERAL.format("# "))])
+def test_all_credentials_of_a_comment_are_found_and_masked(path, text):
+    assert [text.count("\n", 0, s.start) for s in secrets.find_secrets(path, text)] == [0, 1, 1, 2]
+    masked = secrets.redact(path, text)
+    assert not any(x in masked for x in ("Rook", KEY, noise(24), "s3cretPw9")) and "API_KEY=REDACTED next_token: REDACTED" in masked
+
+
 def test_long_texts_of_syllables_are_read_in_linear_time():
     assert secrets.residual("ba" * 50_000) == "" and len(secrets.residual("ba" * 5_000 + KEY)) >= 14
 
