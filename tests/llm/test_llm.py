@@ -291,6 +291,14 @@ def test_documented_functions(spark):
     assert ("bad.ts", "add") in broken
 
 
+def test_short_descriptions_are_kept_however_often_they_recur(spark):
+    short = [("r", f"s{i}.ts", f"// Sorts rows.\nfunction f{i}() {{ return {i}; }}\n") for i in range(25)]
+    copies = [("c", f"c{i}.ts", "// Drops empty lines.\nfunction trim(a) { return a; }\n") for i in range(25)]
+    table = chunk_table(spark, [*short, *copies, ("h", "h.ts", "// Helper thing.\nfunction g() { return 1; }\n")])
+    got = docpairs.documented_functions(table).groupBy("repo").count().collect()
+    assert {(r["repo"], r["count"]) for r in got} == {("r", 25), ("c", 25)}
+
+
 # 7 secrets
 KEY = "AKIA" + "Q7Z2M4XW9R3T6Y8B"
 FOUND = [
