@@ -181,7 +181,7 @@ def _scan(texts: list[str], index: _Index, s: Settings) -> list[tuple[int, int,
             lo, hi = max(0, int(at[inside].min()) - index.q), min(len(texts[d]), int(at[inside].max()) + 2 * index.q)
             _, x, y, _, edits = _align(texts[d], index.texts[k], int(diagonal[inside].min()) - index.edits[k], int(diagonal[inside].max()) + index.edits[k], lo, hi, index.q)
             if y - x >= index.length[k] - index.edits[k]:
-                out.append((int(d), k, x, y, edits, _exact(texts[d], x, y, index, k, s)))
+                out.append((int(d), k, x, y, edits, _exact(texts[d], x, y, index, k, s) or _exact(texts[d], lo, hi, index, k, s)))
     return out
 
 
@@ -229,8 +229,8 @@ def leaked_items(documents: DataFrame, items: DataFrame, settings: Settings = Se
     """Document and item pairs that share a passage: doc_id, item_id, matched_chars, edits, exact.
 
     matched_chars and edits describe the best aligned region in the reduced
-    text; exact tells whether it holds the full number of consecutive words
-    (letters) unchanged. Null or empty texts on either side share nothing; an
+    text; exact tells whether it, or another place on its diagonals, holds the
+    full number of consecutive words (letters) unchanged. Null or empty texts on either side share nothing; an
     item too short for a passage can't leak; repeated document rows with one
     doc_id give one row per pair.
     """

@@ -409,6 +409,15 @@ def test_one_edit_is_aligned(spark):
     assert row["edits"] == 1 and row["exact"]  # twelve words follow the change
 
 
+def test_an_unchanged_stretch_behind_a_longer_edited_one():
+    item = [f"word{k}x" for k in range(150)]
+    edited = [w.replace("x", "y") if k % 11 == 5 else w for k, w in enumerate(item[:100])]
+    text = " ".join(edited + [f"{'z' * (len(w) - 2)}{k % 10}q" for k, w in enumerate(item[100:130])] + item[130:142] + ["tail"])
+    s = leakage.Settings()
+    index = leakage._Index([(1, item)], False, s)
+    assert any(exact for *_, exact in leakage._scan([text], index, s))
+
+
 # 9 mixing
 @pytest.mark.skipif(not os.path.exists(mixing.Mix().tokenizer), reason="no tokenizer files")
 def test_shares_are_reached_within_caps(spark):
