@@ -1,23 +1,26 @@
-"""The k most similar vectors of every vector.
-
-All pairs of a model are compared: the entries are put into blocks by hash, one
-task takes one pair of blocks, multiplies the unit vectors tile by tile in
-single precision and computes exactly what may belong to a list of the best k.
-The lists of all blocks are merged and the best k remain. Close to
-high-dimensional noise, as these vectors are, no ordering or graph keeps the
-lists whole, so none is used for results.
-
-Cost: products grow with the square of a model's entries; each entry is
-shuffled once a block of its model (entries / `rows`, at least `least`), and at
-most k rows of it go on from each.
-
-Where an approximate answer will do, `Curves` searches along shifted
-space-filling curves instead. Every ordering projects the unit vectors onto a
-few random orthogonal directions, shifts them, maps each coordinate to a grid
-by the normal distribution function and takes the Hilbert index. Spark
-range-partitions all orderings at once by (model, ordering, index); windows of
-neighbours along each are compared exactly. The windows don't grow with the
-table, so the larger it is, the more is missed.
+"""The k most similar vectors of every vector, along shifted space-filling curves.
+
+Each of several orderings projects the unit vectors onto a few directions, shifts
+them, maps every coordinate to a fine grid by the normal distribution function
+and takes the Hilbert index. Directions are random combinations of a model's
+principal axes, weighted by their spread; axes, and the places at which the
+curves are cut into ranges, are fitted on a bounded sample, while every vector is
+indexed. Spark partitions all orderings at once by (model, ordering, range). A
+range also holds the rows that lie within a window behind either of its ends, so
+neighbouring windows meet across the cut. In each sorted range a window slides
+over the rows; the best k of every row are computed exactly, and the lists of all
+orderings are merged and ranked again.
+
+Equal vectors are one place on every curve. They are put together before the
+search, and their lists are written out after it: the work doesn't grow with the
+number of copies, and ties between copies are decided over all of them. Nearly
+equal vectors are told apart by the low bits of the grid.
+
+Work and shuffle are in proportion to the rows (orderings * window products and
+`orderings` copies of a vector). Windows don't grow with the table: close
+neighbours stay together on the curves at any size, while far ones, which are
+hardly more similar than the rest, are lost the more often the larger the table.
+recall_report measures that.
 """
 
 from __future__ import annotations
@@ -25,11 +28,10 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.codefiles import task_count
@@ -41,112 +43,190 @@ MODEL_DIMENSIONS = {"codemini-64": 64, "codewide-96": 96}
 
 @dataclass(frozen=True)
 class Curves:
-    """`orderings` curves over `directions` coordinates of `bits` bits each; `window` neighbours to either side."""
+    """`orderings` curves over `directions` coordinates of `bits` bits each; `window` neighbours to either side.
+
+    `sample` bounds the rows of a model that axes and cuts are fitted on; a
+    curve is cut into ranges of about `rows` rows. `block` rows share one product.
+    """
 
     k: int = 5
-    orderings: int = 16
+    orderings: int = 20
     directions: int = 12
-    bits: int = 5
+    bits: int = 16
     window: int = 256
     block: int = 512
+    rows: int = 32_768
+    sample: int = 16_384
     min_score: float = -1.0
     seed: int = 20240607
 
 
+def _dimension(dimensions: dict[str, int] | None) -> Column:
+    """A model's dimension: as stated, else the number its name ends in, else null."""
+    dims = MODEL_DIMENSIONS if dimensions is None else dimensions
+    number = F.regexp_extract("model", r"(\d{1,6})$", 1)
+    named = F.when(number != "", number.cast("int"))
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in dims.items() for x in pair])[F.col("model")], named) if dims else named
+
+
+def _held(entries: DataFrame) -> DataFrame:
+    order = F.struct(F.coalesce("ts", F.lit("0001-01-01").cast("timestamp")).alias("a"), F.coalesce("loaded_at", F.lit("0001-01-01").cast("timestamp")).alias("b"))
+    return entries.dropna(subset=["model", "content_hash"]).groupBy("model", "content_hash").agg(F.max_by(F.struct("vector"), order).alias("v")).select("model", "content_hash", "v.vector")
+
+
+def _fault(dimensions: dict[str, int] | None) -> Column:
+    """Why a held entry is not valid; null if it is."""
+    finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) <= F.lit(3.4028235e38)))
+    size = _dimension(dimensions)
+    return (
+        F.when(size.isNull(), "model of unknown dimension").when(F.col("vector").isNull(), "null").when(F.size("vector") != size, "wrong dimension").when(~finite, "not finite").when(~F.exists("vector", lambda x: x != 0), "all zero")
+    )
+
+
 def valid_entries(entries: DataFrame, dimensions: dict[str, int] | None = None) -> DataFrame:
     """model, content_hash, vector of the valid entries.
 
     Of several rows of a key the one with the latest ts holds (a null ts is the
     earliest; of equal ones the latest loaded), and it is valid if its vector is
     not null, has the model's dimension, is finite and not all zero. Keys with a
-    null part and models of unknown dimension have no valid entry.
+    null part have no valid entry. A model's dimension is the stated one, else
+    the number its name ends in; left_out_entries reports what has none.
     """
-    dims = MODEL_DIMENSIONS if dimensions is None else dimensions
-    size = F.create_map(*[F.lit(x) for pair in dims.items() for x in pair])[F.col("model")]
-    order = F.struct(F.coalesce("ts", F.lit("0001-01-01").cast("timestamp")).alias("a"), F.coalesce("loaded_at", F.lit("0001-01-01").cast("timestamp")).alias("b"))
-    held = entries.dropna(subset=["model", "content_hash"]).groupBy("model", "content_hash").agg(F.max_by(F.struct("vector"), order).alias("v")).select("model", "content_hash", "v.vector")
-    finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) <= F.lit(3.4028235e38)))
-    return held.filter(F.col("vector").isNotNull() & (F.size("vector") == size) & finite & F.exists("vector", lambda x: x != 0))
+    return _held(entries).filter(_fault(dimensions).isNull())
+
 
+def left_out_entries(entries: DataFrame, dimensions: dict[str, int] | None = None) -> DataFrame:
+    """model, reason, entries: the keys without a valid entry, counted."""
+    return _held(entries).withColumn("reason", _fault(dimensions)).dropna(subset=["reason"]).groupBy("model", "reason").agg(F.count(F.lit(1)).alias("entries"))
 
-def hilbert_index(grid: np.ndarray, bits: int) -> np.ndarray:
-    """Hilbert indices of grid points (n x m, each below 2**bits), as 64-bit numbers; m * bits at most 63.
+
+def hilbert_key(grid: np.ndarray, bits: int) -> np.ndarray:
+    """Hilbert indices of grid points (n x m, each below 2**bits) as rows of big-endian bytes.
 
     The transposed form of the index is built in place bit plane by bit plane
     and then interleaved.
     """
-    x = grid.astype(np.uint32)
-    n, m = x.shape
-    level = 1 << (bits - 1)
-    while level > 1:
-        low = np.uint32(level - 1)
+    x = np.ascontiguousarray(grid.T.astype(np.uint32))
+    m, n = x.shape
+    for b in range(bits - 1, 0, -1):
+        level, low = np.uint32(1 << b), np.uint32((1 << b) - 1)
         for i in range(m):
-            high = (x[:, i] & np.uint32(level)) != 0
-            swap = np.where(high, np.uint32(0), (x[:, 0] ^ x[:, i]) & low)
-            x[:, 0] ^= np.where(high, low, swap)
-            x[:, i] ^= swap
-        level >>= 1
+            high = (x[i] & level) != 0
+            swap = np.where(high, np.uint32(0), (x[0] ^ x[i]) & low)
+            x[0] ^= np.where(high, low, swap)
+            x[i] ^= swap
     for i in range(1, m):
-        x[:, i] ^= x[:, i - 1]
+        x[i] ^= x[i - 1]
     turn = np.zeros(n, np.uint32)
-    level = 1 << (bits - 1)
-    while level > 1:
-        turn ^= np.where((x[:, m - 1] & np.uint32(level)) != 0, np.uint32(level - 1), np.uint32(0))
-        level >>= 1
-    x ^= turn[:, None]
-    key = np.zeros(n, np.uint64)
-    for bit in range(bits - 1, -1, -1):
-        for i in range(m):
-            key = (key << np.uint64(1)) | ((x[:, i] >> np.uint32(bit)) & np.uint32(1)).astype(np.uint64)
-    return key.astype(np.int64)
-
-
-@lru_cache(maxsize=256)
-def _frame(dim: int, ordering: int, curves: Curves) -> tuple[np.ndarray, np.ndarray]:
-    """Directions and shift of one ordering for one dimension."""
-    rng = np.random.default_rng([curves.seed, dim, ordering])
-    basis = np.linalg.qr(rng.normal(size=(dim, dim)))[0][:, : min(curves.directions, dim)]
-    return basis * math.sqrt(dim), rng.normal(size=basis.shape[1]) * 0.5
+    for b in range(bits - 1, 0, -1):
+        turn ^= np.where((x[m - 1] & np.uint32(1 << b)) != 0, np.uint32((1 << b) - 1), np.uint32(0))
+    x ^= turn
+    planes = np.stack([(x >> np.uint32(b)).astype(np.uint8) & np.uint8(1) for b in range(bits - 1, -1, -1)])
+    return np.packbits(planes.reshape(bits * m, n).T, axis=1)
 
 
-def curve_keys(unit: np.ndarray, ordering: int, curves: Curves) -> np.ndarray:
-    """The curve positions of unit vectors in one ordering."""
-    basis, shift = _frame(unit.shape[1], ordering, curves)
-    spread = 1.0 / (1.0 + np.exp(-1.702 * (unit @ basis + shift)))  # close to the normal distribution function
-    return hilbert_index(np.minimum(spread * (1 << curves.bits), (1 << curves.bits) - 1).astype(np.uint32), curves.bits)
+def _strings(keys: np.ndarray) -> np.ndarray:
+    """Byte rows as one sortable array."""
+    return np.ascontiguousarray(keys).view(f"S{keys.shape[1]}").ravel()
 
 
-_KEYED = "model string, ordering int, place long, content_hash string, packed binary"
-
-
-def _place(curves: Curves):
+def _unit(raw: np.ndarray) -> np.ndarray:
+    rows = raw.astype(np.float64)
+    rows /= np.abs(rows).max(axis=1, keepdims=True)
+    return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+
+
+class _Fit:
+    """A model's orderings: directions, centre and shift of each, and the key ranges its curve is cut into."""
+
+    def __init__(self, unit: np.ndarray, rows: int, curves: Curves, first: int):
+        dim = unit.shape[1]
+        self.curves, self.first = curves, first
+        centre = unit.mean(axis=0)
+        spread, axes = np.linalg.eigh(np.cov(unit.T, bias=True).reshape(dim, dim) + 1e-12 * np.eye(dim))
+        self.frames = []
+        for ordering in range(curves.orderings):
+            rng = np.random.default_rng([curves.seed, dim, ordering])
+            basis = np.linalg.qr(axes @ (np.sqrt(np.maximum(spread, 0))[:, None] * rng.normal(size=(dim, min(curves.directions, dim)))))[0]
+            scale = np.maximum(((unit - centre) @ basis).std(axis=0), 1e-9)
+            self.frames.append((centre, basis / scale, rng.normal(size=basis.shape[1]) * 0.5))
+        self.ranges = max(1, math.ceil(rows / curves.rows))
+        behind = math.ceil(1.5 * curves.window * len(unit) / rows) + 1  # a window in rows of the sample
+        self.low, self.high = [], []  # of each ordering: the least and greatest key a range takes rows up to
+        for ordering in range(curves.orderings):
+            keys = np.sort(_strings(self.keys(unit, ordering)))
+            cuts = [len(keys) * r // self.ranges for r in range(1, self.ranges)]
+            self.low.append(keys[[max(0, c - behind) for c in cuts]])
+            self.high.append(keys[[min(len(keys) - 1, c + behind) for c in cuts]])
+
+    def keys(self, unit: np.ndarray, ordering: int) -> np.ndarray:
+        centre, basis, shift = self.frames[ordering]
+        with np.errstate(over="ignore"):
+            cell = 1.0 / (1.0 + np.exp(-1.702 * ((unit - centre) @ basis + shift)))  # close to the normal distribution function
+        top = (1 << self.curves.bits) - 1
+        return hilbert_key(np.minimum(cell * (top + 1), top).astype(np.uint32), self.curves.bits)
+
+    def places(self, keys: np.ndarray, ordering: int) -> tuple[np.ndarray, np.ndarray]:
+        """Row numbers and partitions: every range whose rows or windows take the key in."""
+        s = _strings(keys)
+        begin = np.searchsorted(self.high[ordering], s, side="left")  # ranges before end below the key
+        end = np.searchsorted(self.low[ordering], s, side="right")
+        count = np.maximum(end - begin, 0) + 1
+        rows = np.repeat(np.arange(len(s)), count)
+        at = np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count)
+        return rows, (self.first + ordering * self.ranges + begin[rows] + at).astype(np.int32)
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    """Rows of equal width as binary values."""
+    raw = np.ascontiguousarray(rows).view(np.uint8).reshape(len(rows), -1)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer((np.arange(len(rows) + 1) * raw.shape[1]).astype(np.int32)), pa.py_buffer(raw)])
+
+
+_KEYED = "part int, place binary, id binary, packed binary"
+
+
+def _place(fits: dict[str, _Fit]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             models = np.array(batch.column("model").to_pylist(), dtype=object)
             for model in sorted(set(models)):
-                part = batch.filter(pa.array(models == model))
-                n = part.num_rows
-                raw = part.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(n, -1)
-                unit = raw.astype(np.float64)
-                unit /= np.abs(unit).max(axis=1, keepdims=True)
-                unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-                packed = pa.array([row.tobytes() for row in raw], pa.binary())
-                for ordering in range(curves.orderings):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([model] * n), pa.array(np.full(n, ordering, np.int32)), pa.array(curve_keys(unit, ordering, curves)), part.column("content_hash").cast(pa.string()), packed],
-                        names=["model", "ordering", "place", "content_hash", "packed"],
-                    )
+                rows = batch.filter(pa.array(models == model))
+                raw = rows.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(rows.num_rows, -1)
+                unit, ids, packed = _unit(raw), rows.column("id").cast(pa.binary()), _binary(raw)
+                for ordering in range(fits[model].curves.orderings):
+                    keys = fits[model].keys(unit, ordering)
+                    at, part = fits[model].places(keys, ordering)
+                    take = pa.array(at)
+                    yield pa.RecordBatch.from_arrays([pa.array(part), _binary(keys[at]), ids.take(take), packed.take(take)], names=["part", "place", "id", "packed"])
 
     return run
 
 
-_LINKS = "model string, content_hash string, other_hash string, score double"
+_LINKS = "model string, id binary, best array<struct<s:double,other:binary>>"
+
 
+def _listed(model: str, ids: pa.Array, mine: np.ndarray, theirs: np.ndarray, scores: np.ndarray, k: int, others: pa.Array | None = None) -> pa.RecordBatch:
+    """One row for each of `mine` (places in ids) with its best k: negative score and id, in order."""
+    others = ids if others is None else others
+    order = np.lexsort((theirs, -scores, mine))
+    mine, theirs, scores = mine[order], theirs[order], scores[order]
+    rank = np.arange(len(mine)) - np.searchsorted(mine, mine)
+    mine, theirs, scores = mine[rank < k], theirs[rank < k], scores[rank < k]
+    rows, counts = np.unique(mine, return_counts=True)
+    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    pairs = pa.StructArray.from_arrays([pa.array(-scores), others.take(pa.array(theirs))], names=["s", "other"])
+    return pa.RecordBatch.from_arrays([pa.array([model] * len(rows), pa.string()), ids.take(pa.array(rows)), pa.ListArray.from_arrays(pa.array(offsets), pairs)], names=["model", "id", "best"])
 
-def _windows(curves: Curves):
-    """Along each ordering of a sorted partition, every vector's best k within its window."""
 
-    def best(model: str, hashes: np.ndarray, unit: np.ndarray, first: int, last: int) -> pa.RecordBatch | None:
+_SPARE = 3  # further candidates taken by single precision before the exact products rank them
+_SLACK = 1e-5  # more than the error of a product of unit vectors in single precision
+
+
+def _windows(models: list[str], curves: Curves):
+    """Along a sorted range, every vector's best k within its window."""
+
+    def best(model: str, ids: pa.Array, unit: np.ndarray, first: int, last: int) -> pa.RecordBatch | None:
         narrow = unit.astype(np.float32)
         mine, theirs, scores = [], [], []
         for a in range(first, last, curves.block):
@@ -154,326 +234,226 @@ def _windows(curves: Curves):
             lo, hi = max(0, a - curves.window), min(len(unit), b + curves.window)
             near = narrow[a:b] @ narrow[lo:hi].T
             near[np.arange(b - a), np.arange(a - lo, b - lo)] = -np.inf
-            k = min(curves.k, hi - lo - 1)
+            k = min(curves.k + _SPARE, hi - lo - 1)
             if k < 1:
                 continue
-            if curves.min_score > -1:
-                if not (near >= curves.min_score - 1e-4).any():
-                    continue
-            top = np.argpartition(near, near.shape[1] - k, axis=1)[:, -k:]
-            rows = np.repeat(np.arange(a, b), k)
-            cols = top.ravel() + lo
-            keep = near[rows - a, cols - lo] >= (curves.min_score - 1e-4 if curves.min_score > -1 else -np.inf)
-            rows, cols = rows[keep], cols[keep]
-            exact = np.einsum("ij,ij->i", unit[rows], unit[cols])
+            found = np.flatnonzero(near >= np.float32(curves.min_score - _SLACK)) if curves.min_score > -1 else None
+            if found is not None and len(found) <= k * (b - a):
+                rows, cols = found // near.shape[1] + a, found % near.shape[1] + lo
+            else:
+                top = np.argpartition(near, near.shape[1] - k, axis=1)[:, -k:]
+                rows, cols = np.repeat(np.arange(a, b), k), top.ravel() + lo
+            exact = np.round((unit[rows] * unit[cols]).sum(axis=1), 9)
             keep = exact >= curves.min_score
             mine.append(rows[keep])
             theirs.append(cols[keep])
             scores.append(exact[keep])
-        if not mine:
-            return None
-        rows, cols = np.concatenate(mine), np.concatenate(theirs)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([model] * len(rows), pa.string()), pa.array(hashes[rows], pa.string()), pa.array(hashes[cols], pa.string()), pa.array(np.round(np.concatenate(scores), 9))],
-            names=["model", "content_hash", "other_hash", "score"],
-        )
+        rows = np.concatenate(mine) if mine else np.empty(0, np.int64)
+        return _listed(model, ids, rows, np.concatenate(theirs), np.concatenate(scores), curves.k) if len(rows) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at: tuple[str, int] | None = None
-        hashes: np.ndarray = np.empty(0, object)
+        model = ""
+        ids: pa.Array | None = None
         unit: np.ndarray = np.empty((0, 0))
         done = 0  # rows of the buffer that only serve as neighbours of later ones
 
         def flush(final: bool):
-            nonlocal hashes, unit, done
-            last = len(hashes) if final else len(hashes) - curves.window
-            if at is None or last <= done:
+            nonlocal ids, unit, done
+            last = len(unit) if final else len(unit) - curves.window
+            if ids is None or last <= done:
                 return None
-            out = best(at[0], hashes, unit, done, last)
+            out = best(model, ids, unit, done, last)
             keep = max(0, last - curves.window)
-            hashes, unit, done = hashes[keep:], unit[keep:], last - keep
+            ids, unit, done = ids.slice(keep), unit[keep:], last - keep
             return out
 
         for batch in batches:
-            models, orderings = batch.column("model").to_pylist(), batch.column("ordering").to_numpy()
-            n = batch.num_rows
-            cuts = [0, *[i for i in range(1, n) if orderings[i] != orderings[i - 1] or models[i] != models[i - 1]], n]
-            for a, b in zip(cuts, cuts[1:]):
-                if a == b:
-                    continue
-                here = (models[a], int(orderings[a]))
-                if here != at:
-                    out = flush(True)
-                    if out is not None:
-                        yield out
-                    at, hashes, unit, done = here, np.empty(0, object), np.empty((0, 0)), 0
-                part = batch.slice(a, b - a)
-                rows = np.frombuffer(b"".join(part.column("packed").to_pylist()), np.float32).reshape(b - a, -1).astype(np.float64)
-                rows /= np.abs(rows).max(axis=1, keepdims=True)
-                rows /= np.linalg.norm(rows, axis=1, keepdims=True)
-                names = np.array(part.column("content_hash").to_pylist(), object)
-                hashes = np.concatenate([hashes, names])
-                unit = rows if not len(unit) else np.concatenate([unit, rows])
-                if len(hashes) >= 8 * curves.block + 2 * curves.window:
-                    out = flush(False)
-                    if out is not None:
-                        yield out
-        out = flush(True)
-        if out is not None:
+            if not batch.num_rows:
+                continue
+            model = models[batch.column("part")[0].as_py()]
+            rows = _unit(np.frombuffer(b"".join(batch.column("packed").to_pylist()), np.float32).reshape(batch.num_rows, -1))
+            here = batch.column("id").cast(pa.binary())
+            ids = here if ids is None else pa.concat_arrays([ids, here])
+            unit = np.concatenate([unit, rows]) if len(unit) else rows
+            if len(unit) >= 8 * curves.block + 2 * curves.window and (out := flush(False)) is not None:
+                yield out
+        if (out := flush(True)) is not None:
             yield out
 
     return run
 
 
-def _curve_links(valid: DataFrame, curves: Curves) -> DataFrame:
-    """Links of the best k of every entry within its windows of all orderings."""
-    spark = valid.sparkSession
-    n = max(task_count(spark), curves.orderings)  # a window is cut at a partition's ends, so no more than the cores need
-    keyed = valid.repartition(task_count(spark, 2), "content_hash").mapInArrow(_place(curves), _KEYED)
-    ordered = keyed.repartitionByRange(n, "model", "ordering", "place", "content_hash").sortWithinPartitions("model", "ordering", "place", "content_hash")
-    return ordered.mapInArrow(_windows(curves), _LINKS)
-
-
-@dataclass(frozen=True)
-class Blocks:
-    """Entries of a model go to blocks of about `rows`, at least `least` of them; products are taken in tiles of tile_rows by tile_cols."""
-
-    k: int = 5
-    rows: int = 65_536
-    least: int = 6
-    tile_rows: int = 512
-    tile_cols: int = 8192
-    min_score: float = -1.0
+def _curve_links(places: DataFrame, curves: Curves) -> DataFrame:
+    """Lists of the best k of every distinct vector within its windows, one a range and ordering it lies in."""
+    spark = places.sparkSession
+    fits, models, parts = {}, [], 0
+    for row in places.groupBy("model").count().orderBy("model").collect():  # one row a model
+        model, n = row["model"], row["count"]
+        share = F.lit(min(1.0, curves.sample / n) * float(1 << 30))
+        drawn = places.filter((F.col("model") == model) & (F.pmod(F.xxhash64(F.lit(29), "id"), F.lit(1 << 30)) <= share)).select("id", "vector").limit(2 * curves.sample).collect()
+        fits[model] = _Fit(_unit(np.array([r["vector"] for r in sorted(drawn, key=lambda r: r["id"])], np.float64)), n, curves, parts)
+        models += [model] * (curves.orderings * fits[model].ranges)
+        parts = len(models)
+    if not fits:
+        return spark.createDataFrame([], _LINKS)
+    keyed = places.select("model", "id", "vector").repartition(task_count(spark, 2), "id").mapInArrow(_place(fits), _KEYED)
+    return keyed.repartitionById(parts, F.col("part")).sortWithinPartitions("place", "id").mapInArrow(_windows(models, curves), _LINKS)
 
 
-_SLACK = 1e-5  # more than the error of a product of unit vectors in single precision
-_RANKS = np.int64(1 << 24)  # a block has fewer rows
-
-
-class _Best:
-    """The best k of every row of a block among the rows of another: keys of rounded score and, for ties, place by hash."""
-
-    def __init__(self, n: int, k: int, min_score: float):
-        self.k, self.least = k, min_score
-        self.keys = np.full((n, k), -1, np.int64)
-        self.floor = np.full(n, min_score - _SLACK, np.float32)  # what a product must reach to matter
-
-    @staticmethod
-    def key(score: np.ndarray, other: np.ndarray) -> np.ndarray:
-        return np.rint((score + 1.0) * 1e9).astype(np.int64) * _RANKS + (_RANKS - 1 - other)
-
-    def add(self, rows: np.ndarray, keys: np.ndarray) -> None:
-        """Takes in keys of rows; of each row the best k stay."""
-        touched = np.unique(rows)
-        all_rows = np.concatenate([rows, np.repeat(touched, self.k)])
-        all_keys = np.concatenate([keys, self.keys[touched].ravel()])
-        order = np.lexsort((-all_keys, all_rows))
-        all_rows, all_keys = all_rows[order], all_keys[order]
-        rank = np.arange(len(all_rows)) - np.searchsorted(all_rows, all_rows)
-        top = rank < self.k
-        self.keys[all_rows[top], rank[top]] = all_keys[top]
-        last = self.keys[touched, -1]
-        full = np.where(last >= 0, last // _RANKS / 1e9 - 1.0, self.least)
-        self.floor[touched] = np.maximum(self.least, full) - _SLACK
-
-    def links(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Rows, others and rounded scores."""
-        rows, at = np.nonzero(self.keys >= 0)
-        keys = self.keys[rows, at]
-        return rows, _RANKS - 1 - keys % _RANKS, np.round(keys // _RANKS / 1e9 - 1.0, 9)
-
-
-def _compare(a: np.ndarray, b: np.ndarray | None, s: Blocks) -> tuple[_Best, _Best | None]:
-    """Every row of a against every row of b, and the reverse; without b, a against itself. Rows are in the order of their hashes."""
-    own = b is None
-    b = a if own else b
-    a32, b32 = a.astype(np.float32), b.astype(np.float32)
-    lowest = s.min_score if s.min_score > -1 else -np.inf
-    mine = _Best(len(a), s.k, s.min_score)
-    theirs = mine if own else _Best(len(b), s.k, s.min_score)
-    for y in range(0, len(b), s.tile_cols):
-        y1 = min(len(b), y + s.tile_cols)
-        for x in range(0, y1 if own else len(a), s.tile_rows):  # on one's own block only tiles that reach the upper half
-            x1 = min(len(a), x + s.tile_rows)
-            near = a32[x:x1] @ b32[y:y1].T
-            tr, tc = mine.floor[x:x1], theirs.floor[y:y1]
-            flat = np.flatnonzero(near >= min(tr.min(), tc.min()))
-            if len(flat) > near.size // 50:
-                if near.shape[1] > s.k + 1 and (mine.keys[x:x1, -1] < 0).any():  # a first bound from the tile itself, in which a row may meet itself
-                    tr = np.maximum(tr, np.partition(near, near.shape[1] - s.k - 1, axis=1)[:, -s.k - 1] - np.float32(2 * _SLACK))
-                if near.shape[0] > s.k + 1 and (theirs.keys[y:y1, -1] < 0).any():
-                    tc = np.maximum(tc, np.partition(near, near.shape[0] - s.k - 1, axis=0)[-s.k - 1] - np.float32(2 * _SLACK))
-                flat = np.flatnonzero((near >= tr[:, None]) | (near >= tc[None, :]))
-            if not len(flat):
-                continue
-            if len(flat) > near.size // 50:  # many nearly equal rows: what they span, in double precision
-                i, j = np.unique(flat // near.shape[1]) + x, np.unique(flat % near.shape[1]) + y
-                exact = a[i] @ b[j].T
-                for best, scores, rows, others, turned in ((mine, exact, i, j, False), (theirs, exact.T, j, i, True)):
-                    ok = scores >= lowest
-                    if own:
-                        ok &= rows[:, None] > others[None, :] if turned else rows[:, None] < others[None, :]
-                    keys = np.where(ok, _Best.key(scores, others[None, :]), -1)
-                    k = min(s.k, keys.shape[1])
-                    top = np.partition(keys, keys.shape[1] - k, axis=1)[:, -k:].ravel()
-                    best.add(np.repeat(rows, k)[top >= 0], top[top >= 0])
-                continue
-            i, j = flat // near.shape[1], flat % near.shape[1]
-            got = near[i, j]
-            for_row, for_col = got >= tr[i], got >= tc[j]
-            use = for_row | for_col
-            if own:
-                use &= i + x < j + y
-            i, j, for_row, for_col = i[use] + x, j[use] + y, for_row[use], for_col[use]
-            score = np.empty(len(i))
-            for c in range(0, len(i), 65_536):
-                score[c : c + 65_536] = np.einsum("ij,ij->i", a[i[c : c + 65_536]], b[j[c : c + 65_536]])
-            ok = score >= lowest
-            for best, rows, others, want in ((mine, i, j, for_row & ok), (theirs, j, i, for_col & ok)):
-                if want.any():
-                    best.add(rows[want], _Best.key(score[want], others[want]))
-    return mine, None if own else theirs
-
-
-def _unit(vectors: pa.ChunkedArray, n: int) -> np.ndarray:
-    rows = vectors.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
-    rows /= np.abs(rows).max(axis=1, keepdims=True)
-    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
-
+# Ids are the hashes' bytes; a hash in lower-case hex takes half its length.
+def _id(name: str) -> Column:
+    return F.when(F.col(name).rlike("^(?:[0-9a-f]{2})+$"), F.concat(F.lit(b"\x00"), F.unhex(name))).otherwise(F.concat(F.lit(b"\x01"), F.encode(name, "utf-8")))
 
-def _block_pairs(s: Blocks):
-    """A partition holds the rows of one pair of blocks of one model."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        rows = pa.Table.from_batches(held).sort_by([("side", "ascending"), ("content_hash", "ascending")])
-        model, side = rows.column("model")[0].as_py(), rows.column("side").to_numpy()
-        names, unit, n = rows.column("content_hash").combine_chunks().cast(pa.string()), _unit(rows.column("vector"), rows.num_rows), int((side == 0).sum())
-        own = bool(rows.column("own")[0].as_py())
-        if own:
-            mine, theirs = _compare(unit, None, s)
-        elif n in (0, len(side)):
-            return
-        else:
-            mine, theirs = _compare(unit[:n], unit[n:], s)
-        for best, at, other in ((mine, 0, 0 if own else n), (theirs, n, 0)):
-            if best is None:
-                continue
-            r, o, score = best.links()
-            for c in range(0, len(r), 65_536):
-                part = slice(c, c + 65_536)
-                yield pa.RecordBatch.from_arrays([pa.array([model] * len(r[part]), pa.string()), names.take(pa.array(r[part] + at)), names.take(pa.array(o[part] + other)), pa.array(score[part])], names=["model", "content_hash", "other_hash", "score"])
+def _hash(column: Column) -> Column:
+    rest = F.substring(column, 2, 2_000_000_000)
+    return F.when(F.hex(F.substring(column, 1, 1)) == "00", F.lower(F.hex(rest))).otherwise(F.decode(rest, "utf-8"))
 
-    return run
 
+class _Distinct:
+    """Distinct vectors (`places`: model, id of the first copy, vector) and what is known of their copies.
 
-def _all_links(valid: DataFrame, s: Blocks) -> DataFrame:
-    """Links of the best k of every entry within each other block of its model, all pairs compared."""
-    held = cut(valid.select("model", "content_hash", "vector"))
-    blocks, first, groups = {}, {}, 0
-    for row in held.groupBy("model").count().orderBy("model").collect():  # one row a model
-        b = max(s.least, math.ceil(row["count"] / s.rows))
-        blocks[row["model"]], first[row["model"]] = b, groups
-        groups += b * (b + 1) // 2
-    if not blocks:
-        return held.select("model", "content_hash", F.lit("").alias("other_hash"), F.lit(0.0).alias("score")).limit(0)
-    of = lambda values: F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[F.col("model")]
-    at, low, high = F.col("at"), F.least("at", "with"), F.greatest("at", "with")
-    placed = held.withColumn("at", F.pmod(F.xxhash64("content_hash"), of(blocks)).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), of(blocks) - 1)))
-    sent = placed.select("model", "content_hash", "vector", (at > F.col("with")).cast("int").alias("side"), (at == F.col("with")).alias("own"), (of(first) + F.expr("greatest(at, with) * (greatest(at, with) + 1) div 2") + low).cast("int").alias("pair"))
-    return sent.repartitionById(groups, F.col("pair")).drop("pair").mapInArrow(_block_pairs(s), _LINKS)
-
+    Vectors are equal if two 64-bit digests of them are. `lead` has of each
+    vector with copies the first id, the number n and the first k + 1 ids,
+    ranked with a limit in each task before the shuffle, so a large group of
+    copies meets nowhere; `later` has the other ids with their first. Both are
+    null if no vector has a copy.
+    """
 
-def similar_entries(valid: DataFrame, curves: Curves | None = None, blocks: Blocks = Blocks()) -> DataFrame:
+    def __init__(self, valid: DataFrame, k: int):
+        digest = [F.xxhash64(F.lit(1), "vector").alias("d1"), F.xxhash64("vector", F.lit(2)).alias("d2")]
+        rows = cut(valid.select("model", _id("content_hash").alias("id"), "vector", *digest))
+        marked, group = rows.drop("vector"), ["model", "d1", "d2"]
+        many = marked.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        rank = F.row_number().over(Window.partitionBy(*group).orderBy("id"))
+        first = marked.withColumn("r", rank).filter(F.col("r") <= k + 1).groupBy(*group).agg(F.sort_array(F.collect_list("id")).alias("copies"))
+        lead = cut(many.join(first, group).select("model", F.col("copies")[0].alias("least"), *group[1:], "n", "copies"))
+        self.k, self.lead, self.later, self.places = k, None, None, rows.select("model", "id", "vector")
+        if not lead.isEmpty():
+            self.lead = lead
+            self.later = cut(marked.join(lead.select(*group, "least"), group).filter("id <> least").select("model", "id", "least"))
+            self.places = cut(self.places.join(self.later.select("model", "id"), ["model", "id"], "left_anti"))
+
+    def lists(self, links: DataFrame) -> DataFrame:
+        """model, id, best (negative score, id) of every entry from links of distinct vectors."""
+        merged = links.groupBy("model", "id").agg(F.sort_array(F.flatten(F.collect_list("best"))).alias("best"))
+        once = F.filter("best", lambda x, i: (i == 0) | (x != F.col("best")[F.greatest(i - 1, F.lit(0))]))
+        distinct = merged.select("model", "id", F.slice(once, 1, self.k).alias("best"))
+        if self.lead is None:
+            return distinct
+        copies = self.lead.select("model", "least", "n", "copies")
+        pairs = distinct.select("model", "id", F.inline("best"))
+        others = pairs.join(copies.select("model", F.col("least").alias("other"), F.slice("copies", 1, self.k).alias("with")), ["model", "other"], "left").select("model", "id", "s", F.explode(F.coalesce("with", F.array("other"))).alias("other"))
+        few, full = copies.filter(F.col("n") <= self.k), copies.filter(F.col("n") > self.k)  # more copies than k fill their lists themselves
+        mine = others.join(full.select("model", F.col("least").alias("id")), ["model", "id"], "left_anti").join(few.select("model", F.col("least").alias("id"), "copies"), ["model", "id"], "left").select("model", F.explode(F.coalesce("copies", F.array("id"))).alias("id"), "s", "other")
+        members = copies.select("model", F.col("least").alias("id"), "copies").unionByName(self.later.join(copies, ["model", "least"]).select("model", "id", "copies"))
+        among = members.select("model", "id", F.explode(F.slice(F.filter("copies", lambda x: x != F.col("id")), 1, self.k)).alias("other")).select("model", "id", F.lit(-1.0).alias("s"), "other")
+        return mine.unionByName(among).groupBy("model", "id").agg(F.slice(F.sort_array(F.collect_list(F.struct("s", "other"))), 1, self.k).alias("best"))
+
+
+def _named(lists: DataFrame) -> DataFrame:
+    return lists.select("model", "id", F.posexplode("best").alias("rank", "b")).select("model", _hash(F.col("id")).alias("content_hash"), _hash(F.col("b.other")).alias("other_hash"), (-F.col("b.s")).alias("score"), (F.col("rank") + 1).alias("rank"))
+
+
+def similar_entries(valid: DataFrame, curves: Curves = Curves()) -> DataFrame:
     """model, content_hash, other_hash, score, rank: the best k of every valid entry with score (cosine) >= min_score.
 
-    Without `curves` all pairs of a model are compared and the result is exact;
-    with them, the search is approximate and misses more the larger the table.
     Scores are rounded to 9 decimals; ties are ranked by other_hash. Copies of
     a vector are entries like others. With a min_score the ranks stay those of
     the full lists, as entries left out score less than those kept.
     """
-    links = _all_links(valid, blocks) if curves is None else _curve_links(valid, curves)
-    k = (blocks if curves is None else curves).k
-    pair = F.struct((-F.col("score")).alias("s"), "other_hash")
-    lists = links.groupBy("model", "content_hash").agg(F.slice(F.sort_array(F.collect_set(pair)), 1, k).alias("best"))
-    return lists.select("model", "content_hash", F.posexplode("best").alias("rank", "b")).select("model", "content_hash", F.col("b.other_hash").alias("other_hash"), (-F.col("b.s")).alias("score"), (F.col("rank") + 1).alias("rank"))
+    distinct = _Distinct(valid, curves.k)
+    return _named(distinct.lists(_curve_links(distinct.places, curves)))
 
 
-def similar_pairs(entries: DataFrame, threshold: float = 0.85, curves: Curves | None = None, blocks: Blocks = Blocks()) -> DataFrame:
+def similar_pairs(entries: DataFrame, threshold: float = 0.85, curves: Curves = Curves()) -> DataFrame:
     """model, hash_a < hash_b: pairs of at least the threshold where one is among the other's best k."""
     from dataclasses import replace
 
-    found = similar_entries(valid_entries(entries), curves and replace(curves, min_score=threshold), replace(blocks, min_score=threshold))
+    found = similar_entries(valid_entries(entries), replace(curves, min_score=threshold))
     return found.select("model", F.least("content_hash", "other_hash").alias("hash_a"), F.greatest("content_hash", "other_hash").alias("hash_b")).distinct()
 
 
-def _exact_best(groups: dict[str, tuple[list[str], np.ndarray]], k: int, rows: int = 1024):
-    """Every query's best k of a partition; vectors are compared a few rows at a time, so memory is bounded by the block."""
+def _block(models: list[str], k: int, tile_rows: int = 512, tile_cols: int = 8192):
+    """A partition holds a block of queries and a block of all rows of one model: every query's exact best k of the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = {m: np.array(g[0], object) for m, g in groups.items()}
-        unit = {m: g[1] / np.linalg.norm(g[1], axis=1, keepdims=True) for m, g in groups.items()}
-        seen: dict[str, list[str]] = {m: [] for m in groups}
-        held = {m: (np.zeros((len(names[m]), 0)), np.zeros((len(names[m]), 0), np.int64)) for m in groups}
-        for batch in batches:
-            models = np.array(batch.column("model").to_pylist(), dtype=object)
-            for model in sorted(set(models) & set(groups)):
-                part = batch.filter(pa.array(models == model))
-                v = part.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
-                v /= np.linalg.norm(v, axis=1, keepdims=True)
-                others = part.column("content_hash").to_pylist()
-                place = {h: i for i, h in enumerate(others)}
-                own = [(i, place[h]) for i, h in enumerate(names[model]) if h in place]
-                for a in range(0, len(v), rows):
-                    near = unit[model] @ v[a : a + rows].T
-                    for i, j in own:
-                        if a <= j < a + rows:
-                            near[i, j - a] = -np.inf
-                    score, index = held[model]
-                    at = np.broadcast_to(len(seen[model]) + a + np.arange(near.shape[1]), near.shape)
-                    score, index = np.concatenate([score, near], axis=1), np.concatenate([index, at], axis=1)
-                    if score.shape[1] > k:
-                        top = np.argpartition(score, score.shape[1] - k, axis=1)[:, -k:]
-                        score, index = np.take_along_axis(score, top, 1), np.take_along_axis(index, top, 1)
-                    held[model] = (score, index)
-                seen[model] += others
-        for model, (score, index) in held.items():
-            keep = np.isfinite(score)
-            at, _ = np.nonzero(keep)
-            other = np.array(seen[model], object)[index[keep]] if len(seen[model]) else np.empty(0, object)
-            yield pa.RecordBatch.from_arrays([pa.array([model] * len(at), pa.string()), pa.array(names[model][at], pa.string()), pa.array(other, pa.string()), pa.array(np.round(score[keep], 9))], names=["model", "content_hash", "other_hash", "score"])
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        rows = pa.Table.from_batches(held).sort_by([("id", "ascending")])
+        asked = rows.column("asked").to_numpy(zero_copy_only=False)
+        if asked.all() or not asked.any():
+            return
+        unit = _unit(rows.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1))
+        ids = rows.column("id").combine_chunks().cast(pa.binary())
+        q, c = np.flatnonzero(asked), np.flatnonzero(~asked)
+        own = {x: i for i, x in enumerate(ids.take(pa.array(c)).to_pylist())}
+        self_at = np.array([own.get(x, -1) for x in ids.take(pa.array(q)).to_pylist()])
+        narrow = unit.astype(np.float32)
+        mine, theirs, scores = [], [], []
+        for x in range(0, len(q), tile_rows):
+            for y in range(0, len(c), tile_cols):
+                qs, cs = q[x : x + tile_rows], c[y : y + tile_cols]
+                near = narrow[qs] @ narrow[cs].T
+                inside = np.flatnonzero((self_at[x : x + tile_rows] >= y) & (self_at[x : x + tile_rows] < y + len(cs)))
+                near[inside, self_at[x + inside] - y] = -np.inf
+                floor = np.partition(near, len(cs) - k, axis=1)[:, -k] - np.float32(2 * _SLACK) if len(cs) > k else np.full(len(qs), -2, np.float32)
+                i, j = np.nonzero((near >= floor[:, None]) & (near > -2))
+                crowded = np.bincount(i, minlength=len(qs)) > 64  # many nearly equal rows: all in double precision
+                for r in np.flatnonzero(crowded):
+                    exact = np.round((unit[cs] * unit[qs[r]]).sum(axis=1), 9)
+                    exact[near[r] == -np.inf] = -np.inf
+                    top = np.lexsort((cs, -exact))[:k]
+                    mine.append(np.full(len(top), qs[r]))
+                    theirs.append(cs[top])
+                    scores.append(exact[top])
+                i, j = i[~crowded[i]], j[~crowded[i]]
+                mine.append(qs[i])
+                theirs.append(cs[j])
+                scores.append(np.round((unit[qs[i]] * unit[cs[j]]).sum(axis=1), 9))
+        yield _listed(models[rows.column("part")[0].as_py()], ids, np.concatenate(mine), np.concatenate(theirs), np.concatenate(scores), k)
 
     return run
 
 
-def recall_report(entries: DataFrame, curves: Curves | None = None, every: int = 50, block: int = 4096) -> DataFrame:
+def _exact_links(queries: DataFrame, places: DataFrame, k: int, asked: int, rows: int) -> DataFrame:
+    """Exact lists of a stated query set against all rows, blocks of queries by blocks of rows; nothing passes the driver."""
+    counts = {r["model"]: r["count"] for r in places.groupBy("model").count().collect()}  # one row a model
+    wide, high, first, models = {}, {}, {}, []
+    for r in queries.groupBy("model").count().orderBy("model").collect():
+        m = r["model"]
+        high[m], wide[m], first[m] = max(1, math.ceil(r["count"] / asked)), max(1, math.ceil(counts[m] / rows)), len(models)
+        models += [m] * (high[m] * wide[m])
+    if not models:
+        return places.sparkSession.createDataFrame([], _LINKS)
+    of = lambda values: F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[F.col("model")]
+    at = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    part = (of(first) + F.col("q") * of(wide) + F.col("c")).alias("part")
+    sent = queries.withColumns({"q": at(of(high)), "c": F.explode(F.sequence(F.lit(0), of(wide) - 1)), "asked": F.lit(True)}).unionByName(
+        places.filter(of(wide).isNotNull()).withColumns({"c": at(of(wide)), "q": F.explode(F.sequence(F.lit(0), of(high) - 1)), "asked": F.lit(False)})
+    )
+    return sent.select(part, "id", "vector", "asked").repartitionById(len(models), F.col("part")).mapInArrow(_block(models, k), _LINKS)
+
+
+def recall_report(entries: DataFrame, curves: Curves = Curves(), every: int = 50, asked: int = 4096, rows: int = 65_536) -> DataFrame:
     """Per model: queries, exact links, links found, recall, and the mean loss of score.
 
     Queries are the valid entries whose id (xxhash64 of model and hash) is
-    divisible by `every`; they are compared with all entries, block by block.
+    divisible by `every`; they are compared with all entries in blocks of
+    `asked` queries by `rows` rows.
     """
-    valid = cut(valid_entries(entries))
-    k = (Blocks() if curves is None else curves).k
-    ident = F.pmod(F.xxhash64("model", "content_hash"), F.lit(every))
-    queries = valid.filter(ident == 0)
-    blocks = max(1, math.ceil(queries.count() / block))
-    number = F.pmod(F.xxhash64("content_hash"), F.lit(blocks))
-    exact = None
-    for b in range(blocks):
-        rows = queries.filter(number == b).select("model", "content_hash", "vector").collect()  # one bounded block of the query set
-        groups = {m: ([r["content_hash"] for r in rows if r["model"] == m], np.array([r["vector"] for r in rows if r["model"] == m], np.float64)) for m in {r["model"] for r in rows}}
-
-        part = valid.select("model", "content_hash", "vector").mapInArrow(_exact_best(groups, k), _LINKS)
-        exact = part if exact is None else exact.unionByName(part)
-    by = Window.partitionBy("model", "content_hash").orderBy(F.desc("score"), "other_hash")
-    truth = exact.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
-    got = similar_entries(valid, curves).filter(F.pmod(F.xxhash64("model", "content_hash"), F.lit(every)) == 0)
-    t = truth.groupBy("model").agg(F.countDistinct("content_hash").alias("queries"), F.count(F.lit(1)).alias("exact_links"), F.sum("score").alias("exact_sum"))
-    hit = truth.select("model", "content_hash", "other_hash").join(got.select("model", "content_hash", "other_hash"), ["model", "content_hash", "other_hash"]).groupBy("model").agg(F.count(F.lit(1)).alias("found_links"))
-    g = got.groupBy("model").agg(F.sum("score").alias("found_sum"))
+    distinct = _Distinct(valid_entries(entries), curves.k)
+    ident = F.pmod(F.xxhash64("model", "id"), F.lit(every)) == 0
+    wanted = distinct.places.filter(ident).select("model", "id")
+    if distinct.later is not None:
+        wanted = wanted.unionByName(distinct.later.filter(ident).select("model", F.col("least").alias("id"))).distinct()
+    queries = cut(distinct.places.join(wanted, ["model", "id"], "left_semi"))
+    links = lambda x: distinct.lists(x).filter(ident).select("model", "id", F.inline("best"))
+    truth, got = cut(links(_exact_links(queries, distinct.places, curves.k, asked, rows))), cut(links(_curve_links(distinct.places, curves)))
+    t = truth.groupBy("model", "id").agg(F.count(F.lit(1)).alias("n"), F.sum("s").alias("s")).groupBy("model").agg(F.count(F.lit(1)).alias("queries"), F.sum("n").alias("exact_links"), (-F.sum("s")).alias("exact_sum"))
+    hit = truth.join(got.select("model", "id", "other"), ["model", "id", "other"]).groupBy("model").agg(F.count(F.lit(1)).alias("found_links"))
+    g = got.groupBy("model").agg((-F.sum("s")).alias("found_sum"))
     return t.join(hit, "model", "left").join(g, "model", "left").select(
-        "model", "queries", "exact_links", F.coalesce("found_links", F.lit(0)).alias("found_links"), F.round(F.coalesce("found_links", F.lit(0)) / F.col("exact_links"), 4).alias("recall"), F.round((F.col("exact_sum") - F.col("found_sum")) / F.col("exact_links"), 6).alias("mean_loss")
+        "model", "queries", "exact_links", F.coalesce("found_links", F.lit(0)).alias("found_links"), F.round(F.coalesce("found_links", F.lit(0)) / F.col("exact_links"), 4).alias("recall"), F.round((F.col("exact_sum") - F.coalesce("found_sum", F.lit(0.0))) / F.col("exact_links"), 6).alias("mean_loss")
     )

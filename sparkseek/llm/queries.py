@@ -13,7 +13,7 @@ from .copies import collapsed_records, equal_records
 from .docpairs import documented_functions
 from .leakage import leaked_items
 from .mixing import classifier_report, mixed_documents, reached_shares
-from .neighbours import recall_report, similar_entries, similar_pairs, valid_entries
+from .neighbours import left_out_entries, recall_report, similar_entries, similar_pairs, valid_entries
 from .parsing import parse_rates, unparsable_files
 from .provenance import foreign_code, recurrence_report
 from .secrets import redacted_chunks, secret_places
@@ -37,6 +37,7 @@ def queries() -> dict[str, Query]:
         "p2_found": lambda s, d: similar_pairs(table(s, d, "cache_entries")),
         "p2_neighbours": lambda s, d: similar_entries(valid_entries(table(s, d, "cache_entries"))),
         "p2_recall": lambda s, d: recall_report(table(s, d, "cache_entries")),
+        "p2_left_out": lambda s, d: left_out_entries(table(s, d, "cache_entries")),
         "p4_found": lambda s, d: foreign_code(_chunks(s, d)).select(*FILE),
         "p4_kinds": lambda s, d: foreign_code(_chunks(s, d)).groupBy("repo", "kind").agg(F.count(F.lit(1)).alias("files")),
         "p4_recurrence": lambda s, d: recurrence_report(_chunks(s, d)),
