@@ -33,14 +33,14 @@ JS_CONTEXTUAL = frozenset(
 _BEFORE_OPERAND = frozenset("return typeof instanceof in of new delete void throw case do else yield await default extends".split())
 _OPERAND_END = frozenset(["NAME", "NUM", "STR", "REGEX", "TFULL", "TTAIL", ")", "]", "}", "PRIVATE", "J>", "++", "--", "this", "super", "null", "true", "false"]) | (JS_CONTEXTUAL - _BEFORE_OPERAND)
 
-_JS_TRIVIA = r"(?:[\s﻿]+|//[^\n  ]*|/\*[\s\S]*?\*/)*"
+_JS_TRIVIA = r"(?>[\s﻿]*(?:(?://[^\n  ]*|/\*[\s\S]*?\*/)[\s﻿]*)*)"
 _JS = re.compile(
-    r"(?P<NAME>(?:[^\W\d]|[$]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})(?:[\w$‌‍]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})*)"
-    r"|(?P<NUM>(?:0[xX][0-9a-fA-F]+(?:_[0-9a-fA-F]+)*n?|0[oO][0-7]+(?:_[0-7]+)*n?|0[bB][01]+(?:_[01]+)*n?|(?:\d+(?:_\d+)*n|(?:\d+(?:_\d+)*(?:\.(?:\d+(?:_\d+)*)?)?|\.\d+(?:_\d+)*)(?:[eE][+-]?\d+(?:_\d+)*)?))(?![\w$]))"
+    _JS_TRIVIA + r"(?:(?P<NAME>[A-Za-z_$][\w$]*+(?![\\‌‍])|(?:[^\W\d]|[$]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})(?:[\w$‌‍]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})*)"
+    r"|(?P<NUM>(?=[\d.])(?:0[xX][0-9a-fA-F]+(?:_[0-9a-fA-F]+)*n?|0[oO][0-7]+(?:_[0-7]+)*n?|0[bB][01]+(?:_[01]+)*n?|(?:\d+(?:_\d+)*n|(?:\d+(?:_\d+)*(?:\.(?:\d+(?:_\d+)*)?)?|\.\d+(?:_\d+)*)(?:[eE][+-]?\d+(?:_\d+)*)?))(?![\w$]))"
     r"""|(?P<STR>"(?:[^"\\\n]|\\[\s\S])*"|'(?:[^'\\\n]|\\[\s\S])*')"""
     r"|(?P<OP>=>|===?|!==?|\*\*=?|<<=?|<=|&&=?|\|\|=?|\?\?=?|\?\.(?!\d)|\.\.\.|\+\+|--|[-+*/%&|^]=|[{}()\[\];,<>+\-*/%&|^!~?:=.@])"
     r"|(?P<PRIVATE>#(?:[^\W\d]|\$)[\w$]*)"
-    r"|(?P<TICK>`)"
+    r"|(?P<TICK>`))"
 )
 _TRIVIA = re.compile(_JS_TRIVIA)
 _TEMPLATE = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*(`|\$\{)")
@@ -105,12 +105,10 @@ def lex_js(text: str, jsx: bool) -> Tokens:
                     put("ERR", pos, pos + 1)
                     pos += 1
             continue
-        gap = match_trivia(text, pos).end()
-        nl = gap > pos and ("\n" in text[pos:gap])
-        pos = gap
-        if pos >= size:
-            break
         if mode == "tag":
+            pos = match_trivia(text, pos).end()
+            if pos >= size:
+                break
             m = _TAG.match(text, pos)
             if not m:
                 put("ERR", pos, pos + 1)
@@ -143,16 +141,25 @@ def lex_js(text: str, jsx: bool) -> Tokens:
             continue
         m = match_token(text, pos)
         if not m:
-            put("ERR", pos, pos + 1, nl)
-            pos += 1
+            gap = match_trivia(text, pos).end()
+            if gap >= size:
+                break
+            put("ERR", gap, gap + 1, "\n" in text[pos:gap])
+            pos = gap + 1
             continue
         k = m.lastgroup
+        at, after = m.span(k)
+        nl = at > pos and text.find("\n", pos, at) >= 0
+        pos = at
         if k == "NAME":
-            word = m[0]
-            put(word if word in words else k, pos, m.end(), nl)
-            pos = m.end()
+            word = text[at:after]
+            kind.append(word if word in words else k)
+            start.append(at)
+            end.append(after)
+            newline.append(nl)
+            pos = after
         elif k == "OP":
-            op, last = m[0], kind[-1] if kind else ""
+            op, last = text[at:after], kind[-1] if kind else ""
             if op in ("/", "/=") and last not in _OPERAND_END:
                 r = _REGEX.match(text, pos)
                 if r:
@@ -186,8 +193,11 @@ def lex_js(text: str, jsx: bool) -> Tokens:
                     put("}", pos, pos + 1, nl)
                     pos, mode = pos + 1, back
                     continue
-            put(op, pos, m.end(), nl)
-            pos = m.end()
+            kind.append(op)
+            start.append(at)
+            end.append(after)
+            newline.append(nl)
+            pos = after
         elif k == "TICK":
             r = _TEMPLATE.match(text, pos + 1)
             if not r:
@@ -201,8 +211,8 @@ def lex_js(text: str, jsx: bool) -> Tokens:
                 stack.append("t")
             pos = r.end()
         else:
-            put(k, pos, m.end(), nl)
-            pos = m.end()
+            put(k, pos, after, nl)
+            pos = after
     if text.rfind("/*") > (end[-1] if end else -1) and text.find("*/", text.rfind("/*")) < 0:
         put("ERR", size, size, True)
     put("EOF", size, size, True)
