@@ -1,10 +1,12 @@
 """Source files nobody wrote by hand here: generated, minified, third-party, data.
 
-What a file says of itself is read first: banner comments at its head or tail,
-its path, the shape of its text. Third-party code is also told by content:
-token streams (comments, letter case, quotes and layout removed) are
-fingerprinted by winnowing, and a file is a copy if most of its fingerprints
-recur in files recognised as third-party, in whatever repository those lie.
+Copies are told by content: token streams (comments, letter case, quotes and
+layout removed) are fingerprinted by winnowing, the repositories of every
+fingerprint are counted, and files most of whose fingerprints recur in several
+repositories are suspects. As hand-written code is copied between repositories
+too, a mark has to confirm one: a banner or folder of third-party code on the file
+itself or on files that hold most of its fingerprints. What is generated,
+minified or data recurs nowhere and is told by its banner, name or shape.
 """
 
 from __future__ import annotations
@@ -12,7 +14,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -38,8 +39,8 @@ _THIRD_PARTY = re.compile(
 )
 _HEAD_SLASH = re.compile(r"\s*(?:#![^\n]*\n\s*)?((?:(?://[^\n]*|/\*[\s\S]*?\*/)\s*)*)")
 _HEAD_HASH = re.compile(r"\s*((?:#[^\n]*\s*)*(?:(?:\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?''')\s*)?)")
-_TAIL_SLASH = re.compile(r"(?:^|\n)((?:[ \t]*(?://[^\n]*|/\*(?:(?!\*/)[\s\S])*\*/)\s*)+)$")
-_TAIL_HASH = re.compile(r"(?:^|\n)((?:#[^\n]*\s*)+)$")
+_LINE_COMMENT = re.compile(r"[ \t]*//")
+_BLOCK_OPENS = re.compile(r"^[ \t]*/\*", re.M)
 _COMMENT_SLASH = re.compile(r"(\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\[\s\S])*`)|//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)")
 _COMMENT_HASH = re.compile(r"(\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*')|\#[^\n]*")
 _LITERAL = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\[\s\S])*`")
@@ -53,10 +54,29 @@ MAX_MINIFIED_SPACE, MIN_MINIFIED_LINE, MIN_MINIFIED_CHARS = 0.07, 80, 200
 MIN_SERIAL, GRAM, WINDOW, COPY_SHARE = 8, 10, 8, 0.7
 
 
+def _tail_comments(text: str, python: bool) -> str:
+    """The comments that end the text, each beginning on a line of its own; read from the end, comment by comment."""
+    end = begin = len(text.rstrip())
+    while begin > 0:
+        line = text.rfind("\n", 0, begin) + 1
+        if text.startswith("#", line) if python else _LINE_COMMENT.match(text, line, begin):
+            begin = line
+        elif not python and text.endswith("*/", 0, begin):
+            before = text.rfind("*/", 0, begin - 2)
+            m = _BLOCK_OPENS.search(text, before + 2 if before >= 0 else 0, begin)
+            if not m:
+                break
+            begin = m.start()
+        else:
+            break
+        while begin and text[begin - 1].isspace():
+            begin -= 1
+    return text[begin:end]
+
+
 def _comments_at_ends(text: str, python: bool) -> str:
     head = (_HEAD_HASH if python else _HEAD_SLASH).match(text)
-    tail = (_TAIL_HASH if python else _TAIL_SLASH).search(text[-1500:])
-    return (head[1] if head else "") + "\n" + (tail[1] if tail else "")
+    return (head[1] if head else "") + "\n" + _tail_comments(text, python)
 
 
 def _bare(text: str, python: bool) -> str:
@@ -66,6 +86,16 @@ def _bare(text: str, python: bool) -> str:
 
 def own_marks(path: str, text: str) -> str | None:
     """`third_party`, `generated`, `data` or `minified` by what the file itself shows; else None."""
+    return marks_and_code(path, text)[0]
+
+
+def marks_and_code(path: str, text: str) -> tuple[str | None, str | None]:
+    """own_marks and, where they had to read it, the text without its comments."""
+    bare: list[str] = []
+    return _marks(path, text, bare), bare[0] if bare else None
+
+
+def _marks(path: str, text: str, read: list[str]) -> str | None:
     folders = [f.lower() for f in path.replace("\\", "/").split("/")]
     name, python = folders.pop(), path.lower().endswith(".py")
     if VENDOR_FOLDERS & set(folders):
@@ -78,6 +108,7 @@ def own_marks(path: str, text: str) -> str | None:
     if GENERATED_FOLDERS & set(folders) or _GENERATED_NAME.search(name):
         return "generated"
     bare = _bare(text, python)
+    read.append(bare)
     numbers = [int(a or b) for a, b in _SERIAL.findall(bare)]
     steps = sum(y == x + 1 for x, y in zip(numbers, numbers[1:]))
     if len(numbers) >= MIN_SERIAL and steps >= 0.9 * (len(numbers) - 1) and len(numbers) >= 0.7 * len(_TOP.findall(bare)):
@@ -98,17 +129,26 @@ def own_marks(path: str, text: str) -> str | None:
     return None
 
 
-@lru_cache(maxsize=1 << 16)
-def _token_code(token: str) -> int:
-    return zlib.crc32(token.encode("utf-8", "surrogatepass"))
+class _Codes(dict):
+    """Codes of tokens; those of recurring ones are kept."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= 1 << 17:
+            self.clear()
+        code = self[token] = zlib.crc32(token.encode("utf-8", "surrogatepass"))
+        return code
 
 
-def winnow(path: str, text: str) -> np.ndarray:
+_CODES = _Codes()
+
+
+def winnow(path: str, text: str, bare: str | None = None) -> np.ndarray:
     """Winnowed fingerprints of the normalised token stream: the least hash of every window, each once."""
-    tokens = _TOKEN.findall(_bare(text, path.lower().endswith(".py")).lower())
+    tokens = _TOKEN.findall((_bare(text, path.lower().endswith(".py")) if bare is None else bare).lower())
     if not tokens:
         return np.empty(0, np.int64)
-    codes = np.fromiter((_token_code(t) for t in tokens), np.uint64, len(tokens))
+    table = _CODES
+    codes = np.array([table[t] for t in tokens], np.uint64)
     n = max(1, len(codes) - GRAM + 1)
     with np.errstate(over="ignore"):
         grams = np.zeros(n, np.uint64)
@@ -127,10 +167,13 @@ _MARKED = "repo string, root_dir string, file_path string, kind string, prints a
 
 def _mark_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        kinds = [own_marks(p, t) for p, t in zip(pdf["file_path"], pdf["text"])]
+        kinds, prints = [], []
+        for path, text in zip(pdf["file_path"], pdf["text"]):
+            kind, bare = marks_and_code(path, text)
+            kinds.append(kind)
+            prints.append(winnow(path, text, bare).tolist() if kind in (None, "third_party") else [])
         out = pdf[FILE].copy()
-        out["kind"] = kinds
-        out["prints"] = [winnow(p, t).tolist() if k in (None, "third_party") else [] for p, t, k in zip(pdf["file_path"], pdf["text"], kinds)]
+        out["kind"], out["prints"] = kinds, prints
         yield out
 
 
@@ -140,22 +183,38 @@ def marked_files(files: DataFrame) -> DataFrame:
     return code.select(*FILE, F.coalesce("text", F.lit("")).alias("text")).mapInPandas(_mark_batches, _MARKED)
 
 
+def _print_table(marked: DataFrame) -> DataFrame:
+    """print, recurs (in at least two repositories), third (in a file marked as third-party), of the prints that have either.
+
+    Whether a print has two repositories shows in the least and greatest of
+    their hashes, which combine before the shuffle however often a print occurs.
+    """
+    each = marked.select(F.explode("prints").alias("print"), F.xxhash64("repo").alias("repo"), (F.col("kind").isNotNull()).cast("int").alias("third"))
+    counted = each.groupBy("print").agg(F.min("repo").alias("a"), F.max("repo").alias("b"), F.max("third").alias("third"))
+    return counted.select("print", (F.col("a") != F.col("b")).cast("int").alias("recurs"), "third").filter("recurs = 1 OR third = 1")
+
+
 def foreign_files(files: DataFrame, copy_share: float = COPY_SHARE) -> DataFrame:
-    """Files not written by hand here: repo, root_dir, file_path, kind, share.
-
-    kind is generated, minified, data, third_party (marked as such) or copy
-    (unmarked, with at least copy_share of its fingerprints in third-party
-    files); share is that share, null for the others. Empty files and files of
-    other extensions are no cases; a null text is empty. Fingerprints are joined
-    against the distinct ones of third-party files, so a fingerprint that very
-    many files share meets one row.
+    """Files not written by hand here: repo, root_dir, file_path, kind, share, recurring.
+
+    kind is generated, minified, data; copy (at least copy_share of its
+    fingerprints recur in other repositories, and a mark of its own or of files
+    with copy_share of them says third-party); or third_party (such a mark, but
+    the fingerprints don't recur). share is the share of fingerprints in marked
+    files, recurring that in several repositories; both are null for other kinds.
+    Empty files and files of other extensions are no cases; a null text is
+    empty. A fingerprint that very many files share meets one row of the table
+    of fingerprints.
     """
     marked = cut(marked_files(files))
-    known = marked.filter("kind = 'third_party'").select(F.explode("prints").alias("print")).distinct()
-    open_prints = marked.filter(F.col("kind").isNull()).select(*FILE, F.size("prints").alias("total"), F.explode("prints").alias("print"))
-    shared = open_prints.join(known, "print", "left_semi").groupBy(*FILE).agg((F.count(F.lit(1)) / F.first("total")).alias("share")).filter(F.col("share") >= copy_share)
-    own = marked.filter(F.col("kind").isNotNull()).select(*FILE, "kind", F.lit(None).cast("double").alias("share"))
-    return own.unionByName(shared.select(*FILE, F.lit("copy").alias("kind"), F.round("share", 6).alias("share")))
+    open_files = marked.filter("kind IS NULL OR kind = 'third_party'")
+    prints = open_files.select(*FILE, "kind", F.size("prints").alias("total"), F.explode("prints").alias("print"))
+    shares = prints.join(_print_table(open_files), "print").groupBy(*FILE, "kind", "total").agg((F.sum("third") / F.col("total")).alias("share"), (F.sum("recurs") / F.col("total")).alias("recurring"))
+    copies = shares.filter(F.col("share") >= copy_share)  # all of a marked file's prints are in a marked file
+    told = F.when(F.col("recurring") >= copy_share, "copy").otherwise("third_party")
+    bare = marked.filter("kind = 'third_party' AND size(prints) = 0").select(*FILE, "kind", F.lit(None).cast("double").alias("share"), F.lit(None).cast("double").alias("recurring"))
+    other = marked.filter("kind <> 'third_party'").select(*FILE, "kind", F.lit(None).cast("double").alias("share"), F.lit(None).cast("double").alias("recurring"))
+    return copies.select(*FILE, told.alias("kind"), F.round("share", 6).alias("share"), F.round("recurring", 6).alias("recurring")).unionByName(bare).unionByName(other)
 
 
 def foreign_code(chunks: DataFrame) -> DataFrame:
