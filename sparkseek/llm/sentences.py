@@ -39,7 +39,8 @@ _TOKEN = re.compile(r"(?P<M>\.{2,}|[.!?…。！？।॥｡︒؟۔]+(?:[.!?…
 _THAI_GAP = re.compile(r"(?<=[฀-๿])\s+(?=[฀-๿])")
 _WIDE_MARK = re.compile(r"[。！？।॥｡︒؟۔]")
 _CJK = re.compile(r"[　-ヿ㐀-鿿豈-﫿＀-｠]")
-_WORD_AT = re.compile(r"\S{1,200}")
+_WORD_AT = re.compile(r"\S+")
+_LETTERS_AT = re.compile(r"\w+")
 _BLANK = re.compile(r"\s*$")
 _FENCE = re.compile(r"\s{0,3}(```+|~~~+)")
 _HEADING = re.compile(r"#{1,6}(?:\s|$)")
@@ -258,9 +259,14 @@ def _stop_kind(text: str, dot: int, follow: int, end: int, start: int) -> bool |
             i -= 1
         if i == start:
             return False  # the unit begins with a number
-        word = re.search(r"(\w+)\s+$", text[max(start, i - 20) : i])
-        after = re.match(r"\w+", text[follow : follow + 20])
-        if (word and word[1].lower() in ORDINAL_BEFORE and after and after[0][0].isupper()) or (after and after[0] in ORDINAL_AFTER):
+        j = i
+        while j > start and text[j - 1].isspace():
+            j -= 1
+        k = j
+        while j < i and k > start and (text[k - 1].isalnum() or text[k - 1] == "_"):
+            k -= 1
+        after = _LETTERS_AT.match(text, follow, end)
+        if (text[k:j].lower() in ORDINAL_BEFORE and after and after[0][0].isupper()) or (after and after[0] in ORDINAL_AFTER):
             return False
     return None
 

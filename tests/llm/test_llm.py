@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sparkseek.llm import copies, docpairs, leakage, mixing, neighbours, parsing, provenance, secrets, sentences
-from sparkseek.llm.gll import Gll
+from sparkseek.llm.gll import Gll, Islands
 from sparkseek.syntax.grammars import furthest_failure, lex
 
 sys.setrecursionlimit(100_000)
@@ -169,9 +169,23 @@ def test_own_marks():
 
 def test_copies_of_third_party_code(spark):
     lib = "\n".join(f"function lib{i}(a, b) {{\n  let c = a.x{i} + {i};\n  for (const d of b) {{ c += d.y * {i}; }}\n  return c;\n}}" for i in range(6))
-    files = [("a", "vendor/l/l.js", lib), ("b", "src/copy.js", lib.replace("  ", "\t").replace("\n}", "\n\n}")), ("c", "src/own.ts", HAND), ("d", "vendor/l/x.json", "{}"), ("e", "src/empty.ts", ""), ("f", None, lib)]
+    alone = HAND.replace("filter", "map").replace("3", "x * 7 + q")
+    files = [("g", "vendor/m/m.ts", alone), ("a", "vendor/l/l.js", lib), ("b", "src/copy.js", lib.replace("  ", "\t").replace("\n}", "\n\n}")), ("c", "src/own.ts", HAND), ("d", "vendor/l/x.json", "{}"), ("e", "src/empty.ts", ""), ("f", None, lib)]
     got = {(r["repo"], r["kind"]) for r in provenance.foreign_code(chunk_table(spark, files)).collect()}
-    assert got == {("a", "third_party"), ("b", "copy")}
+    assert got == {("a", "copy"), ("b", "copy"), ("g", "third_party")}
+    rows = {r["repo"]: (r["share"], r["recurring"]) for r in provenance.foreign_code(chunk_table(spark, files)).collect()}
+    assert rows["a"] == rows["b"] == (1.0, 1.0) and rows["g"][0] == 1.0 and rows["g"][1] < 0.7
+    assert provenance.foreign_code(chunk_table(spark, files).limit(0)).collect() == []
+
+
+def test_long_comments_at_the_end():
+    mark = provenance.own_marks
+    licence = "\n * ".join(["/*! lib v1.2.3 | (c) the lib contributors | MIT License"] + ["all that follows is a very long text of a licence"] * 80) + "\n */\n"
+    assert len(licence) > 3000 and mark("src/a.js", HAND + "\n" + licence) == "third_party"
+    assert mark("src/a.js", HAND + "\n" + licence + "// end\n/* and more */ \n\n") == "third_party"
+    assert mark("src/a.js", HAND + "\nconst a = 1; " + licence) is None and mark("src/a.py", "x = 1\n" + "# a\n" * 2000 + "# generated by x\n") == "generated"
+    for end in ("// a\n" * 200_000, "/* a */\n" * 120_000, "/* " + "a\n" * 400_000, "/*" * 400_000 + "*/"):
+        assert mark("src/a.js", HAND + end) is None
 
 
 # 5 parsing
@@ -246,7 +260,7 @@ def test_files_are_put_together(spark):
 # 6 functions and documentation
 def test_gll_takes_left_recursion_and_ambiguity():
     grammar = {"E": [("E", "+", "E"), ("n",)]}
-    assert Gll(grammar, ["n", "+", "n", "+", "n", "EOF"], [0] * 7).ends("E", 0) == [1, 3, 5]
+    assert Gll(Islands(grammar), ["n", "+", "n", "+", "n", "EOF"], [0] * 7).ends("E", 0) == [1, 3, 5]
 
 
 SOURCE = """import a from 'a';
@@ -297,6 +311,15 @@ def test_functions_of_broken_files():
     assert [s for s, *_ in docpairs.file_pairs("ts", lex("ts", text))] == ["find", "A.send"]
 
 
+def test_long_lines_of_documentation():
+    said = docpairs.description
+    assert said("TODO " * 40, "run") is None and said("todo: document this method later " * 10, "run") is None
+    assert said("const total = a.b + " + "c + " * 200 + "d;", "run") is None
+    assert said("Removes every entry older than the limit.", "run") is not None and said("placeholder text of a search box is set here", "run") is not None
+    for text in ("todo" * 250_000, "the " * 250_000 + "!x", "a.b" * 300_000, "f(" * 400_000, "const " + "x " * 400_000):
+        said(text, "run")
+
+
 def test_documented_functions(spark):
     good = "// Adds two numbers and keeps the result.\nexport function add(a, b) { return a + b; }\n"
     short = [("r", f"s{i}.ts", f"// Helper thing.\nfunction f{i}() {{ return {i}; }}\n") for i in range(25)]
@@ -475,6 +498,7 @@ def units(text):
         ("รุ่น 9.1 แก้แล้ว ระบบใหม่", ["รุ่น 9.1 แก้แล้ว", "ระบบใหม่"]),
         ("", []),
         (" \n\t\n ", []),
+        ("One ends. " + "x" * 300 + ".y starts one. It was on the" + " " * 40 + "3. März there.", ["One ends.", "x" * 300 + ".y starts one.", "It was on the" + " " * 40 + "3. März there."]),
         ("(never closed. Next one. End", ["(never closed.", "Next one.", "End"]),
     ],
 )
