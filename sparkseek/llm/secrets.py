@@ -3,14 +3,20 @@
 Every literal (quoted strings, values of settings lines, values named in
 comments) is cut into words by Viterbi: the cheapest reading of its characters
 as dictionary words, pronounceable syllables, digits and separators, and, at a
-higher price, unexplained characters. A literal is a credential if
-
-* it holds an unexplained run of some length in an assignment context, has no
-  known hash or data format, and mixes character classes; or
-* the name it is given to asks for a credential, and it is no placeholder,
-  reference or label; hash formats count here, as a key may look like one; or
-* it is a structure that carries one (URL with a password, webhook address with
-  a token, authorization header, private key).
+higher price, unexplained characters. What stays unexplained makes a credential,
+and the context sets how much is needed:
+
+* nothing but an assignment: a long run of mixed character classes that has no
+  known hash or data format;
+* a name that asks for a credential: a shorter one, and hash formats count, as a
+  key may look like one; a name that asks for a password: any character beyond
+  plain words in lower case, as people choose passwords of words and digits;
+* a structure that carries one (webhook address with a token, authorization
+  header, private key): a run in the part that carries it; the password of a URL
+  is one by its place, whatever its characters.
+
+Placeholders, references and labels are left out by their form. Words come from
+a public tokenizer's vocabulary, if it is there, and a short list of our own.
 """
 
 from __future__ import annotations
@@ -18,6 +24,7 @@ from __future__ import annotations
 import base64
 import binascii
 import math
+import os
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -27,7 +34,7 @@ from typing import NamedTuple
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from ..operators.codefiles import spread
+from ..operators.codefiles import spread, task_count
 
 # Words that explain text in names and literals.
 WORDS = frozenset(
@@ -41,70 +48,100 @@ WORDS = frozenset(
     order group function return const export import default code generated edit version release license copyright""".split()
 )
 _WORD_COST, _SYLLABLE_COST, _DIGIT_COST, _PLAIN_COST, _UNEXPLAINED = 1.0, 1.6, 0.9, 0.4, 2.2
-_MAX_WORD = max(map(len, WORDS))
 _MAX_SYLLABLES = 100  # of one piece of a run
 _VOWELS = frozenset("aeiou")
 
 
-def residual(text: str) -> str:
-    """The longest unexplained stretch of a text; short texts, which recur, are remembered."""
-    return _remembered(text) if len(text) <= 200 else _longest_unexplained(text)
-
+@lru_cache(maxsize=4)
+def vocabulary_words(path: str | None) -> frozenset[str]:
+    """Words of at least four lower-case letters that a .tiktoken rank file holds whole (with a blank before them); none if there is no file."""
+    if not path or not os.path.exists(path):
+        return frozenset()
+    with open(path, "rb") as ranks:
+        tokens = (base64.b64decode(line.split()[0]) for line in ranks if line.strip())
+        return frozenset(t[1:].decode() for t in tokens if re.fullmatch(rb" [a-z]{4,}", t))
+
+
+class Lexicon:
+    """Cuts texts into words; short texts, which recur, are remembered."""
+
+    def __init__(self, words: frozenset[str] = frozenset()):
+        self.words = WORDS | words
+        self.longest = max(map(len, self.words))
+        self._remembered = lru_cache(maxsize=65536)(self._longest_unexplained)
+
+    def residual(self, text: str) -> str:
+        """The longest unexplained stretch of a text."""
+        return self._remembered(text) if len(text) <= 200 else self._longest_unexplained(text)
+
+    def strength(self, text: str) -> int:
+        """Length of the unexplained stretch, and one for each kind of character beyond the first."""
+        kinds = (any(c.isdigit() for c in text), any(c.islower() for c in text), any(c.isupper() for c in text), any(not c.isalnum() and not c.isspace() for c in text))
+        return len(self.residual(text)) + sum(kinds) - 1
+
+    def _longest_unexplained(self, text: str) -> str:
+        """The characters of the longest stretch that the cheapest segmentation leaves unexplained.
+
+        Separators and digits inside the stretch belong to it. Words must be in one
+        letter case (lower, upper or capital first); a syllable is a consonant and
+        a vowel of the same case inside a run of at least two syllables; a longer run
+        is read in pieces of up to `_MAX_SYLLABLES`, so the work is linear.
+        """
+        words, longest_word = self.words, self.longest
+        n, lower = len(text), text.lower()
+        best = [0.0] + [math.inf] * n
+        how: list[tuple[int, bool]] = [(0, True)] * (n + 1)
+        for i in range(n):
+            cost = best[i]
+            ch = text[i]
+            step = _DIGIT_COST if ch.isdigit() else _UNEXPLAINED if ch.isalpha() else _PLAIN_COST
+            if cost + step < best[i + 1]:
+                best[i + 1], how[i + 1] = cost + step, (i, not ch.isalpha())
+            if not ch.isalpha():
+                continue
+            for j in range(i + 3, min(n, i + longest_word) + 1):
+                if not lower[j - 1].isalpha():
+                    break
+                if lower[i:j] in words and (text[i:j].islower() or text[i:j].isupper() or text[i + 1 : j].islower()):
+                    if cost + _WORD_COST < best[j]:
+                        best[j], how[j] = cost + _WORD_COST, (i, True)
+            j = i
+            while j + 1 < n and j < i + 2 * _MAX_SYLLABLES and lower[j].isalpha() and lower[j].isascii() and lower[j] not in _VOWELS and lower[j + 1] in _VOWELS and (j == i or (text[j] + text[j + 1]).islower() or text[i : j + 2].isupper()) and (text[j + 1].islower() or text[i : j + 2].isupper()):
+                j += 2
+                price = cost + _SYLLABLE_COST * (j - i) / 2
+                if j - i >= 4 and price < best[j]:
+                    best[j], how[j] = price, (i, True)
+        pieces = []
+        i = n
+        while i > 0:
+            start, known = how[i]
+            pieces.append((start, i, known))
+            i = start
+        longest, begin = (0, 0), -1  # begin of the stretch, or -1
+        for start, end, known in reversed(pieces):
+            piece = text[start:end]
+            if not known or piece.isdigit():
+                begin = start if begin < 0 else begin
+            elif begin < 0 or not (len(piece) <= 1 and piece in "+/=_-." or len(piece) <= 4):  # a short word by chance within noise belongs to it
+                begin = -1
+            if begin >= 0 and end - begin > longest[1] - longest[0]:
+                longest = (begin, end)
+        return text[longest[0] : longest[1]]
+
+
+PLAIN = Lexicon()
 
-def _longest_unexplained(text: str) -> str:
-    """The characters of the longest stretch that the cheapest segmentation leaves unexplained.
 
-    Separators and digits inside the stretch belong to it. Words must be in one
-    letter case (lower, upper or capital first); a syllable is a consonant and
-    a vowel of the same case inside a run of at least two syllables; a longer run
-    is read in pieces of up to `_MAX_SYLLABLES`, so the work is linear.
-    """
-    n, lower = len(text), text.lower()
-    best = [0.0] + [math.inf] * n
-    how: list[tuple[int, bool]] = [(0, True)] * (n + 1)
-    for i in range(n):
-        cost = best[i]
-        ch = text[i]
-        step = _DIGIT_COST if ch.isdigit() else _UNEXPLAINED if ch.isalpha() else _PLAIN_COST
-        if cost + step < best[i + 1]:
-            best[i + 1], how[i + 1] = cost + step, (i, not ch.isalpha())
-        if not ch.isalpha():
-            continue
-        for j in range(i + 3, min(n, i + _MAX_WORD) + 1):
-            if lower[i:j] in WORDS and (text[i:j].islower() or text[i:j].isupper() or text[i + 1 : j].islower()):
-                if cost + _WORD_COST < best[j]:
-                    best[j], how[j] = cost + _WORD_COST, (i, True)
-        j = i
-        while j + 1 < n and j < i + 2 * _MAX_SYLLABLES and lower[j].isalpha() and lower[j].isascii() and lower[j] not in _VOWELS and lower[j + 1] in _VOWELS and (j == i or (text[j] + text[j + 1]).islower() or text[i : j + 2].isupper()) and (text[j + 1].islower() or text[i : j + 2].isupper()):
-            j += 2
-            price = cost + _SYLLABLE_COST * (j - i) / 2
-            if j - i >= 4 and price < best[j]:
-                best[j], how[j] = price, (i, True)
-    pieces = []
-    i = n
-    while i > 0:
-        start, known = how[i]
-        pieces.append((start, i, known))
-        i = start
-    longest, begin = (0, 0), -1  # begin of the stretch, or -1
-    for start, end, known in reversed(pieces):
-        piece = text[start:end]
-        if not known or piece.isdigit():
-            begin = start if begin < 0 else begin
-        elif begin < 0 or not (len(piece) <= 1 and piece in "+/=_-." or len(piece) <= 4):  # a short word by chance within noise belongs to it
-            begin = -1
-        if begin >= 0 and end - begin > longest[1] - longest[0]:
-            longest = (begin, end)
-    return text[longest[0] : longest[1]]
-
-
-_remembered = lru_cache(maxsize=65536)(_longest_unexplained)
+def residual(text: str) -> str:
+    """The longest stretch of a text that the built-in words leave unexplained."""
+    return PLAIN.residual(text)
 
 
 _HASH = re.compile(
     r"^(?:[0-9a-fA-F]{7,128}|(?:md5|sha1|sha224|sha256|sha384|sha512)[-:][A-Za-z0-9+/=]+|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})$"
 )
-_REFERENCE = re.compile(r"\$\{[^}]*\}|\$[A-Z_]+\b|\{\{.*?\}\}|%\(\w+\)s|%[A-Z_]+%|<[^<>]*>|\$\(.*?\)|process\.env|os\.environ|getenv|\bvault[:.]|\bssm:|secretsmanager|#\{.*?\}|@@\w+@@", re.S)
+_REFERENCE = re.compile(r"\$[A-Z_]++\b|%\(\w++\)s|%[A-Z_]++%|<[^<>]*+>|process\.env|os\.environ|getenv|\bvault[:.]|\bssm:|secretsmanager|@@\w+@@")
+_FRAMES = (("${", "}"), ("{{", "}}"), ("$(", ")"), ("#{", "}"))
 _PLACEHOLDER = re.compile(
     r"^(?:x{3,}|\*{3,}|\.{3,}|-{3,}|_{3,}|0{4,}|1234\d*|change[-_ ]?(?:me|this|it)!?|to[-_ ]?do|fix[-_ ]?me|tbd|replace[-_ ]?(?:me|this)?.*|your[-_ ].*|my[-_ ](?:secret|password|token|key).*|none|null|nil|undefined|true|false|example.*|sample.*|dummy.*|test(?:ing)?|redacted|masked|hidden|secret|password|passwd|token|placeholder.*|insert[-_ ].*|enter[-_ ].*|n/?a)$",
     re.I,
@@ -114,10 +151,10 @@ _CREDENTIAL_NAME = re.compile(
 )
 _OTHER_NAME = re.compile(r"label|hint|prompt|message|text|title|header_?name|token_?header|budget|sort_?key|group_?key|cache_?key|key_?id|public|^pub_?|_pub$|hash|checksum|digest|integrity|revision|commit|request_?id|placeholder|error|regex|pattern|field|column|_name$|_url$|_path$|_file$|length|size|limit|policy|count|expiry|ttl|type$")
 _PASSWORD_NAME = re.compile(r"passw(?:or)?d|passphrase|pwd|pass$|pass_")
-_TAG = re.compile(r"(?:_?[a-z]{6})?_?\d*$")
 
-_URL = re.compile(r"(?<![a-z0-9+.-])[a-z][a-z0-9+.-]{0,30}://([^\s/:@'\"`]*):([^\s@/'\"`]+)@[^\s'\"`]+", re.I)
-_HOOK = re.compile(r"https?://[^\s'\"`]{0,200}?(?:hook)[^\s'\"`]{0,200}?/((?=[A-Za-z0-9_-]*\d)(?=[A-Za-z0-9_-]*[A-Za-z])[A-Za-z0-9_-]{16,})(?=$|[\s'\"`?])", re.I)
+_URL = re.compile(r"(?<![a-z0-9+.-])[a-z][a-z0-9+.-]*+://([^\s/:@'\"`]*+):([^\s@/'\"`]++)@[^\s'\"`]++", re.I)
+_WEB = re.compile(r"https?://[^\s'\"`]++", re.I)
+_HOOK_TOKEN = re.compile(r"(?=[A-Za-z_-]*+\d)(?=[0-9_-]*+[A-Za-z])[A-Za-z0-9_-]{16,}+")
 _AUTH = re.compile(r"^\s*(Basic|Bearer|Token|Digest|ApiKey)\s+(\S{8,})\s*$", re.I)
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _PEM_ALL = re.compile(r"(-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----)((?:(?!-----)[\s\S])*)(-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----)?")
@@ -134,7 +171,7 @@ class Span(NamedTuple):
 
 def _flat(name: str) -> str:
     """A name in lower case with underscores between its words."""
-    return re.sub(r"[\W_]+", "_", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", name)).strip("_").lower()
+    return re.sub(r"[\W_]+", "_", re.sub(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", "_", name)).strip("_").lower()
 
 
 @lru_cache(maxsize=65536)
@@ -150,6 +187,8 @@ def _placeholder(value: str) -> bool:
     bare = value.strip().strip("\"'`")
     if _REFERENCE.search(bare) or _PLACEHOLDER.match(bare):
         return True
+    if any((i := bare.find(a)) >= 0 and bare.find(b, i + 2) >= 0 for a, b in _FRAMES):
+        return True
     core = re.sub(r"[^A-Za-z0-9]", "", bare)
     return len(set(core.lower())) <= 3 or bool(re.search(r"(.)\1{5,}", core)) or bool(re.search(r"x{8,}", core, re.I))
 
@@ -162,7 +201,20 @@ def _mixed(run: str) -> bool:
 _NOTABLE = re.compile(r"://|-----BEGIN|[A-Za-z0-9_.-]{14}|^\s*(?:Basic|Bearer|Token|Digest|ApiKey)\s", re.I)
 
 
-def classify(name: str, value: str) -> list[Span]:
+def _hook_tokens(value: str) -> Iterator[tuple[int, int]]:
+    """Places of the tokens of webhook addresses: the first part of the path after the word that looks like one and ends the address or its path."""
+    for web in _WEB.finditer(value):
+        at = web[0].lower().find("hook", web[0].find("://") + 3)
+        at = web[0].find("/", at) if at >= 0 else -1
+        while at >= 0:
+            m = _HOOK_TOKEN.match(web[0], at + 1)
+            if m and (m.end() == len(web[0]) or web[0][m.end()] == "?"):
+                yield web.start() + m.start(), web.start() + m.end()
+                break
+            at = web[0].find("/", at + 1)
+
+
+def classify(name: str, value: str, lexicon: Lexicon = PLAIN) -> list[Span]:
     """Credential spans of one literal value given to `name`; offsets count from the value's start."""
     if len(value) < 6 or not (_NOTABLE.search(value) or asks_for_credential(name)):
         return []
@@ -170,14 +222,14 @@ def classify(name: str, value: str) -> list[Span]:
     for m in _URL.finditer(value) if "://" in value else ():
         if not _placeholder(m[2]):
             spans.append(Span(m.start(2), m.end(2), "url"))
-    for m in _HOOK.finditer(value) if "://" in value else ():
-        if not _placeholder(m[1]) and len(residual(m[1])) >= 8:
-            spans.append(Span(m.start(1), m.end(1), "webhook"))
+    for a, b in _hook_tokens(value) if "://" in value else ():
+        if not _placeholder(value[a:b]) and len(lexicon.residual(value[a:b])) >= 8:
+            spans.append(Span(a, b, "webhook"))
     if spans:
         return spans
     if _PEM.search(value):
         m = _PEM_ALL.search(value)
-        return [Span(m.start(), m.end(), "private_key")]
+        return [Span(m.start(), m.end(), "private_key")] if _holds_key(m, lexicon) else []
     if "-----BEGIN" in value or re.match(r"\s*(?:data:|[a-z][a-z0-9+.-]*://|sourceMappingURL)", value):
         return []
     m = _AUTH.match(value)
@@ -188,7 +240,7 @@ def classify(name: str, value: str) -> list[Span]:
                     return [Span(m.start(2), m.end(2), "header")]
             except (binascii.Error, ValueError):
                 pass
-        elif len(residual(m[2])) >= 8 or _HASH.match(m[2]):
+        elif len(lexicon.residual(m[2])) >= 8 or _HASH.match(m[2]):
             return [Span(m.start(2), m.end(2), "header")]
         return []
     bare = value.strip()
@@ -196,38 +248,101 @@ def classify(name: str, value: str) -> list[Span]:
     whole = [Span(lead, lead + len(bare), "literal")]
     if not bare or _placeholder(bare):
         return []
+    plain = not re.search(r"\s", bare)
     if asks_for_credential(name):
         if _PASSWORD_NAME.search(_flat(name)):
-            return whole if not re.fullmatch(r"[a-z]+|[\d.]+", bare) and (re.search(r"\d", bare) or not re.search(r"\s", bare)) else []
-        if re.search(r"\s", bare) or len(bare) < 8 or re.fullmatch(r"[\d.]+", bare):
+            return whole if lexicon.strength(bare) >= 1 and not re.fullmatch(r"[a-z]+|[\d.]+", bare) and (plain or re.search(r"\d", bare)) else []
+        if not plain or len(bare) < 8 or re.fullmatch(r"[\d.]+", bare):
             return []
-        return whole if len(residual(bare)) >= 6 or _HASH.match(bare) else []
-    if re.search(r"\s", bare):
+        return whole if len(lexicon.residual(bare)) >= 6 or _HASH.match(bare) else []
+    if not plain:
         return []
+    run = lexicon.residual(bare) if len(bare) >= 14 else ""
     if _JWT.match(bare):
-        return whole
-    if _HASH.match(bare):
-        return []
-    if re.search(r"[+/=(){}\[\]<>;:,@\\$%!?*&|^~`'\"#]", bare):
-        return []  # data, code and paths; keys of known kinds use letters, digits and _-. only
-    run = residual(bare)
+        return whole if len(run) >= 14 else []
+    if _HASH.match(bare) or re.search(r"[+/=(){}\[\]<>;:,@\\$%!?*&|^~`'\"#]", bare):
+        return []  # hashes, data, code and paths; keys of known kinds use letters, digits and _-. only
     return whole if len(run) >= 14 and _mixed(run) and not _HASH.match(run) else []
 
 
+def _holds_key(m: re.Match, lexicon: Lexicon) -> bool:
+    """Whether a private key's frame has more in it than words and references."""
+    body = m[2].replace("\\n", "\n").strip(" \t\r\n\"'`+,")
+    return not body or (not _REFERENCE.search(body) and any(len(lexicon.residual(x)) >= 8 for x in re.findall(r"[A-Za-z0-9+/=]{8,}", body)))
+
+
 _CODE_LITERAL = r"""\"\"\"[\s\S]*?(?:\"\"\"|\Z)|'''[\s\S]*?(?:'''|\Z)|`(?:[^`\\]|\\[\s\S])*(?:`|\Z)|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'"""
 _SLASH = re.compile(rf"(?P<S>{_CODE_LITERAL})|(?P<C>//[^\n]*|/\*[\s\S]*?(?:\*/|\Z))")
 _HASHED = re.compile(rf"(?P<S>{_CODE_LITERAL})|(?P<C>\#[^\n]*)")
-# The name before a literal, read backwards from the literal's start so that matching stays local.
-_NAME_BACK = re.compile(r"""(?:[furbFURB]{1,2}(?=[\s(\[=:,]))?\s*[(\[]?\s*(?:={1,3}[!:]?|:|,|\()\s*(?:[\w<>\[\]|. ]{1,40}?:\??)?\s*\]?\s*["'`]?([\w$.-]*[A-Za-z_$])""")
 _IS_KEY = re.compile(r"\s*:(?!:)")
 _JOIN = re.compile(r"""\s*(?:\+\s*|\\\r?\n\s*)?(?:[furbFURB]{1,2}(?=["']))?""")
 _SETTING = re.compile(r"""^[ \t]*(?:-[ \t]+)?(?:export[ \t]+)?["']?([A-Za-z_][\w.-]*)["']?[ \t]*(=|:(?=\s))[ \t]*(.*?)[ \t]*\r?$""", re.M)
 _NAMED_IN_COMMENT = re.compile(r"""(?<![\w.-])([A-Za-z_][\w.-]*)\s*(?:=|:)\s*["'`]?([^\s"'`](?:[^\n"'`]*[^\s"'`,;*/])?)""")
 _FURTHER_NAME = re.compile(r"[\s,;](?=[A-Za-z_][\w.-]*(?:\s*=|:\s))")
-_BARE_URL = re.compile(r"(?<![a-z0-9+.-])[a-z][a-z0-9+.-]{0,30}://[^\s'\"`]+", re.I)
+_BARE_URL = re.compile(r"(?<![a-z0-9+.-])[a-z][a-z0-9+.-]*+://[^\s'\"`]++", re.I)
+
 
+def _back(text: str, at: int) -> int:
+    while at and text[at - 1].isspace():
+        at -= 1
+    return at
 
-def find_secrets(path: str | None, content: str | None) -> list[Span]:
+
+def _own_name(text: str, at: int) -> str:
+    """The name that ends at `at`, perhaps in quotes or an index; walked backwards."""
+    at = _back(text, at)
+    if at and text[at - 1] == "]":
+        at = _back(text, at - 1)
+    if at and text[at - 1] in "\"'`":
+        at -= 1
+    begin = at
+    while begin and (text[begin - 1].isalnum() or text[begin - 1] in "_$.-"):
+        begin -= 1
+    while begin < at and not ((text[begin].isascii() and text[begin].isalpha()) or text[begin] in "_$"):
+        begin += 1
+    return text[begin:at]
+
+
+def _name_before(text: str, at: int) -> str:
+    """The name a literal that starts at `at` is given to, or compared with, or passed after; empty if there is none.
+
+    Between the two may stand blanks, a bracket, one of `= == === != := : , (`
+    and a type annotation. Nothing is walked over twice, as a quote ends the walk.
+    """
+    lead = at
+    while lead and at - lead < 2 and text[lead - 1] in "furbFURB":
+        lead -= 1
+    if lead < at and lead and (text[lead - 1].isspace() or text[lead - 1] in "([=:,"):
+        at = lead
+    at = _back(text, at)
+    starts = [_back(text, at - 1), at] if at and text[at - 1] in "([" else [at]
+    for i in starts:
+        if not i:
+            continue
+        if text[i - 1] == "=":
+            j = i - 1
+            while j and i - j < 3 and text[j - 1] == "=":
+                j -= 1
+            if j and text[j - 1] in "!:":
+                j -= 1
+        elif text[i - 1] in ":,(":
+            j = i - 1
+        else:
+            continue
+        j = kind = _back(text, j)
+        while kind and (text[kind - 1].isalnum() or text[kind - 1] in "_<>[]|. "):
+            kind -= 1
+        if kind < j and kind and text[kind - 1] == ":":
+            typed = _own_name(text, kind - 2 if kind > 1 and text[kind - 2] == "?" else kind - 1)
+            if typed:
+                return typed
+        name = _own_name(text, j)
+        if name:
+            return name
+    return ""
+
+
+def find_secrets(path: str | None, content: str | None, lexicon: Lexicon = PLAIN) -> list[Span]:
     """Spans of the credentials in one content, in order of place.
 
     The span of a value cut into several literals starts in its first piece and
@@ -237,7 +352,7 @@ def find_secrets(path: str | None, content: str | None) -> list[Span]:
         return []
     base = (path or "").rsplit("/", 1)[-1].lower()
     if base.endswith((".yaml", ".yml")) or base.startswith(".env") or ".env." in base or base.endswith(".env"):
-        return _in_settings(content)
+        return _in_settings(content, lexicon)
     hashed = base.endswith(".py")
     out: list[Span] = []
     pending: list[tuple[int, int, str]] = []  # pieces of one value
@@ -249,10 +364,10 @@ def find_secrets(path: str | None, content: str | None) -> list[Span]:
         name = pending[0][2]
         if len(pending) == 1:
             value = content[start : pending[0][1]]
-            out.extend(Span(start + s.start, start + s.end, s.kind) for s in classify(name, value))
+            out.extend(Span(start + s.start, start + s.end, s.kind) for s in classify(name, value, lexicon))
         else:
             value = "".join(content[a:b] for a, b, _ in pending)
-            if classify(name, value):
+            if classify(name, value, lexicon):
                 out.append(Span(start, pending[-1][1], "pieces"))
         pending.clear()
 
@@ -261,7 +376,7 @@ def find_secrets(path: str | None, content: str | None) -> list[Span]:
         if m.lastgroup == "C":
             flush()
             last_end = -1
-            out.extend(Span(m.start() + x.start, m.start() + x.end, x.kind) for x in _in_comment(m[0]))
+            out.extend(Span(m.start() + x.start, m.start() + x.end, x.kind) for x in _in_comment(m[0], lexicon))
             continue
         literal = m[0]
         mark = 3 if literal.startswith(('"""', "'''")) else 1
@@ -275,12 +390,11 @@ def find_secrets(path: str | None, content: str | None) -> list[Span]:
             if _IS_KEY.match(content, m.end()):  # a member's name is no value
                 last_end = -1
                 continue
-            before = _NAME_BACK.match(content[max(0, m.start() - 90) : m.start()][::-1])
-            pending.append((start, end, before[1][::-1].rsplit(".", 1)[-1] if before else ""))
+            pending.append((start, end, _name_before(content, m.start()).rsplit(".", 1)[-1]))
         last_end = m.end()
     flush()
     for m in _PEM_ALL.finditer(content):  # keys outside literals
-        if not any(s.start <= m.start() < s.end for s in out):
+        if not any(s.start <= m.start() < s.end for s in out) and _holds_key(m, lexicon):
             out.append(Span(m.start(), m.end(), "private_key"))
     return _apart(out)
 
@@ -294,7 +408,7 @@ def _apart(spans: list[Span]) -> list[Span]:
     return out
 
 
-def _in_comment(comment: str) -> list[Span]:
+def _in_comment(comment: str, lexicon: Lexicon) -> list[Span]:
     """Every named credential of a comment, also of several in a line, and every URL with one."""
     out: list[Span] = []
     if "=" in comment or ":" in comment:
@@ -302,24 +416,25 @@ def _in_comment(comment: str) -> list[Span]:
         parts = [(a, n) for a, b in zip(cuts, cuts[1:]) for n in _NAMED_IN_COMMENT.finditer(comment[a:b])]
         for at, n in parts:
             if not n[2].startswith("//"):
-                out.extend(Span(at + n.start(2) + s.start, at + n.start(2) + s.end, s.kind) for s in classify(n[1], n[2]))
+                out.extend(Span(at + n.start(2) + s.start, at + n.start(2) + s.end, s.kind) for s in classify(n[1], n[2], lexicon))
         for u in _BARE_URL.finditer(comment) if "://" in comment else ():
-            out.extend(Span(u.start() + s.start, u.start() + s.end, s.kind) for s in classify("", u[0]))
+            out.extend(Span(u.start() + s.start, u.start() + s.end, s.kind) for s in classify("", u[0], lexicon))
         out = _apart(out)
         if len(cuts) > 2:  # values that hold what looks like a further name
             for n in _NAMED_IN_COMMENT.finditer(comment):
                 if not n[2].startswith("//"):
-                    whole = [Span(n.start(2) + s.start, n.start(2) + s.end, s.kind) for s in classify(n[1], n[2])]
+                    whole = [Span(n.start(2) + s.start, n.start(2) + s.end, s.kind) for s in classify(n[1], n[2], lexicon)]
                     first = bisect_left(out, (n.start(2),))
                     if not (first < len(out) and out[first].start < n.end(2)):
                         out[first:first] = [w for w in whole if not first or out[first - 1].end <= w.start]
     return out
 
 
-def _in_settings(content: str) -> list[Span]:
+def _in_settings(content: str, lexicon: Lexicon) -> list[Span]:
     out: list[Span] = []
     for m in _PEM_ALL.finditer(content):
-        out.append(Span(m.start(), m.end(), "private_key"))
+        if _holds_key(m, lexicon):
+            out.append(Span(m.start(), m.end(), "private_key"))
     for m in _SETTING.finditer(content):
         if any(s.start < m.end() and m.start() < s.end for s in out):
             continue
@@ -329,9 +444,9 @@ def _in_settings(content: str) -> list[Span]:
             value, at = value[1 : close if close > 0 else None], at + 1
         else:
             value = re.sub(r"\s+#.*$", "", value)
-        out.extend(Span(at + s.start, at + s.end, s.kind) for s in classify(m[1], value))
+        out.extend(Span(at + s.start, at + s.end, s.kind) for s in classify(m[1], value, lexicon))
     for m in re.finditer(r"^[ \t]*#([^\n]*)", content, re.M):
-        out.extend(Span(m.start(1) + s.start, m.start(1) + s.end, s.kind) for s in _in_comment(m[1]))
+        out.extend(Span(m.start(1) + s.start, m.start(1) + s.end, s.kind) for s in _in_comment(m[1], lexicon))
     return _apart(out)
 
 
@@ -350,12 +465,12 @@ def _masked(match_text: str, kind: str) -> str:
     return MASK
 
 
-def redact(path: str | None, content: str | None) -> str | None:
+def redact(path: str | None, content: str | None, lexicon: Lexicon = PLAIN) -> str | None:
     """The content with only the credential values masked; literals keep their quotes, keys their frame and lines."""
     if content is None:
         return None
     out, at = [], 0
-    for s in find_secrets(path, content):
+    for s in find_secrets(path, content, lexicon):
         if s.start < at:
             continue
         out += [content[at : s.start], _masked(content[s.start : s.end], s.kind)]
@@ -364,35 +479,51 @@ def redact(path: str | None, content: str | None) -> str | None:
 
 
 FOUND_SCHEMA = "row_id long, file_path string, line_no int, start_char int, end_char int, kind string"
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
-def _find_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for row_id, path, content in zip(pdf["row_id"], pdf["file_path"], pdf["content"]):
-            for s in find_secrets(path, content):
-                rows.append((row_id, path, content.count("\n", 0, s.start) + 1, s.start, s.end, s.kind))
-        yield pd.DataFrame(rows, columns=["row_id", "file_path", "line_no", "start_char", "end_char", "kind"])
+@lru_cache(maxsize=2)
+def _lexicon(words: frozenset[str]) -> Lexicon:
+    return Lexicon(words)
 
 
-def secret_places(chunks: DataFrame) -> DataFrame:
+def secret_places(chunks: DataFrame, vocabulary: str | None = VOCABULARY) -> DataFrame:
     """Each credential once: row_id, file_path, line_no (1-based in content), start_char, end_char, kind.
 
     Records delivered again have the same row_id and values, so their places are
-    the same and one is kept; the contents themselves are not shuffled. Rows
+    the same and one is kept. `vocabulary` is a rank file on the driver, whose
+    words go to the tasks; without it the built-in words serve alone. Rows
     with null row_id or content give none.
     """
+    words = vocabulary_words(vocabulary)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lexicon = _lexicon(words)
+        for pdf in batches:
+            rows = []
+            for row_id, path, content in zip(pdf["row_id"], pdf["file_path"], pdf["content"]):
+                at, line = 0, 1
+                for s in find_secrets(path, content, lexicon):
+                    line, at = line + content.count("\n", at, s.start), s.start
+                    rows.append((row_id, path, line, s.start, s.end, s.kind))
+            yield pd.DataFrame(rows, columns=["row_id", "file_path", "line_no", "start_char", "end_char", "kind"])
+
     ready = chunks.select("row_id", "file_path", "content").dropna(subset=["row_id", "content"])
-    return spread(ready).mapInPandas(_find_batches, FOUND_SCHEMA).dropDuplicates(["row_id", "start_char", "end_char"])
+    return spread(ready).mapInPandas(run, FOUND_SCHEMA).dropDuplicates(["row_id", "start_char", "end_char"])
+
 
+def redacted_chunks(chunks: DataFrame, vocabulary: str | None = VOCABULARY) -> DataFrame:
+    """Each record once with its content masked: row_id, file_path, redacted, changed. A null content stays null.
 
-def _redact_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        masked = [redact(p, c) for p, c in zip(pdf["file_path"], pdf["content"])]
-        yield pd.DataFrame({"row_id": pdf["row_id"], "file_path": pdf["file_path"], "redacted": masked, "changed": [a != b for a, b in zip(masked, pdf["content"])]})
+    Contents are shuffled once, by row_id, into as many partitions as the work needs.
+    """
+    words = vocabulary_words(vocabulary)
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lexicon = _lexicon(words)
+        for pdf in batches:
+            masked = [redact(p, c, lexicon) for p, c in zip(pdf["file_path"], pdf["content"])]
+            yield pd.DataFrame({"row_id": pdf["row_id"], "file_path": pdf["file_path"], "redacted": masked, "changed": [a != b for a, b in zip(masked, pdf["content"])]})
 
-def redacted_chunks(chunks: DataFrame) -> DataFrame:
-    """Each record once with its content masked: row_id, file_path, redacted, changed. A null content stays null."""
-    ready = chunks.select("row_id", "file_path", "content").dropna(subset=["row_id"]).dropDuplicates(["row_id"])
-    return ready.mapInPandas(_redact_batches, "row_id long, file_path string, redacted string, changed boolean")
+    ready = chunks.select("row_id", "file_path", "content").dropna(subset=["row_id"]).repartition(task_count(chunks.sparkSession), "row_id").dropDuplicates(["row_id"])
+    return ready.mapInPandas(run, "row_id long, file_path string, redacted string, changed boolean")
