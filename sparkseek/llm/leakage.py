@@ -15,10 +15,13 @@ only scanned, never shuffled.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -31,6 +34,7 @@ _WORD = re.compile(r"[^\W_]+")
 _CJK = re.compile(r"[぀-ヿ㐀-䶿一-鿿豈-﫿ｦ-ﾟ]")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _TABLE_BITS = 22
+_CHARS, _HITS = 1 << 20, 1 << 22
 
 
 def words_of(text: str | None) -> list[str]:
@@ -87,7 +91,8 @@ class _Index:
             self.need.append(max(1, length - self.q + 1 - self.q * edits) if runs else 1 << 30)
             self.runs.append(runs)
             self.length.append(length)
-        hashes = [_gram_hashes(_codes(t), self.q) for t in self.texts]
+        self.codes = [_codes(t) for t in self.texts]
+        hashes = [_gram_hashes(c, self.q) for c in self.codes]
         flat = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
         item = np.concatenate([np.full(len(h), k, np.int32) for k, h in enumerate(hashes)]) if hashes else np.empty(0, np.int32)
         place = np.concatenate([np.arange(len(h), dtype=np.int32) for h in hashes]) if hashes else np.empty(0, np.int32)
@@ -96,44 +101,91 @@ class _Index:
         self.grams, self.first, self.count = np.unique(flat[order], return_index=True, return_counts=True)
         self.table = np.zeros(1 << _TABLE_BITS, dtype=bool)
         self.table[(self.grams >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
-        self.least = min(self.need, default=1 << 30)
+        self.least, self.needs = min(self.need, default=1 << 30), np.array(self.need, np.int64)
+        self.longest = max(map(len, self.texts), default=0)
 
 
-def _align(doc: str, item: str, low: int, high: int, start: int, stop: int, penalty: int) -> tuple[int, int, int, int, int]:
-    """Best local alignment of doc[start:stop] to the item on diagonals low..high (item place less document place).
+class _Band(NamedTuple):
+    """A stretch of a document to be aligned with an item on diagonals low..high (item place less document place)."""
 
-    Returns score, document start and end, item start, edits: a match counts 1, an edit -penalty.
+    doc: np.ndarray
+    item: np.ndarray
+    low: int
+    high: int
+    start: int
+    stop: int
+
+
+_CELLS = 1 << 14  # of one step of a batch of alignments
+_EDIT_BITS = 24
+_NO_DOC, _NO_ITEM = np.uint32(0xFFFFFFFF), np.uint32(0xFFFFFFFE)
+
+
+def _align(bands: list[_Band], penalty: int) -> np.ndarray:
+    """Best local alignment of each band: rows of score, document start and end, edits.
+
+    A match counts 1, an edit -penalty; of equal ones the first holds. Bands of
+    like size are worked off together, one document character a step.
     """
-    width = high - low + 1
-    none = (0, 0, 0, 0)
-    before = [none] * width  # score, doc start, item start, edits for each diagonal
-    best = (0, start, start, 0, 0)
-    for i in range(start, stop):
-        row = [none] * width
-        ch = doc[i]
-        for k in range(width):
-            j = i + low + k
-            if not 0 <= j < len(item):
-                continue
-            cell = before[k]
-            if ch == item[j]:
-                now = (cell[0] + 1, cell[1], cell[2], cell[3]) if cell[0] > 0 else (1, i, j, 0)
-            else:
-                now = (cell[0] - penalty, cell[1], cell[2], cell[3] + 1)
-            if k + 1 < width:  # a document character without partner
-                up = before[k + 1]
-                if up[0] - penalty > now[0]:
-                    now = (up[0] - penalty, up[1], up[2], up[3] + 1)
-            if k:  # an item character without partner
-                left = row[k - 1]
-                if left[0] - penalty > now[0]:
-                    now = (left[0] - penalty, left[1], left[2], left[3] + 1)
-            if now[0] > 0:
-                row[k] = now
-                if now[0] > best[0]:
-                    best = (now[0], now[1], i + 1, now[2], now[3])
-        before = row
-    return best
+    out = np.zeros((len(bands), 4), np.int64)
+    order = sorted(range(len(bands)), key=lambda i: (bands[i].high - bands[i].low, bands[i].stop - bands[i].start))
+    at = 0
+    while at < len(order):
+        n = max(1, _CELLS // (bands[order[at]].high - bands[order[at]].low + 1))
+        part = order[at : at + n]
+        out[part] = _align_together([bands[i] for i in part], penalty)
+        at += n
+    return out
+
+
+def _align_together(bands: list[_Band], penalty: int) -> np.ndarray:
+    """_align of one batch; its bands are columns, the longest first, so that those which have ended can be left out."""
+    n = len(bands)
+    lengths = np.array([b.stop - b.start for b in bands])
+    turn = np.argsort(-lengths, kind="stable")
+    bands, lengths = [bands[i] for i in turn], lengths[turn]
+    width, length = max(b.high - b.low + 1 for b in bands), int(lengths[0])
+    doc, item = np.full((length, n), _NO_DOC, np.uint32), np.full((length + width, n), _NO_ITEM, np.uint32)
+    for i, b in enumerate(bands):
+        doc[: b.stop - b.start, i] = b.doc[b.start : b.stop]
+        first = b.start + b.low  # the item's place on the lowest diagonal
+        lo, hi = max(0, first), min(len(b.item), b.stop + b.high)
+        if hi > lo:
+            item[lo - first : hi - first, i] = b.item[lo:hi]
+    outside = np.arange(width)[:, None] > np.array([b.high - b.low for b in bands])[None, :]
+    score = np.zeros((width + 1, n), np.int32)  # a last row without diagonal stays 0
+    trace = np.zeros((width + 1, n), np.int64)  # where the alignment begins, and its edits in the low bits
+    best, columns = np.zeros((n, 4), np.int64), np.arange(n)
+    for t, m in enumerate(np.searchsorted(-lengths, -np.arange(length), side="left").tolist()):
+        there, s, old = item[t : t + width, :m], score[:, :m], trace[:, :m]
+        same = there == doc[t, :m]
+        now = s[:width] + np.where(same, 1, -penalty)
+        p = old[:width] + ~same
+        np.copyto(p, t << _EDIT_BITS, where=same & (s[:width] == 0))
+        up = s[1:] - penalty  # a document character without partner
+        better = up > now
+        np.copyto(now, up, where=better)
+        np.copyto(p, old[1:] + 1, where=better)
+        never = (there == _NO_ITEM) | outside[:, :m]
+        now[never] = 0
+        for k in range(1, width):  # an item character without partner
+            left = now[k - 1] - penalty
+            better = (left > now[k]) & (left > 0) & ~never[k]
+            if better.any():
+                np.copyto(now[k], left, where=better)
+                np.copyto(p[k], p[k - 1] + 1, where=better)
+        np.maximum(now, 0, out=now)
+        s[:width], old[:width] = now, p
+        top = now.argmax(axis=0)
+        reached = now[top, columns[:m]]
+        more = np.flatnonzero(reached > best[:m, 0])
+        if len(more):
+            which = p[top[more], more]
+            best[more] = np.stack([reached[more], which >> _EDIT_BITS, np.full(len(more), t + 1), which & ((1 << _EDIT_BITS) - 1)], axis=1)
+    best[:, 1:3] += np.array([b.start for b in bands])[:, None]
+    out = np.empty_like(best)
+    out[turn] = best
+    return out
 
 
 def _scan(texts: list[str], index: _Index, s: Settings) -> list[tuple[int, int, int, int, int, bool]]:
@@ -151,37 +203,59 @@ def _scan(texts: list[str], index: _Index, s: Settings) -> list[tuple[int, int,
     if not len(maybe):
         return []
     doc_of = np.searchsorted(starts, maybe, side="right") - 1
-    per_doc = np.bincount(doc_of, minlength=len(texts))
+    enough = (np.bincount(doc_of, minlength=len(texts)) >= index.least)[doc_of]
+    maybe, slot, doc_of = maybe[enough], slot[enough], doc_of[enough]
+    codes, out = _codes(sep.join(texts)), []
+    load = np.cumsum(index.count[slot]) // _HITS  # documents are worked off together, up to so many places in items
+    cuts = np.searchsorted(doc_of, doc_of[np.flatnonzero(np.diff(load)) + 1]) if len(load) else []
+    for a, b in itertools.pairwise([0, *sorted(set(cuts) - {0}), len(slot)]):
+        if a < b:
+            out += _judge(texts, codes, starts, maybe[a:b], slot[a:b], doc_of[a:b], index, s)
+    return out
+
+
+def _judge(texts: list[str], codes: np.ndarray, starts: np.ndarray, found: np.ndarray, slot: np.ndarray, doc_of: np.ndarray, index: _Index, s: Settings) -> list[tuple[int, int, int, int, int, bool]]:
+    """The aligned regions of documents from the places of their q-grams in the items."""
+    counts = index.count[slot]
+    base = np.repeat(index.first[slot] - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())
+    pair = np.repeat(doc_of, counts) * len(index.ids) + index.item[base]  # of document and item
+    order = np.argsort(pair, kind="stable")
+    pair, at = pair[order], np.repeat(found - starts[doc_of], counts)[order]
+    diagonal = index.place[base][order].astype(np.int64) - at
+    step = max(1, s.edits)
+    shift = max(map(len, texts)) // step + 2  # makes the numbers of bands positive
+    span = shift + index.longest // step + 2
+    uniq, n = np.unique(pair * span + diagonal // step + shift, return_counts=True)  # bands [k, k + 2) of steps overlap by half
+    both = n + np.append(np.where(uniq[1:] == uniq[:-1] + 1, n[1:], 0), 0)
+    kept = uniq[both >= index.needs[uniq // span % len(index.ids)]]
+    regions: list[tuple[int, int, int, int]] = []  # document, item and stretch of each group of diagonals that meets the bound
+    runs: dict[int, tuple[int, int, int]] = {}
+    bands: list[_Band | None] = []
+    groups = np.split(kept, np.flatnonzero(np.diff(kept) > 1) + 1) if len(kept) else []  # overlapping bands are aligned as one
+    begins, ends = (np.searchsorted(pair, [int(g[0]) // span + i for g in groups]) for i in (0, 1))
+    for group, a, b in zip(groups, begins, ends):
+        d, k = divmod(int(group[0]) // span, len(index.ids))
+        low = (int(group[0]) % span - shift) * step - index.edits[k]
+        high = (int(group[-1]) % span - shift + 2) * step - 1 + index.edits[k]
+        inside = (diagonal[a:b] >= low) & (diagonal[a:b] <= high)
+        hits, on, least = np.unique(at[a:b][inside]), diagonal[a:b][inside], index.need[k]
+        if len(hits) < least or (hits[least - 1 :] - hits[: len(hits) - least + 1]).min() > index.length[k] - index.q + index.edits[k]:
+            continue  # the bound must be met within one stretch of the passage's length
+        near, far, first, last = (int(v) for v in (on.min(), on.max(), hits[0], hits[-1]))
+        lo, hi = max(0, first - index.q), min(len(texts[d]), last + 2 * index.q)
+        if near == far and last - first + 1 == len(hits):  # one unbroken run: an edit costs more than the q - 1 characters next to it can give
+            runs[len(regions)] = (first, last + index.q, 0)
+            bands.append(None)
+        else:
+            bands.append(_Band(codes[starts[d] : starts[d] + len(texts[d])], index.codes[k], near - index.edits[k], far + index.edits[k], lo, hi))
+        regions.append((d, k, lo, hi))
+    for i, (_, x, y, edits) in zip([i for i, b in enumerate(bands) if b], _align([b for b in bands if b], index.q).tolist()):
+        runs[i] = (x, y, edits)
     out = []
-    for d in np.flatnonzero(per_doc >= index.least):
-        a, b = np.searchsorted(doc_of, [d, d + 1])
-        places, slots = maybe[a:b] - starts[d], slot[a:b]
-        counts = index.count[slots]
-        base = np.repeat(index.first[slots] - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())
-        item, diagonal, at = index.item[base].astype(np.int64), index.place[base].astype(np.int64) - np.repeat(places, counts), np.repeat(places, counts)
-        offset = len(texts[d]) + 1
-        step = max(1, s.edits)
-        band = (diagonal + offset) // step  # bands [k, k + 2) of steps overlap by half
-        span = (2 * offset + 1_000_000) // step + 2
-        keys = item * span + band
-        uniq, inverse, n = np.unique(keys, return_inverse=True, return_counts=True)
-        following = np.searchsorted(uniq, uniq + 1)
-        following[following == len(uniq)] = 0
-        both = n + np.where(uniq[following] == uniq + 1, n[following], 0)
-        need = np.array(index.need)[uniq // span]
-        kept = uniq[both >= need]
-        for group in np.split(kept, np.flatnonzero(np.diff(kept) > 1) + 1) if len(kept) else ():  # overlapping bands are aligned as one
-            k = int(group[0] // span)
-            low = int(group[0] % span) * step - offset - index.edits[k]
-            high = int(group[-1] % span) * step - offset + 2 * step - 1 + index.edits[k]
-            inside = (item == k) & (diagonal >= low) & (diagonal <= high)
-            hits, least = np.unique(at[inside]), index.need[k]
-            if len(hits) < least or (hits[least - 1 :] - hits[: len(hits) - least + 1]).min() > index.length[k] - index.q + index.edits[k]:
-                continue  # the bound must be met within one stretch of the passage's length
-            lo, hi = max(0, int(at[inside].min()) - index.q), min(len(texts[d]), int(at[inside].max()) + 2 * index.q)
-            _, x, y, _, edits = _align(texts[d], index.texts[k], int(diagonal[inside].min()) - index.edits[k], int(diagonal[inside].max()) + index.edits[k], lo, hi, index.q)
-            if y - x >= index.length[k] - index.edits[k]:
-                out.append((int(d), k, x, y, edits, _exact(texts[d], x, y, index, k, s) or _exact(texts[d], lo, hi, index, k, s)))
+    for i, (d, k, lo, hi) in enumerate(regions):
+        x, y, edits = runs[i]
+        if y - x >= index.length[k] - index.edits[k]:
+            out.append((d, k, x, y, edits, _exact(texts[d], x, y, index, k, s) or _exact(texts[d], lo, hi, index, k, s)))
     return out
 
 
@@ -200,19 +274,27 @@ def _exact(text: str, x: int, y: int, index: _Index, k: int, s: Settings) -> boo
 LEAK_SCHEMA = "doc_id long, item_id long, matched_chars int, edits int, exact boolean"
 
 
+@lru_cache(maxsize=2)
+def _indexes(items: tuple[tuple[int, str], ...], s: Settings) -> list[_Index]:
+    """Indexes of the items with and without blanks; kept by a worker for its next task."""
+    spaced, dense = [], []
+    for item_id, text in items:
+        words = words_of(text)
+        cjk = len(_CJK.findall(text))
+        (dense if cjk > sum(map(len, words)) / 4 else spaced).append((item_id, words))
+    return [_Index(spaced, False, s), _Index(dense, True, s)]
+
+
 def _scanner(items: list[tuple[int, str]], s: Settings):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        spaced, dense = [], []
-        for item_id, text in items:
-            words = words_of(text)
-            cjk = len(_CJK.findall(text))
-            (dense if cjk > sum(map(len, words)) / 4 else spaced).append((item_id, words))
-        indexes = [_Index(spaced, False, s), _Index(dense, True, s)]
+        indexes = _indexes(tuple(items), s)
         for pdf in batches:
             found: dict[tuple[int, int], tuple[int, int, bool]] = {}
-            for a in range(0, len(pdf), 256):
-                ids = pdf["doc_id"].iloc[a : a + 256].tolist()
-                words = [words_of(t) for t in pdf["text"].iloc[a : a + 256]]
+            sizes = np.cumsum(pdf["text"].str.len().to_numpy()) // _CHARS  # rows are scanned together, about so many characters at a time
+            cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(pdf)]
+            for a, b in zip(cuts, cuts[1:]):
+                ids = pdf["doc_id"].iloc[a:b].tolist()
+                words = [words_of(t) for t in pdf["text"].iloc[a:b]]
                 for index in indexes:
                     texts = ["".join(w) for w in words] if index.dense else [" ".join(w) for w in words]
                     for d, k, x, y, edits, exact in _scan(texts, index, s):
