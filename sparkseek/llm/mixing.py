@@ -6,14 +6,16 @@ sample of labelled rows, gives every document posteriors over the sources. Rates
 least squares: token totals by stated source must match the targets, and expected
 totals under the posteriors should. The fit is a projected-gradient method in its
 lazy form: a document's rate is the projection of a linear function of one small
-vector, so tasks hold no state, each step is one pass that returns sums, and the
-step is preconditioned by the curvature summed in the same pass. Rates become
-whole copies by dithering with a hash, shifted per source until the totals fit.
+vector, so tasks hold no state. Each step is one pass that tries several step
+lengths at once and returns sums, among them the curvature that preconditions the
+next step. Rates become whole copies by dithering with a hash, shifted per source
+until the totals fit.
 """
 
 from __future__ import annotations
 
 import base64
+import math
 import os
 import re
 import zlib
@@ -23,6 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,12 +33,14 @@ from ..session import cut
 from ..operators.codefiles import spread
 
 MAX_TARGETS = 10_000
+DAMPINGS = (1e-7, 1e-5, 1e-4, 1e-3, 1e-2, 1e-1, 1.0, 10.0)  # of the steps that one pass tries
 
 
 @dataclass(frozen=True)
 class Mix:
-    """tokenizer: a .tiktoken rank file; sample_rows and sample_chars
-    bound what the classifier is fitted on; it is applied to whole texts.
+    """tokenizer: a .tiktoken rank file on the driver, from where it goes to the
+    executors; sample_rows and sample_chars bound what the classifier is fitted
+    on; it is applied to whole texts.
 
     total_tokens is the size of the mix; by default the largest at which no cap
     keeps a source from its share. soft_weight weighs the expected totals
@@ -48,8 +53,9 @@ class Mix:
     features: int = 2048
     total_tokens: float | None = None
     soft_weight: float = 1e-3
-    steps: int = 12
-    tolerance: float = 1e-6
+    steps: int = 5
+    tolerance: float = 0.01
+    rounds: int = 80
 
 
 # Fixed value: the split pattern that belongs to the byte-level vocabularies.
@@ -59,8 +65,9 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 @lru_cache(maxsize=2)
 def _encoding(path: str):
     import tiktoken
+    from pyspark import SparkFiles
 
-    with open(path, "rb") as ranks:
+    with open(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)), "rb") as ranks:
         merges = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in ranks if line.strip())}
     return tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=merges, special_tokens={})
 
@@ -68,15 +75,38 @@ def _encoding(path: str):
 _WORDS = re.compile(r"\w+|[#>`\-:!?.]+")
 
 
-def _features(text: str, size: int) -> np.ndarray:
-    """Hashed words and layout marks of a text, log-scaled and of unit length."""
-    out = np.zeros(size, np.float32)
-    for word in _WORDS.findall(text.lower()):
-        out[zlib.crc32(word.encode("utf-8", "surrogatepass")) % (size - 8)] += 1
-    out = np.log1p(out)
+class _Places(dict):
+    """The feature of a word; those of recurring ones are kept."""
+
+    def __init__(self, size: int):
+        self.size = size
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 1 << 17:
+            self.clear()
+        place = self[word] = zlib.crc32(word.encode("utf-8", "surrogatepass")) % (self.size - 8)
+        return place
+
+
+_PLACES = lru_cache(maxsize=4)(_Places)
+
+
+def _features(text: str, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and values of the hashed words and layout marks of a text, log-scaled and of unit length."""
+    table = _PLACES(size)
+    places, counts = np.unique(np.array([table[w] for w in _WORDS.findall(text.lower())], np.int64), return_counts=True)
     first = text.split("\n", 1)[0]
-    out[-8:] = [bool(re.match(r"[a-z]+(\([^)]*\))?: ", first)), first.startswith("#"), "```" in text, "\n- " in text or text.startswith("- "), "\n> " in text, len(text) > 800, len(text) < 200, "?" in text]
-    return out / max(1e-6, float(np.linalg.norm(out)))
+    marks = [bool(re.match(r"[a-z]+(\([^)]*\))?: ", first)), first.startswith("#"), "```" in text, "\n- " in text or text.startswith("- "), "\n> " in text, len(text) > 800, len(text) < 200, "?" in text]
+    values = np.concatenate([np.log1p(counts), np.array(marks, np.float64)])
+    return np.concatenate([places, np.arange(size - 8, size)]), (values / max(1e-6, math.sqrt(float(values @ values)))).astype(np.float32)
+
+
+def _dense(texts: list[str], size: int) -> np.ndarray:
+    out = np.zeros((len(texts), size), np.float32)
+    for row, text in zip(out, texts):
+        places, values = _features(text, size)
+        row[places] = values
+    return out
 
 
 class SourceClassifier:
@@ -86,8 +116,8 @@ class SourceClassifier:
         self.labels, self.size = labels, size
         self.weights, self.bias = np.zeros((size, len(labels)), np.float32), np.zeros(len(labels), np.float32)
 
-    def fit(self, texts: list[str], labels: list[str], rounds: int = 150, rate: float = 4.0, decay: float = 1e-4) -> SourceClassifier:
-        x = np.stack([_features(t, self.size) for t in texts]) if texts else np.zeros((0, self.size), np.float32)
+    def fit(self, texts: list[str], labels: list[str], rounds: int = 80, rate: float = 4.0, decay: float = 1e-4) -> SourceClassifier:
+        x = _dense(texts, self.size)
         index = {s: i for i, s in enumerate(self.labels)}
         y = np.zeros((len(labels), len(self.labels)), np.float32)
         y[np.arange(len(labels)), [index[s] for s in labels]] = 1
@@ -101,14 +131,19 @@ class SourceClassifier:
         return self
 
     def _softmax(self, x: np.ndarray) -> np.ndarray:
-        z = x @ self.weights + self.bias
+        return self._normal(x @ self.weights + self.bias)
+
+    @staticmethod
+    def _normal(z: np.ndarray) -> np.ndarray:
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return z / z.sum(axis=1, keepdims=True)
 
     def posteriors(self, texts: list[str]) -> np.ndarray:
-        if not texts:
-            return np.zeros((0, len(self.labels)))
-        return np.concatenate([self._softmax(np.stack([_features(t, self.size) for t in texts[a : a + 1024]])) for a in range(0, len(texts), 1024)]).astype(np.float64)
+        z = np.zeros((len(texts), len(self.labels)))
+        for row, text in zip(z, texts):
+            places, values = _features(text, self.size)
+            row[:] = values @ self.weights[places] + self.bias
+        return self._normal(z)
 
 
 def normal_source(column):
@@ -120,10 +155,11 @@ def targeted(documents: DataFrame, targets: DataFrame) -> tuple[DataFrame, list[
     """Documents of sources that have a target (doc_id, source, text), and the targets with their sources' spelling evened.
 
     The targets are a stated table, read to the driver behind a check of its
-    size; of several targets of one source the first in order holds. A null
+    size; of several targets of one source that with the least (share, cap) holds. A null
     share counts as 0, a null cap as 1.
     """
-    rows = targets.select(normal_source("source").alias("source"), F.coalesce("target_share", F.lit(0.0)).alias("share"), F.coalesce("max_repeats", F.lit(1)).alias("cap")).dropna(subset=["source"]).dropDuplicates(["source"]).orderBy("source").limit(MAX_TARGETS + 1).collect()
+    spelled = targets.select(normal_source("source").alias("source"), F.struct(F.coalesce("target_share", F.lit(0.0)).alias("share"), F.coalesce("max_repeats", F.lit(1)).alias("cap")).alias("v")).dropna(subset=["source"])
+    rows = spelled.groupBy("source").agg(F.min("v").alias("v")).select("source", "v.share", "v.cap").orderBy("source").limit(MAX_TARGETS + 1).collect()
     if len(rows) > MAX_TARGETS:
         raise ValueError(f"more than {MAX_TARGETS} targets")
     wanted = [r.asDict() for r in rows]
@@ -133,40 +169,60 @@ def targeted(documents: DataFrame, targets: DataFrame) -> tuple[DataFrame, list[
 
 
 def labelled_sample(docs: DataFrame, mix: Mix) -> list[tuple[str, str]]:
-    """At most sample_rows (text, source) pairs, those least in a hash of their id, texts cut at sample_chars."""
-    picked = docs.select("doc_id", F.substring("text", 1, mix.sample_chars).alias("text"), "source").orderBy(F.xxhash64("doc_id"), "doc_id").limit(mix.sample_rows).select("text", "source").collect()
-    return [(r["text"], r["source"]) for r in picked]
+    """At most sample_rows (text, source) pairs, those least in a hash of their id, texts cut at sample_chars.
+
+    A bound on the hash, set by the number of documents, lets about as many
+    rows through as are wanted, so no more texts than those leave the tasks.
+    """
+    total = docs.count()
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    bound = min(1.0, (mix.sample_rows + 4 * math.sqrt(mix.sample_rows)) / max(1, total)) * float(1 << 40)
+    near = docs.select(place.alias("place"), "doc_id", F.substring("text", 1, mix.sample_chars).alias("text"), "source").filter(F.col("place") < F.lit(bound))
+    picked = near.limit(2 * mix.sample_rows).collect()
+    return [(r["text"], r["source"]) for r in sorted(picked, key=lambda r: (r["place"], r["doc_id"], r["source"], r["text"]))[: mix.sample_rows]]
 
 
 def sized(docs: DataFrame, labels: list[str], model: SourceClassifier, mix: Mix) -> DataFrame:
     """doc_id, source, slot (place of the source among labels), tokens, posterior, dither of every document with tokens."""
     place = {s: i for i, s in enumerate(labels)}
 
+    path = mix.tokenizer
+    if os.path.exists(path):
+        docs.sparkSession.sparkContext.addFile(path)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoding = _encoding(mix.tokenizer)
+        encoding = _encoding(path)
         for pdf in batches:
             texts = pdf["text"].tolist()
             out = pdf[["doc_id", "source", "dither"]].copy()
             out["slot"] = [place[s] for s in pdf["source"]]
             out["tokens"] = [len(encoding.encode_ordinary(t)) for t in texts]
-            out["posterior"] = list(model.posteriors(texts))
+            out["posterior"] = [p.tobytes() for p in model.posteriors(texts)]
             yield out
 
     ready = docs.withColumn("dither", (F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1 << 40)) + F.lit(0.5)) / F.lit(float(1 << 40)))
-    return spread(ready).mapInPandas(run, "doc_id long, source string, dither double, slot int, tokens long, posterior array<double>").filter("tokens > 0")
+    return spread(ready).mapInPandas(run, "doc_id long, source string, dither double, slot int, tokens long, posterior binary").filter("tokens > 0")
+
+
+def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """slot, tokens, posteriors (a row a document) and dither of a batch of the sized table."""
+    n = batch.num_rows
+    flat = b"".join(batch.column("posterior").to_pylist())
+    return batch.column("slot").to_numpy(), batch.column("tokens").to_numpy().astype(np.float64), np.frombuffer(flat, np.float64).reshape(n, -1), batch.column("dither").to_numpy()
 
 
 def _passes(table: DataFrame, size: int, work) -> np.ndarray:
     """The sum over all rows of a vector that `work` computes for a batch; partial sums are added in Spark."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
-        for pdf in batches:
-            if len(pdf):
-                total += work(pdf["slot"].to_numpy(), pdf["tokens"].to_numpy(np.float64), np.stack(pdf["posterior"].to_numpy()), pdf["dither"].to_numpy())
-        yield pd.DataFrame({"at": np.arange(size), "part": total})
+        for batch in batches:
+            if batch.num_rows:
+                total += work(*_columns(batch))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(total)], names=["at", "part"])
 
-    sums = table.mapInPandas(run, "at int, part double").groupBy("at").agg(F.sum("part").alias("total")).collect()  # `size` rows
+    rows = table.select("slot", "tokens", "posterior", "dither").coalesce(table.sparkSession.sparkContext.defaultParallelism)
+    sums = rows.mapInArrow(run, "at int, part double").groupBy("at").agg(F.sum("part").alias("total")).collect()  # `size` rows
     out = np.zeros(size)
     for r in sums:
         out[r["at"]] = r["total"]
@@ -182,46 +238,46 @@ def fit_rates(table: DataFrame, goal: np.ndarray, have: np.ndarray, caps: np.nda
     """The small vector that fixes all rates, and the rates it starts from (those that fit the stated totals alone)."""
     n = len(goal)
     start = np.divide(goal, have, out=np.zeros(n), where=have > 0)
-    force = np.zeros(2 * n)
     weight = np.concatenate([np.ones(n), np.full(n, mix.soft_weight)])
     scale = max(1.0, float(goal.sum()))
-    best: tuple[float, np.ndarray] = (np.inf, force)
-    step = 1.0
-    for _ in range(mix.steps):
+    width = 2 * n + 4 * n * n
+    tries, best = [np.zeros(2 * n)], (np.inf, np.zeros(2 * n))
+    for _ in range(mix.steps if mix.soft_weight > 0 else 0):
 
-        def work(slot, tokens, posterior, _dither, force=force):
-            rate = _rates(force, start, caps, slot, posterior)
+        def work(slot, tokens, posterior, _dither, tries=tuple(tries)):
+            out = np.zeros((len(tries), width))
             m = np.zeros((len(slot), 2 * n))
             m[np.arange(len(slot)), slot] = 1
             m[:, n:] = posterior
-            free = (rate > 0) & (rate < caps[slot])
-            curve = (m * (tokens * free)[:, None]).T @ m
-            return np.concatenate([m.T @ (tokens * rate), curve.ravel()])
-
-        sums = _passes(table, 2 * n + 4 * n * n, work)
-        gap = (sums[: 2 * n] - np.concatenate([goal, goal])) / scale
-        loss = float((weight * gap * gap).sum())
-        if loss < best[0]:
-            improved = best[0] - loss
-            best = (loss, force)
-            if improved < mix.tolerance * 1e-3:
-                break
-        else:
-            step /= 2  # back to the best point with a shorter step
-            if step < 1e-3:
-                break
-        curve = sums[2 * n :].reshape(2 * n, 2 * n) / scale
-        jacobian = np.sqrt(weight)[:, None] * curve
-        move, *_ = np.linalg.lstsq(jacobian.T @ jacobian + 1e-9 * np.eye(2 * n), jacobian.T @ (np.sqrt(weight) * gap), rcond=None)
-        force = best[1] - step * move if loss > best[0] else force - step * move
+            for row, force in zip(out, tries):
+                rate = _rates(force, start, caps, slot, posterior)
+                free = (rate > 0) & (rate < caps[slot])
+                row[: 2 * n] = m.T @ (tokens * rate)
+                row[2 * n :] = ((m * (tokens * free)[:, None]).T @ m).ravel()
+            return out.ravel()
+
+        sums = _passes(table, len(tries) * width, work).reshape(len(tries), width)
+        gaps = (sums[:, : 2 * n] - np.concatenate([goal, goal])) / scale
+        losses = (weight * gaps * gaps).sum(axis=1)
+        b = int(losses.argmin())
+        if not losses[b] < best[0]:
+            break
+        better = best[0] - losses[b]
+        best = (losses[b], tries[b])
+        if better < mix.tolerance * losses[b]:
+            break
+        jacobian = np.sqrt(weight)[:, None] * sums[b, 2 * n :].reshape(2 * n, 2 * n) / scale
+        bent, slope = jacobian.T @ jacobian, jacobian.T @ (np.sqrt(weight) * gaps[b])
+        damp = max(1e-12, float(np.trace(bent)) / (2 * n))
+        tries = [best[1] - np.linalg.solve(bent + d * damp * np.eye(2 * n), slope) for d in DAMPINGS]
     return best[1], start
 
 
 def whole_copies(table: DataFrame, force: np.ndarray, start: np.ndarray, caps: np.ndarray, goal: np.ndarray) -> np.ndarray:
     """A shift of the rates per source at which rounded copies come closest to the stated totals."""
-    n, grid = len(goal), 17
+    n, grid = len(goal), 65
     low, high = -np.ones(n), np.ones(n)
-    for _ in range(5):
+    for _ in range(3):
         shifts = low + (high - low) * np.arange(grid)[:, None] / (grid - 1)
 
         def work(slot, tokens, posterior, dither, shifts=shifts):
@@ -240,13 +296,53 @@ def whole_copies(table: DataFrame, force: np.ndarray, start: np.ndarray, caps: n
     return centre
 
 
-def _plan(documents: DataFrame, targets: DataFrame, mix: Mix) -> tuple[DataFrame, list[dict], DataFrame | None]:
+@dataclass(frozen=True)
+class _Mixed:
+    """A fitted mix: the targets, and what turns the sized documents into copies."""
+
+    wanted: list[dict]
+    table: DataFrame
+    force: np.ndarray
+    start: np.ndarray
+    caps: np.ndarray
+    shift: np.ndarray
+
+    def copies(self) -> DataFrame:
+        apply = _copier(self.force, self.start, self.caps, self.shift)
+        return self.table.mapInArrow(apply, "doc_id long, source string, tokens long, rate double, copies int")
+
+    def expected(self) -> np.ndarray:
+        """The tokens used of each domain, by the documents' posteriors."""
+        force, start, caps, shift = self.force, self.start, self.caps, self.shift
+
+        def work(slot, tokens, posterior, dither):
+            rate = _rates(force, start, caps, slot, posterior)
+            used = tokens * np.minimum(np.floor(np.clip(rate + shift[slot], 0, None) + dither), caps[slot])
+            return used @ posterior
+
+        return _passes(self.table, len(self.wanted), work)
+
+
+def _copier(force: np.ndarray, start: np.ndarray, caps: np.ndarray, shift: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            slot, _, posterior, dither = _columns(batch)
+            rate = _rates(force, start, caps, slot, posterior)
+            copies = np.minimum(np.floor(np.clip(rate + shift[slot], 0, None) + dither), caps[slot])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), batch.column("tokens"), pa.array(rate), pa.array(copies.astype(np.int32))], names=["doc_id", "source", "tokens", "rate", "copies"])
+
+    return run
+
+
+def _plan(documents: DataFrame, targets: DataFrame, mix: Mix) -> tuple[list[dict], _Mixed | None]:
     docs, wanted = targeted(documents, targets)
     labels = [r["source"] for r in wanted]
     if not labels:
-        return docs, wanted, None
+        return wanted, None
     sample = labelled_sample(docs, mix)
-    model = SourceClassifier(labels, mix.features).fit([t for t, _ in sample], [s for _, s in sample])
+    model = SourceClassifier(labels, mix.features).fit([t for t, _ in sample], [s for _, s in sample], mix.rounds)
     table = cut(sized(docs, labels, model, mix))
     n = len(labels)
     have = np.zeros(n)
@@ -259,20 +355,7 @@ def _plan(documents: DataFrame, targets: DataFrame, mix: Mix) -> tuple[DataFrame
     size = mix.total_tokens if mix.total_tokens is not None else min(limits, default=0.0)
     goal = share * size
     force, start = fit_rates(table, goal, have, caps, mix)
-    shift = whole_copies(table, force, start, caps, goal)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            slot = pdf["slot"].to_numpy()
-            rate = _rates(force, start, caps, slot, np.stack(pdf["posterior"].to_numpy()))
-            out = pdf[["doc_id", "source", "tokens"]].copy()
-            out["rate"] = rate
-            out["copies"] = np.minimum(np.floor(np.clip(rate + shift[slot], 0, None) + pdf["dither"].to_numpy()), caps[slot]).astype(np.int32)
-            yield out
-
-    return table, wanted, table.mapInPandas(run, "doc_id long, source string, tokens long, rate double, copies int")
+    return wanted, _Mixed(wanted, table, force, start, caps, whole_copies(table, force, start, caps, goal))
 
 
 def mixed_documents(documents: DataFrame, targets: DataFrame, mix: Mix = Mix()) -> DataFrame:
@@ -281,27 +364,31 @@ def mixed_documents(documents: DataFrame, targets: DataFrame, mix: Mix = Mix())
     Sources without a target are left out, as are documents without tokens.
     With no targets or no documents the mix is empty.
     """
-    _, _, plan = _plan(documents, targets, mix)
-    if plan is None:
+    _, mixed = _plan(documents, targets, mix)
+    if mixed is None:
         return documents.sparkSession.createDataFrame([], "doc_id long, source string, tokens long, rate double, copies int")
-    return plan.filter("copies > 0")
+    return mixed.copies().filter("copies > 0")
 
 
 def reached_shares(documents: DataFrame, targets: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """One row a target: source, target_share, aim (the share among sources that have documents), documents, tokens, used_tokens, share, most_copies, max_repeats."""
+    """One row a target: source, target_share, aim (the share among sources that have documents), documents, tokens, used_tokens, share, most_copies, max_repeats, expected_share.
+
+    expected_share is the share of the used tokens that the posteriors give to the domain.
+    """
     spark = documents.sparkSession
-    _, wanted, plan = _plan(documents, targets, mix)
-    schema = "source string, target_share double, max_repeats int"
-    stated = spark.createDataFrame([(r["source"], float(r["share"]), int(r["cap"])) for r in wanted], schema)
-    if plan is None:
-        plan = spark.createDataFrame([], "doc_id long, source string, tokens long, rate double, copies int")
+    wanted, mixed = _plan(documents, targets, mix)
+    expected = mixed.expected() if mixed else np.zeros(len(wanted))
+    expected = np.round(expected / max(1.0, expected.sum()), 6).tolist()
+    schema = "source string, target_share double, max_repeats int, expected_share double"
+    stated = spark.createDataFrame([(r["source"], float(r["share"]), int(r["cap"]), e) for r, e in zip(wanted, expected)], schema)
+    plan = mixed.copies() if mixed else spark.createDataFrame([], "doc_id long, source string, tokens long, rate double, copies int")
     used = plan.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("tokens").alias("tokens"), F.sum(F.col("tokens") * F.col("copies")).alias("used_tokens"), F.max("copies").alias("most_copies"))
     joined = stated.join(used, "source", "left").fillna(0, ["documents", "tokens", "used_tokens", "most_copies"])
     every = Window.partitionBy(F.lit(0))  # the table of targets is one bounded group
     summed = joined.withColumns({"all_used": F.sum("used_tokens").over(every), "all_aims": F.sum(F.when(F.col("tokens") > 0, F.col("target_share")).otherwise(0.0)).over(every)})
     return summed.select(
         "source", "target_share", F.round(F.when((F.col("tokens") > 0) & (F.col("all_aims") > 0), F.col("target_share") / F.col("all_aims")).otherwise(0.0), 6).alias("aim"), "documents", "tokens", "used_tokens",
-        F.round(F.when(F.col("all_used") > 0, F.col("used_tokens") / F.col("all_used")).otherwise(0.0), 6).alias("share"), "most_copies", "max_repeats",
+        F.round(F.when(F.col("all_used") > 0, F.col("used_tokens") / F.col("all_used")).otherwise(0.0), 6).alias("share"), "most_copies", "max_repeats", "expected_share",
     )
 
 
@@ -313,7 +400,7 @@ def classifier_report(documents: DataFrame, targets: DataFrame, mix: Mix = Mix()
     labels = [r["source"] for r in wanted]
     rows = []
     if seen and held:
-        model = SourceClassifier(labels, mix.features).fit([t for t, _ in seen], [s for _, s in seen])
+        model = SourceClassifier(labels, mix.features).fit([t for t, _ in seen], [s for _, s in seen], mix.rounds)
         posterior = model.posteriors([t for t, _ in held])
         truth = np.array([labels.index(s) for _, s in held])
         majority = np.bincount([labels.index(s) for _, s in seen]).argmax()

@@ -514,11 +514,35 @@ def test_shares_are_reached_within_caps(spark):
     assert shares["missing"]["used_tokens"] == 0
     mixed = mixing.mixed_documents(documents, goal).collect()
     assert {r["source"] for r in mixed} == {"a", "b", "c"} and all(1 <= r["copies"] <= 3 for r in mixed) and len({r["doc_id"] for r in mixed}) == len(mixed)
+    assert sum(r["expected_share"] for r in shares.values()) == pytest.approx(1, abs=1e-4) and abs(shares["a"]["expected_share"] - shares["a"]["share"]) < 0.02
+    doubled = goal.unionByName(spark.createDataFrame([(" a", 0.9, 7), ("B ", 0.3, 1)], goal.schema))
+    assert [(r["source"], r["share"], r["cap"]) for r in mixing.targeted(documents, doubled)[1]] == [("a", 0.4, 1), ("b", 0.3, 1), ("c", 0.2, 3), ("missing", 0.1, 5)]
+    assert len(mixing.labelled_sample(mixing.targeted(documents, goal)[0], mixing.Mix(sample_rows=100))) == 100
     report = mixing.classifier_report(documents, goal).first()
     assert report["accuracy"] > 0.95 > report["majority"]
     assert mixing.mixed_documents(documents, goal.limit(0)).collect() == [] and mixing.mixed_documents(documents.limit(0), goal).collect() == []
 
 
+def test_soft_totals_come_closer_and_stated_ones_hold(spark):
+    rng = np.random.default_rng(6)
+    n = 4000
+    slot = rng.integers(0, 2, n)
+    lean = np.clip(0.5 + 0.3 * (slot * 2 - 1) + rng.normal(0, 0.2, n), 0.02, 0.98)
+    rows = [(i, "ab"[k], float(rng.random()), int(k), int(rng.integers(5, 90)), np.array([1 - p, p]).tobytes()) for i, (k, p) in enumerate(zip(slot, lean))]
+    table = spark.createDataFrame(rows, "doc_id long, source string, dither double, slot int, tokens long, posterior binary")
+    tokens = np.array([r[4] for r in rows], float)
+    have = np.bincount(slot, weights=tokens)
+    goal, caps = have * [0.9, 0.6], np.array([2.0, 2.0])
+    posterior = np.stack([1 - lean, lean], axis=1)
+    gap = {}
+    for weight in (0.0, 0.1):
+        force, start = mixing.fit_rates(table, goal, have, caps, mixing.Mix(soft_weight=weight))
+        rate = mixing._rates(force, start, caps, slot, posterior)
+        assert np.abs(np.bincount(slot, weights=tokens * rate) - goal).max() < 0.03 * goal.sum()
+        gap[weight] = np.abs((tokens * rate) @ posterior - goal).max() / goal.sum()
+    assert gap[0.1] < 0.9 * gap[0.0]
+
+
 # 10 sentences
 def units(text):
     return [text[a:b] for a, b in sentences.sentence_units(text)]
