@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,10 +19,18 @@ def task_count(spark: SparkSession, per_core: int = 4) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), per_core * spark.sparkContext.defaultParallelism)
 
 
+_STAYS = frozenset(["Project", "Filter", "Relation", "LogicalRDD", "LocalRelation"])
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """`df` in enough partitions for a CPU-heavy stage: as scanned if the scan gives enough, else shuffled once."""
+    """`df` in enough partitions for a CPU-heavy stage: as scanned if the scan gives enough, else shuffled once.
+
+    Only a plan without a shuffle is asked for its number of partitions, as
+    others would have to run for it.
+    """
     context = df.sparkSession.sparkContext
-    if df.rdd.getNumPartitions() >= 2 * context.defaultParallelism:
+    nodes = re.findall(r"^[\s:+-]*(\w+)", df._jdf.queryExecution().optimizedPlan().toString(), re.M)
+    if _STAYS.issuperset(nodes) and df.rdd.getNumPartitions() >= 2 * context.defaultParallelism:
         return df
     return df.repartition(task_count(df.sparkSession))
 
@@ -30,12 +40,6 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.[^./\\]*$", 0))
 
 
-def chunk_rows(chunks: DataFrame, *columns: str) -> DataFrame:
-    """Each record once: rows of one row_id are deliveries of the same record. Rows without row_id are dropped."""
-    kept = chunks.select("row_id", *columns).dropna(subset=["row_id"])
-    return kept.groupBy("row_id").agg(*[F.first(c, ignorenulls=True).alias(c) for c in columns])
-
-
 def whole_files(chunks: DataFrame) -> DataFrame:
     """Files with their text: repo, root_dir, file_path, text.
 

@@ -16,23 +16,25 @@ def merkle_tree(leaves: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
     A folder's hash is sha256 over its children's hex hashes, sorted and
     concatenated; children are sorted paths. One aggregation a level, deepest
-    first; a folder's children meet in one row, as its hash needs them all.
+    first, over the nodes of that level alone, written before the next one
+    reads it; a folder's children meet in one row, as its hash needs them all.
     Null paths and hashes are left out, of several hashes of a path the greatest
     holds; no files give no nodes.
     """
     keys = keys or []
-    files = cut(leaves.select(*keys, "path", "hash").dropna(subset=["path", "hash"]).groupBy(*keys, "path").agg(F.max("hash").alias("hash")))
-    deepest = files.agg(F.max(F.size(F.split("path", "/")))).first()[0] or 0
-    nodes = files.select(*keys, "path", "hash", F.lit(True).alias("is_file"), F.array().cast("array<string>").alias("children"))
     depth = F.when(F.col("path") == ".", F.lit(0)).otherwise(F.size(F.split("path", "/")))
+    files = cut(leaves.select(*keys, "path", "hash").dropna(subset=["path", "hash"]).groupBy(*keys, "path").agg(F.max("hash").alias("hash")).withColumn("depth", depth))
+    deepest = files.agg(F.max("depth")).first()[0] or 0
+    nodes = files.select(*keys, "path", "hash", F.lit(True).alias("is_file"), F.array().cast("array<string>").alias("children"))
     levels = [nodes]
     below = None
     for level in range(deepest, 0, -1):
-        here = nodes.filter(depth == level)
-        here = here if below is None else here.unionByName(below)
+        here = files.filter(F.col("depth") == level).select(*keys, "path", "hash")
+        here = here if below is None else here.unionByName(below.select(*keys, "path", "hash"))
         below = here.groupBy(*keys, parent_path(F.col("path")).alias("path")).agg(
             F.sha2(F.array_join(F.array_sort(F.collect_list("hash")), ""), 256).alias("hash"), F.lit(False).alias("is_file"), F.array_sort(F.collect_set("path")).alias("children")
         ).select(*keys, "path", "hash", "is_file", "children")
+        below = cut(below) if level > 1 else below
         levels.append(below)
     return reduce(DataFrame.unionByName, levels)
 

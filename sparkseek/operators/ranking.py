@@ -11,7 +11,7 @@ CUTS, RECALL_CUTS = (1, 5, 10), (1, 5, 10, 100)
 def per_query(ranked: DataFrame, qrels: DataFrame) -> DataFrame:
     """One row for each judged query that was ranked: reciprocal ranks, DCG, ideal DCG and hits at every cut.
 
-    ranked: query_id, corpus_id, rank; qrels: query_id, corpus_id, rel (several
+    ranked: query_id, corpus_id, rank, a document once a query; qrels: query_id, corpus_id, rel (several
     judgements of a pair: the greatest). A document without judgement has
     relevance 0; relevant is rel > 0. Nulls in ids are left out.
     """
@@ -22,7 +22,7 @@ def per_query(ranked: DataFrame, qrels: DataFrame) -> DataFrame:
     found = hits.groupBy("query_id").agg(
         *[F.min(F.when((r > 0) & (k <= c), k)).alias(f"first{c}") for c in CUTS],
         *[F.sum(F.when(k <= c, gain(r, k)).otherwise(0.0)).alias(f"dcg{c}") for c in CUTS],
-        *[F.countDistinct(F.when((r > 0) & (k <= c), F.col("corpus_id"))).alias(f"hits{c}") for c in RECALL_CUTS],
+        *[F.count_if((r > 0) & (k <= c)).alias(f"hits{c}") for c in RECALL_CUTS],
     )
     ideal_rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rel"), "corpus_id"))
     ideal = judged.withColumn("rank", ideal_rank).groupBy("query_id").agg(F.sum(F.when(r > 0, 1).otherwise(0)).alias("relevant"), *[F.sum(F.when(k <= c, gain(r, k)).otherwise(0.0)).alias(f"idcg{c}") for c in CUTS])

@@ -69,9 +69,9 @@ def _paths(s: SparkSession, d: str) -> DataFrame:
 
 
 def _newest_leaves(s: SparkSession, d: str) -> DataFrame:
-    nodes = snapshots.snapshot_nodes(table(s, d, "merkle_nodes"))
-    newest = nodes.groupBy("repo", "root_dir").agg(F.max("snapshot_no").alias("snapshot_no"))
-    return nodes.join(newest, ["repo", "root_dir", "snapshot_no"], "left_semi").filter("is_file").select("repo", "root_dir", "path", "hash")
+    raw = table(s, d, "merkle_nodes")
+    newest = raw.groupBy("repo", "root_dir").agg(F.max("snapshot_no").alias("snapshot_no"))  # first, so that only these rows are sorted out
+    return snapshots.snapshot_nodes(raw.join(newest, ["repo", "root_dir", "snapshot_no"], "left_semi")).filter("is_file").select("repo", "root_dir", "path", "hash")
 
 
 def _results(s: SparkSession, d: str) -> DataFrame:

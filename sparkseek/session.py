@@ -28,10 +28,16 @@ def build_session(app: str = "sparkseek", master: str | None = None, **conf: str
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; one of our own only where it is unset."""
+    """The shared folder the cluster names in spark.checkpoint.dir.
+
+    One of our own only where it is unset and the session runs on this machine
+    alone; on a cluster a missing folder is an error, as no executor could read it.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not named and not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = named or tempfile.mkdtemp(prefix="sparkseek-ckpt-", dir=os.environ.get("TMPDIR"))
         context.setCheckpointDir(folder)
         return folder
