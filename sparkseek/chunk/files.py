@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
+from ..operators.codefiles import spread
 from .segments import FileSegments
 from .split import Budget, fitted, joined
 
@@ -32,16 +33,26 @@ def chunk_file(path: str, text: str, most: int = 512, least: int = 64) -> list[t
 
 
 def chunk_files(files: DataFrame, most: int = 512, least: int = 64) -> DataFrame:
-    """Chunks of files (file_path, text). Null paths are left out, a null text is empty."""
+    """Chunks of files (file_path, text). Null paths are left out, a null text is empty; a file that can't be read raises."""
+    return chunked(files, most, least).select(*COLUMNS, F.when(F.col("error").isNotNull(), F.raise_error(F.concat("file_path", F.lit(": "), "error"))).alias("error")).filter("error is null").drop("error")
+
+
+def chunked(files: DataFrame, most: int = 512, least: int = 64, read: Callable[[str, str, int, int], list[tuple]] = chunk_file) -> DataFrame:
+    """chunk_files with a column `error`: a file that can't be read has one row, of its path and the error alone; `read` makes a file's rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sys.setrecursionlimit(1_000_000)
         for pdf in batches:
-            rows = [r for p, t in zip(pdf["file_path"], pdf["text"]) for r in chunk_file(p, t, most, least)]
-            yield pd.DataFrame(rows, columns=COLUMNS).astype({"start_line": "int32", "end_line": "int32"})
+            rows: list[tuple] = []
+            for path, text in zip(pdf["file_path"], pdf["text"]):
+                try:
+                    rows += [(*r, None) for r in read(path, text, most, least)]
+                except Exception as e:  # noqa: BLE001 - one file must not stop the others
+                    rows.append((None, path, None, None, None, None, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=[*COLUMNS, "error"]).astype({"start_line": "Int32", "end_line": "Int32"})
 
     ready = files.dropna(subset=["file_path"]).select("file_path", F.coalesce("text", F.lit("")).alias("text"))
-    return ready.mapInPandas(run, CHUNK_SCHEMA)
+    return spread(ready).mapInPandas(run, CHUNK_SCHEMA + ", error string")
 
 
 def register_chunk_table(spark: SparkSession) -> None:

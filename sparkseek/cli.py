@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import argparse
 import json
+import sys
 
 from .config import IndexConfig, split_extensions
+from .operators.enrich import NOTHING_FOUND
 from .plans.pipeline import Indexer
 from .session import build_session, let_workers_import
 from .sources.scan import scan
@@ -30,6 +32,9 @@ def main(argv: list[str] | None = None) -> int:
     run.add_argument("--max-corpus", type=int)
     run.add_argument("--max-queries", type=int)
     run.add_argument("--out", help="folder for the result as JSON")
+    run.add_argument("--name", default="", help="name of the dataset in the result")
+    run.add_argument("--split", help="split of the judgements, where they are parquet")
+    run.add_argument("--cache-dir", help="folder that keeps embeddings for the next run")
     args = parser.parse_args(argv)
     spark = build_session()
     let_workers_import(spark)
@@ -39,10 +44,15 @@ def main(argv: list[str] | None = None) -> int:
         registry(spark).show(truncate=False)
         return 0
     if args.command == "run":
+        from .embed.hashing import HashingProvider
+        from .operators.store import VectorStore
         from .plans.evaluation import evaluate
         from .sources.dataset import load, read_rows
 
-        result = evaluate(load(read_rows(spark, args.corpus), read_rows(spark, args.queries), read_rows(spark, args.qrels), args.max_corpus, args.max_queries))
+        data = load(*[read_rows(spark, getattr(args, part), part, args.split if part == "qrels" else None) for part in ("corpus", "queries", "qrels")], args.max_corpus, args.max_queries)
+        provider = HashingProvider(256)
+        cache = VectorStore(spark, args.cache_dir, provider.dim, provider.model) if args.cache_dir else None
+        result = evaluate(data, provider, cache, args.name).cache()
         if args.out:
             result.coalesce(1).write.mode("overwrite").json(args.out)
         result.show(vertical=True)
@@ -50,7 +60,7 @@ def main(argv: list[str] | None = None) -> int:
     config = IndexConfig.from_environment(root_dir=args.dir, index_dir=args.index_dir or f"{args.dir}/.cache/index", collection=args.collection, extensions=split_extensions(args.extensions))
     indexer = Indexer(spark, config)
     if args.command in ("index", "reindex"):
-        print(json.dumps(getattr(indexer, args.command)()))
+        print(json.dumps(getattr(indexer, args.command)(progress=lambda stage, counts: print(stage, json.dumps(counts), file=sys.stderr))))
     elif args.command == "stats":
         print(json.dumps(indexer.stats()))
     elif args.command == "reset":
@@ -60,7 +70,10 @@ def main(argv: list[str] | None = None) -> int:
 
         def ask(text: str) -> None:
             hits = indexer.search_enriched(spark.createDataFrame([("q", text)], "query_id string, text string"), files, args.top_k)
-            for r in hits.orderBy("rank", "file_path", "start_line").collect():  # the k hits of one query
+            found = hits.orderBy("rank", "file_path", "start_line").collect()  # the k hits of one query
+            if not found:
+                print(NOTHING_FOUND)
+            for r in found:
                 print(f"--- #{r['rank']} {r['file_path']}:{r['start_line']}-{r['end_line']} (score: {r['score']:.3f}) {'[' + r['symbol_name'] + '] ' if r['symbol_name'] else ''}---\n{r['content']}\n")
 
         if args.query:

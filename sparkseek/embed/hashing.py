@@ -37,34 +37,3 @@ class HashingProvider:
     def embed(self, rows: DataFrame, text: str = "content") -> DataFrame:
         """rows with a column `vector` (array<float>)."""
         return hashed_words(rows, text, self.dim).withColumn("vector", F.col("vector").cast("array<float>"))
-
-
-class OnnxProvider:
-    """A local ONNX text encoder, loaded once a task; the user supplies the model and a tokenizer file."""
-
-    def __init__(self, model_path: str, tokenizer_path: str, dim: int, name: str, batch: int = 8):
-        self.model_path, self.tokenizer_path, self.dim, self.model, self.batch, self.mode = model_path, tokenizer_path, dim, name, batch, "onnx"
-
-    def embed(self, rows: DataFrame, text: str = "content") -> DataFrame:
-        model_path, tokenizer_path, size = self.model_path, self.tokenizer_path, self.batch
-
-        def run(batches):
-            import numpy as np
-            import onnxruntime
-            from tokenizers import Tokenizer
-
-            session, tokenizer = onnxruntime.InferenceSession(model_path), Tokenizer.from_file(tokenizer_path)
-            names = {i.name for i in session.get_inputs()}
-            tokenizer.enable_padding()
-            for pdf in batches:
-                vectors = []
-                for a in range(0, len(pdf), size):
-                    coded = tokenizer.encode_batch([t or "" for t in pdf[text].iloc[a : a + size]])
-                    feed = {"input_ids": np.array([c.ids for c in coded], np.int64), "attention_mask": np.array([c.attention_mask for c in coded], np.int64), "token_type_ids": np.array([c.type_ids for c in coded], np.int64)}
-                    first = session.run(None, {k: v for k, v in feed.items() if k in names})[0][:, 0]
-                    vectors += list((first / np.maximum(np.linalg.norm(first, axis=1, keepdims=True), 1e-12)).astype(np.float32))
-                yield pdf.assign(vector=vectors)
-
-        from pyspark.sql import types as T
-
-        return rows.mapInPandas(run, T.StructType([*rows.schema.fields, T.StructField("vector", T.ArrayType(T.FloatType()))]))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 KEY = ["model", "content_hash"]
 
 
@@ -31,3 +33,16 @@ def probe(rows: DataFrame, entries: DataFrame, model: str) -> DataFrame:
 def stats(entries: DataFrame) -> DataFrame:
     """One row: entries, and the bytes of their vectors."""
     return latest_entries(entries).agg(F.count(F.lit(1)).alias("entries"), F.coalesce(F.sum(F.size("vector") * 4), F.lit(0)).alias("size_bytes"))
+
+
+def embedded(rows: DataFrame, entries: DataFrame, provider) -> tuple[DataFrame, DataFrame]:
+    """rows (content_hash, content, ...) with `vector`, from the cache where it has one; and the new entries.
+
+    Only contents without an entry of the provider's model are embedded, each once.
+    """
+    probed = cut(probe(rows, entries, provider.model))
+    missing = probed.filter("vector is null").groupBy("content_hash").agg(F.first("content", ignorenulls=True).alias("content"))
+    fresh = cut(provider.embed(missing).select(F.lit(provider.model).alias("model"), F.lower("content_hash").alias("content_hash"), "vector", F.current_timestamp().alias("ts")))
+    found = fresh.select(F.col("content_hash").alias("_hash"), F.col("vector").alias("_fresh"))
+    filled = probed.join(found, F.lower("content_hash") == F.col("_hash"), "left").withColumn("vector", F.coalesce("vector", "_fresh")).drop("_hash", "_fresh")
+    return filled, fresh

@@ -22,8 +22,15 @@ def hit_text(rank: Column, path: Column, start: Column, end: Column, score: Colu
     return F.concat(F.lit("--- #"), rank.cast("string"), F.lit(" "), path, F.lit(":"), start.cast("string"), F.lit("-"), end.cast("string"), F.lit(" (score: "), F.format_string("%.3f", score), F.lit(") "), label, F.lit("---\n"), content)
 
 
-def formatted(hits: DataFrame, group: list[str]) -> DataFrame:
-    """All hits of a group in one text, in order of rank, blank lines between; hits of a group are few (its k)."""
+NOTHING_FOUND = "No relevant code found."
+
+
+def formatted(hits: DataFrame, group: list[str], asked: DataFrame | None = None) -> DataFrame:
+    """All hits of a group in one text, in order of rank, blank lines between; hits of a group are few (its k).
+
+    With `asked`, the groups there should be, those without a hit say so.
+    """
     one = hit_text(*[F.col(c) for c in ("rank", "file_path", "start_line", "end_line", "score", "symbol_name", "content")])
     ordered = F.array_sort(F.collect_list(F.struct("rank", one.alias("text"))))
-    return hits.groupBy(*group).agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n\n").alias("text"))
+    texts = hits.groupBy(*group).agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n\n").alias("text"))
+    return texts if asked is None else asked.select(*group).distinct().join(texts, group, "left").fillna(NOTHING_FOUND, ["text"])

@@ -1,7 +1,9 @@
 """A versioned table of vectors: keyed upsert, deletion, export.
 
-A version is a folder of parquet; a manifest names the current one and is
-replaced last, so readers see the old version or the new one, never a mixture.
+A table is a list of parquet folders (parts); a manifest names the parts of every
+table and is replaced last, so readers see the old version or the new one, never
+a mixture. A commit writes only what it is given: a table replaced is a new part,
+rows appended are one more, and all else is carried over by name.
 Vectors are kept once a content (point_id); places where the content occurs are
 kept apart, so removing one file leaves the vector to the others.
 """
@@ -19,8 +21,10 @@ from ..functions.scalars import sha256_uuid
 POINTS = "point_id string, content_hash string, vector array<float>"
 PLACES = "content_hash string, file_path string, start_line int, end_line int, node_type string, symbol_name string"
 LEAVES = "path string, hash string"
+NODES = "path string, hash string, is_file boolean, children array<string>"
 CACHE = "model string, content_hash string, vector array<float>, ts timestamp"
-TABLES = {"points": POINTS, "places": PLACES, "leaves": LEAVES, "cache": CACHE}
+TABLES = {"points": POINTS, "places": PLACES, "leaves": LEAVES, "nodes": NODES, "cache": CACHE}
+MAX_PARTS = 64  # of a table, before a commit that appends to it puts them together
 
 
 def upserted(existing: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
@@ -69,7 +73,7 @@ class VectorStore:
     def ensure(self) -> None:
         """Create the collection if it is absent; check its model and dimension if not."""
         if self.manifest() is None:
-            self._swap({"version": None})
+            self._swap({"parts": {}})
 
     def _swap(self, entry: dict) -> None:
         """Put the next manifest in place by one rename; it fails if another writer was first."""
@@ -86,18 +90,43 @@ class VectorStore:
     def table(self, name: str) -> DataFrame:
         """A table of the current version, empty if there is none."""
         found = self.manifest()
-        if not found or not found["version"]:
+        parts = found["parts"].get(name, []) if found else []
+        if not parts:
             return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.folder}/{found['version']}/{name}")
-
-    def commit(self, **tables: DataFrame) -> str:
-        """Write a new version; tables not given are carried over. The manifest comes last."""
-        version = f"v-{uuid.uuid4().hex[:12]}"
-        for name in TABLES:
-            (tables[name] if name in tables else self.table(name)).write.mode("overwrite").parquet(f"{self.folder}/{version}/{name}")
-        self._swap({"version": version})
+        return self.spark.read.schema(TABLES[name]).parquet(*[f"{self.folder}/{part}" for part in parts])
+
+    def commit(self, append: dict[str, DataFrame] | None = None, **tables: DataFrame) -> str:
+        """Write a new version from tables replaced and rows appended to others; the manifest comes last."""
+        version, found = f"v-{uuid.uuid4().hex[:12]}", self.manifest()
+        parts = dict(found["parts"]) if found else {}
+        for name, rows in (append or {}).items():
+            old = parts.get(name, [])
+            whole = len(old) >= MAX_PARTS
+            (self.table(name).unionByName(rows) if whole else rows).write.mode("overwrite").parquet(f"{self.folder}/{version}/{name}")
+            parts[name] = [*([] if whole else old), f"{version}/{name}"]
+        for name, rows in tables.items():
+            rows.write.mode("overwrite").parquet(f"{self.folder}/{version}/{name}")
+            parts[name] = [f"{version}/{name}"]
+        self._swap({"parts": parts})
         return version
 
+    def clear(self, name: str) -> None:
+        """Empty one table, such as the cache; the others stay."""
+        found = self.manifest()
+        if found and found["parts"].get(name):
+            self._swap({"parts": {k: v for k, v in found["parts"].items() if k != name}})
+
+    def prune_cache(self, as_of, max_age_ms: int) -> int:
+        """Take cache entries older than max_age_ms at `as_of` out; returns how many keys went."""
+        from .cache import latest_entries, pruned
+
+        held = latest_entries(self.table("cache"))
+        kept = pruned(held, as_of, max_age_ms)
+        gone = held.count() - kept.count()
+        if gone:
+            self.commit(cache=kept)
+        return gone
+
     def points(self) -> DataFrame:
         return self.table("points")
 

@@ -96,9 +96,11 @@ def _subset(s: SparkSession, d: str) -> DataFrame:
 
 
 def _upserted(s: SparkSession, d: str) -> DataFrame:
-    rows = table(s, d, "code_chunks").select(S.sha256_uuid(F.col("chunk_id")).alias("point_id"), "file_path", "start_line", F.struct("loaded_at", "row_id").alias("o")).dropna(subset=["point_id"])
-    none = rows.limit(0).drop("o")
-    return store.upserted(none, rows, "point_id", "o")
+    """The chunks' points, over which the points of all search results are put."""
+    chunks = table(s, d, "code_chunks").select(S.sha256_uuid(F.col("chunk_id")).alias("point_id"), "file_path", "start_line", F.struct("loaded_at", "row_id").alias("o")).dropna(subset=["point_id"])
+    hits = table(s, d, "search_results").filter("payload is not null").select("point_id", "payload.file_path", "payload.start_line", F.struct("searched_at", "search_id", "hit_rank", "payload.file_path", "payload.start_line").alias("o")).dropna(subset=["point_id"])
+    first = store.upserted(chunks.limit(0).drop("o"), chunks, "point_id", "o")
+    return store.upserted(first, hits, "point_id", "o")
 
 
 def _points(s: SparkSession, d: str) -> DataFrame:
@@ -144,8 +146,13 @@ def _semantic(s: SparkSession, d: str) -> DataFrame:
 
 def _probe_counts(s: SparkSession, d: str) -> DataFrame:
     chunks = table(s, d, "code_chunks").select("row_id", F.lower("content_hash").alias("content_hash")).dropna().distinct()
-    probed = cache.probe(chunks, table(s, d, "cache_entries"), "codemini-64")
-    return probed.agg(F.count(F.lit(1)).alias("chunks"), F.count_if(F.col("vector").isNotNull()).alias("hits"), F.countDistinct(F.when(F.col("vector").isNull(), F.col("content_hash"))).alias("to_embed"))
+    entries = table(s, d, "cache_entries")
+    parts = None
+    for r in entries.select("model").dropna().distinct().orderBy("model").collect():  # one row a model
+        counted = cache.probe(chunks, entries, r["model"]).agg(F.count(F.lit(1)).alias("chunks"), F.count_if(F.col("vector").isNotNull()).alias("hits"), F.countDistinct(F.when(F.col("vector").isNull(), F.col("content_hash"))).alias("to_embed"))
+        part = counted.select(F.lit(r["model"]).alias("model"), "*")
+        parts = part if parts is None else parts.unionByName(part)
+    return parts if parts is not None else s.createDataFrame([], "model string, chunks long, hits long, to_embed long")
 
 
 def _pruned(s: SparkSession, d: str) -> DataFrame:
@@ -164,25 +171,73 @@ def _packed(s: SparkSession, d: str) -> DataFrame:
     return _texts(s, d).select("doc_id", "text", F.inline(folds.pack_lines(S.text_lines(F.col("text")), 256))).withColumnRenamed("start", "start_line").withColumnRenamed("end", "end_line")
 
 
-def _incremental(s: SparkSession, d: str) -> DataFrame:
-    """Three runs of the indexer: all files, the same files again, and a set in which a third changed and a third left."""
+def _folder(s: SparkSession, name: str) -> str:
     import uuid
 
+    return f"{checkpoint_dir(s)}/{name}-{uuid.uuid4().hex}"
+
+
+def _remove(s: SparkSession, folder: str) -> None:
+    path = s.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(s.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _info(s: SparkSession, d: str) -> DataFrame:
+    """What a collection of all chunk contents says of itself."""
+    held = store.VectorStore(s, _folder(s, "collection"), 64, "none")
+    held.ensure()
+    held.commit(points=store.as_points(table(s, d, "code_chunks").select(F.col("chunk_id").alias("content_hash"), F.lit(None).cast("array<float>").alias("vector")).dropna(subset=["content_hash"])))
+    info = held.info()
+    held.drop()
+    return s.createDataFrame([(info["points"], info["status"])], "points long, status string")
+
+
+def _json_lines(s: SparkSession, d: str) -> DataFrame:
+    """Documents written as JSON lines and read again."""
+    from ..sources.files import write_jsonl
+
+    folder = _folder(s, "lines")
+    write_jsonl(_documents(s, d).select("doc_id", "text", "lang"), folder)
+    back = cut(s.read.schema("doc_id long, text string, lang string").json(folder))
+    _remove(s, folder)
+    return back
+
+
+def _matrices(s: SparkSession, d: str) -> DataFrame:
+    """Embeddings written as raw matrices and read again: ends and length of every vector."""
+    from ..sources.files import read_matrix, write_matrix
+
+    folder = _folder(s, "matrix")
+    write_matrix(table(s, d, "embeddings").select(F.col("vec_id").alias("row"), F.col("embedding").alias("vector")), folder)
+    back = cut(read_matrix(s, folder, 64).select(F.col("vector")[0].cast("double").alias("first"), F.col("vector")[63].cast("double").alias("last"), F.size("vector").cast("long").alias("dims")))
+    _remove(s, folder)
+    return back
+
+
+def _runs(s: SparkSession, d: str) -> list[tuple[str, dict]]:
+    """Three runs of the indexer: all files, the same files again, and a set in which a third changed and a third left; then its stats."""
     from ..config import IndexConfig
     from .pipeline import Indexer
 
     files = cut(whole_files(table(s, d, "code_chunks")).filter(F.lower("file_path").rlike(r"\.tsx?$")).select(F.concat_ws("/", "repo", "root_dir", "file_path").alias("path"), "text"))
     hashed = files.withColumn("hash", F.sha2("text", 256))
-    part = F.pmod(F.xxhash64("path"), F.lit(3))
+    part = F.conv(F.substring(F.md5("path"), 1, 4), 16, 10).cast("int") % 3
     later = files.filter(part != 0).withColumn("text", F.when(part == 1, F.concat("text", F.lit("\nexport const added = 1;\n"))).otherwise(F.col("text"))).withColumn("hash", F.sha2("text", 256))
-    indexer = Indexer(s, IndexConfig(index_dir=f"{checkpoint_dir(s)}/index-{uuid.uuid4().hex}"))
-    rows = []
-    for name, given in (("first", hashed), ("same", hashed), ("changed", later)):
-        got = indexer.index(given)
-        rows.append((name, *[got[k] for k in ("total_files", "added", "modified", "removed", "total_chunks", "new_chunks", "cached_chunks")]))
-    rows.append(("stats", indexer.stats()["files"], 0, 0, 0, indexer.stats()["points"], indexer.stats()["cache_entries"], 0))
+    indexer = Indexer(s, IndexConfig(index_dir=_folder(s, "index")))
+    out = [(name, indexer.index(given)) for name, given in (("first", hashed), ("same", hashed), ("changed", later))]
+    out.append(("stats", indexer.stats()))
     indexer.reset()
-    return s.createDataFrame(rows, "run string, total_files long, added long, modified long, removed long, total_chunks long, new_chunks long, cached_chunks long")
+    return out
+
+
+def _incremental(s: SparkSession, d: str) -> DataFrame:
+    rows = [(name, got.get("total_files", got.get("files")), *[got.get(k, 0) for k in ("added", "modified", "removed", "failed_files")]) for name, got in _runs(s, d)]
+    return s.createDataFrame(rows, "run string, total_files long, added long, modified long, removed long, failed_files long")
+
+
+def _incremental_chunks(s: SparkSession, d: str) -> DataFrame:
+    rows = [(name, *[got.get(k, 0) for k in ("total_chunks", "new_chunks", "cached_chunks", "points", "cache_entries")]) for name, got in _runs(s, d)]
+    return s.createDataFrame(rows, "run string, total_chunks long, new_chunks long, cached_chunks long, points long, cache_entries long")
 
 
 def queries() -> dict[str, Query]:
@@ -229,7 +284,9 @@ def queries() -> dict[str, Query]:
         "delete_by_paths": lambda s, d: store.without(_points(s, d), _tests_paths(s, d), "file_path"),
         "delete_by_ids": lambda s, d: store.without(_points(s, d), table(s, d, "search_results").select("point_id"), "point_id"),
         "scroll_points": lambda s, d: store.scrolled(_points(s, d)),
-        "collection_info": lambda s, d: _points(s, d).agg(F.count(F.lit(1)).alias("points"), F.sum("places").alias("places")),
+        "collection_info": _info,
+        "jsonl_round_trip": _json_lines,
+        "matrix_round_trip": _matrices,
         "index_stats": lambda s, d: table(s, d, "code_chunks").agg(F.countDistinct("repo", "root_dir", "file_path").alias("total_files"), F.countDistinct("row_id").alias("total_chunks"), F.countDistinct("chunk_id").alias("distinct_contents")),
         "enrich_line_ranges": _enriched,
         "format_for_llm": _formatted,
@@ -238,6 +295,7 @@ def queries() -> dict[str, Query]:
         "path_safe_names": lambda s, d: table(s, d, "code_chunks").select("repo", S.path_safe(F.concat_ws(":", "repo", "root_dir")).alias("safe")).distinct(),
         "ts_chunk_files": lambda s, d: chunk_files(whole_files(table(s, d, "code_chunks")).filter(F.lower("file_path").rlike(r"\.tsx?$")).select(F.concat_ws("/", "repo", "root_dir", "file_path").alias("file_path"), "text")),
         "incremental_index_run": _incremental,
+        "incremental_index_chunks": _incremental_chunks,
     }
 
 
@@ -348,15 +406,18 @@ def oracle_sql() -> dict[str, str]:
         "token_budget_batches": "with recursive d as (select floor(doc_id / 256)::bigint run, doc_id, ceil(length(text) / 3)::bigint tokens, row_number() over (partition by floor(doc_id / 256) order by doc_id) i from documents where text is not null), k as (select run, doc_id, tokens, i, 0 batch_no, tokens used, 1 n from d where i = 1 union all select d.run, d.doc_id, d.tokens, d.i, case when used + d.tokens > 2000 or n >= 24 then batch_no + 1 else batch_no end, case when used + d.tokens > 2000 or n >= 24 then d.tokens else used + d.tokens end, case when used + d.tokens > 2000 or n >= 24 then 1 else n + 1 end from k join d on d.run = k.run and d.i = k.i + 1) select run, doc_id, tokens, batch_no from k",
         "hash_embed": "with " + _HASHED.format(a="a", b="b", key="doc_id", table="documents") + " select id doc_id, bucket, round(w, 6) weight from b",
         "semantic_search_documents": "with " + _HASHED.format(a="a", b="b", key="doc_id", table="documents") + ", " + _HASHED.format(a="x", b="y", key="item_id", table="eval_items") + ", e as (select q.item_id query_id, d.doc_id corpus_id from (select item_id from eval_items where text is not null) q cross join (select doc_id from documents where text is not null) d), s as (select e.query_id, e.corpus_id, round(coalesce(m.score, 0), 6) score from e left join (select y.id query_id, b.id corpus_id, sum(y.w * b.w) score from y join b using (bucket) group by 1, 2) m using (query_id, corpus_id)) select *, row_number() over (partition by query_id order by score desc, corpus_id)::int as rank from s qualify rank <= 5",
-        "cache_probe_hit_miss": f"with c as (select distinct row_id, lower(content_hash) content_hash from code_chunks where content_hash is not null), e as (select content_hash, vector from {latest} where model = 'codemini-64') select count(*) chunks, count(e.vector) hits, count(distinct case when e.vector is null then c.content_hash end) to_embed from c left join e using (content_hash)",
+        "cache_probe_hit_miss": f"with c as (select distinct row_id, lower(content_hash) content_hash from code_chunks where content_hash is not null), e as (select model, content_hash, vector from {latest}), m as (select distinct model from cache_entries where model is not null) select m.model, count(*) chunks, count(e.vector) hits, count(distinct case when e.vector is null then c.content_hash end) to_embed from m cross join c left join e on e.model = m.model and e.content_hash = c.content_hash group by 1",
         "cache_prune_ttl": f"with e as (select * from {latest}) select model, content_hash from e where epoch_ms((select max(ts) from e)) - epoch_ms(ts) <= 90::bigint * 86400000",
         "cache_latest_entry": f"select model, content_hash, ts, coalesce(len(vector), -1)::bigint dims from {latest}",
         "cache_stats": f"select count(*) entries, sum(coalesce(len(vector), 0) * 4)::bigint size_bytes from {latest}",
-        "upsert_last_wins": f"with r as (select {_UUID.format(h='chunk_id')} point_id, file_path, start_line, row_number() over (partition by chunk_id order by loaded_at desc, row_id desc) rn from code_chunks) select point_id, file_path, start_line from r where rn = 1",
+        "upsert_last_wins": f"with r as (select {_UUID.format(h='chunk_id')} point_id, file_path, start_line, row_number() over (partition by chunk_id order by loaded_at desc, row_id desc) rn from code_chunks), n as (select point_id, payload.file_path file_path, payload.start_line start_line, row_number() over (partition by point_id order by searched_at desc, search_id desc, hit_rank desc, payload.file_path desc, payload.start_line desc) rn from search_results where payload is not null and point_id is not null) select point_id, file_path, start_line from n where rn = 1 union all select point_id, file_path, start_line from r where rn = 1 and point_id not in (select point_id from n)",
         "delete_by_paths": f"with {_POINTS} select * from p where not starts_with(file_path, 'tests/')",
         "delete_by_ids": f"with {_POINTS} select * from p where point_id not in (select point_id from search_results where point_id is not null)",
         "scroll_points": f"with {_POINTS} select * from p order by point_id limit 100",
-        "collection_info": f"with {_POINTS} select count(*) points, sum(places)::bigint places from p",
+        "collection_info": "select count(distinct chunk_id) points, 'green' status from code_chunks",
+        "jsonl_round_trip": "select doc_id, text, lang from documents",
+        "matrix_round_trip": "select embedding[1]::double as first, embedding[64]::double as last, len(embedding)::bigint dims from embeddings",
+        "incremental_index_run": r"with f as (select distinct concat_ws('/', repo, root_dir, file_path) path from code_chunks where regexp_matches(lower(file_path), '\.tsx?$')), p as (select ('0x' || substr(md5(path), 1, 4))::int % 3 part from f), c as (select count(*) n, count(*) filter (part = 0) gone, count(*) filter (part = 1) changed from p) select 'first' run, n total_files, n added, 0 modified, 0 removed, 0 failed_files from c union all select 'same', n, 0, 0, 0, 0 from c union all select 'changed', n - gone, 0, changed, gone, 0 from c union all select 'stats', n - gone, 0, 0, 0, 0 from c",
         "index_stats": "select count(distinct (repo, root_dir, file_path)) total_files, count(distinct row_id) total_chunks, count(distinct chunk_id) distinct_contents from code_chunks",
         "enrich_line_ranges": "with t as (select 'docs/' || doc_id file_path, string_split(text, chr(10)) ls from documents where text is not null) select file_path, s::int start_line, e::int end_line, coalesce(array_to_string(ls[s:e], chr(10)), '') as content from t cross join (values (1, 2), (3, 400)) v(s, e) union all select file_path || '.gone', 1, 1, '[File not found: ' || file_path || '.gone]' from t",
         "format_for_llm": _RANKED.format(k=5) + ", x as (select query_id, rank, '--- #' || rank || ' vectors/' || label || ':1-' || label || ' (score: ' || printf('%.3f', round(score, 2)) || ') ' || case when label % 2 = 0 then '[s' || label || '] ' else '' end || '---' || chr(10) || 'id ' || corpus_id t from r join embeddings on vec_id = corpus_id) select query_id, string_agg(t, chr(10) || chr(10) order by rank) as text from x group by 1",

@@ -24,6 +24,39 @@ def read_matrix(spark: SparkSession, path: str, dim: int) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, row long, vector array<float>")
 
 
+def write_matrix(vectors: DataFrame, path: str) -> None:
+    """row, vector as one raw little-endian float32 matrix a partition, in order of row; read_matrix reads them back.
+
+    Files are named by their place, so their order is that of the rows.
+    """
+    folder = path.rstrip("/")
+    rows = vectors.select("row", F.col("vector").cast("array<float>").alias("vector")).dropna()
+    ordered = rows.repartitionByRange(max(1, rows.sparkSession.sparkContext.defaultParallelism), "row").sortWithinPartitions("row")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        data = [np.stack(pdf["vector"].to_numpy()).astype("<f4").tobytes() for pdf in batches if len(pdf)]
+        if data:
+            from pyspark import TaskContext
+
+            yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "content": [b"".join(data)]})
+
+    parts = ordered.mapInPandas(run, "part int, content binary")
+    hadoop = rows.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = hadoop.getFileSystem(rows.sparkSession.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(hadoop)
+    for r in parts.toLocalIterator():  # one matrix at a time
+        out = fs.create(rows.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/part-{r['part']:06d}.bin"), True)
+        out.write(bytearray(r["content"]))
+        out.close()
+
+
+def file_size(spark: SparkSession, path: str) -> int:
+    """Bytes of a file or folder, 0 if there is none."""
+    file = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.getContentSummary(file).getLength() if fs.exists(file) else 0
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
     """JSON lines, non-ASCII kept, null fields kept."""
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)

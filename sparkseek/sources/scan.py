@@ -63,11 +63,24 @@ def _ignored(rules: list[tuple[str, list[str]]], path: str, folder: bool) -> boo
     return verdict
 
 
+def global_ignore_lines() -> list[str]:
+    """Lines of the user's ignore file: core.excludesFile of the git configuration, else git/ignore of the configuration folder."""
+    base = Path(os.environ.get("XDG_CONFIG_HOME") or Path.home() / ".config") / "git"
+    file = base / "ignore"
+    for config in (Path.home() / ".gitconfig", base / "config"):
+        if config.is_file():
+            m = re.search(r"^\s*excludesfile\s*=\s*(.+?)\s*$", config.read_text("utf-8", "replace"), re.I | re.M)
+            if m:
+                file = Path(m[1].strip('"')).expanduser()
+                break
+    return file.read_text("utf-8", "replace").split("\n") if file.is_file() else []
+
+
 def list_files(root: str, extensions: tuple[str, ...] = (), skip_dirs: tuple[str, ...] = ("node_modules",)) -> list[str]:
     """Sorted paths below root: no hidden names, none that ignore files exclude, none in skip_dirs.
 
     Extensions are compared without regard to letter case; without any, all
-    files that have one. Ignore files count in every folder.
+    files that have one. Ignore files count in every folder, the user's own for all.
     """
     top = Path(root)
     if not top.is_dir():
@@ -93,7 +106,7 @@ def list_files(root: str, extensions: tuple[str, ...] = (), skip_dirs: tuple[str
                 if dot and stem and extension and (not wanted or extension.lower() in wanted):
                     out.append(path)
 
-    walk("", [])
+    walk("", [("", global_ignore_lines())])
     return sorted(out, key=lambda p: p.encode("utf-8", "surrogatepass"))
 
 

@@ -142,6 +142,54 @@ def test_top_k_forms_agree(spark):
     assert a == b and len(a) == 35
 
 
+def test_blocks_of_many_queries_with_ids_of_any_type(spark):
+    rng = random.Random(5)
+    rows = [(f"v{i:04}", [float(rng.randrange(-3, 4)) for _ in range(4)]) for i in range(900)] + [("null", None), (None, [1.0] * 4)]
+    table = spark.createDataFrame(rows, "id string, vector array<double>")
+    queries, corpus = table.withColumnRenamed("id", "query_id"), table.withColumnRenamed("id", "corpus_id")
+    for same in (True, False):
+        want = {(r["query_id"], r["corpus_id"], r["score"], r["rank"]) for r in knn.top_k(queries, corpus, 7, same).collect()}
+        assert len(want) == 900 * 7
+        for block, size in ((4096, 65_536), (100, 300)):
+            assert {(r["query_id"], r["corpus_id"], r["score"], r["rank"]) for r in knn.top_k_blocked(queries, corpus, 7, same, block, size).collect()} == want
+    assert knn.top_k_blocked(queries.limit(0), corpus, 3).collect() == [] == knn.top_k_blocked(queries, corpus.limit(0), 3).collect()
+    with pytest.raises(ValueError):
+        knn.top_k(spark.range(5000).select(F.col("id").alias("query_id"), F.array(F.lit(1.0)).alias("vector")), corpus, 3)
+
+
+def test_names_for_sql(spark):
+    from sparkseek.chunk.files import register_chunk_table
+
+    S.register(spark)
+    register_chunk_table(spark)
+    row = spark.sql("select sha256_uuid(sha2('a', 256)) u, est_tokens('abcd') t, cosine_similarity(array(1D, 0D), array(1D, 1D)) c").first()
+    assert row["t"] == 2 and row["c"] == pytest.approx(0.5**0.5) and row["u"] == spark.range(1).select(S.sha256_uuid(F.sha2(F.lit("a"), 256)).alias("u")).first()["u"]
+    assert [r["symbol_name"] for r in spark.sql("select * from chunk_file('a.ts', 'export function f() { return 1; }')").collect()] == ["f"]
+    assert spark.range(1).select(S.unit(F.array(F.lit(3.0), F.lit(4.0))).alias("v")).first()["v"] == pytest.approx([0.6, 0.8])
+    assert spark.range(1).select(S.unit(F.array(F.lit(0.0), F.lit(0.0))).alias("v")).first()["v"] == [0.0, 0.0]
+
+
+def test_spread_runs_no_job(spark):
+    from sparkseek.operators.codefiles import spread
+
+    context = spark.sparkContext
+    context.setJobGroup("spread", "")
+    spread(spark.range(100).groupBy((F.col("id") % 7).alias("k")).count())
+    spread(spark.range(100, numPartitions=64).filter("id > 3"))
+    assert list(context.statusTracker().getJobIdsForGroup("spread")) == []
+    context.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as N
+
+    from sparkseek.session import checkpoint_dir
+
+    empty = N(sc=lambda: N(getCheckpointDir=lambda: N(isEmpty=lambda: True)))
+    with pytest.raises(ValueError):
+        checkpoint_dir(N(conf=N(get=lambda *a: None), sparkContext=N(master="spark://x:7077", _jsc=empty)))
+
+
 def test_nearest(spark):
     points = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 0.0]), ("c", [0.0, 1.0]), ("z", [0.0, 0.0])], "id string, vector array<double>")
     assert [r["id"] for r in knn.nearest(points, [2.0, 0.0], 3).collect()] == ["a", "b", "c"]

@@ -60,6 +60,97 @@ def test_index_lifecycle(spark, tree, tmp_path_factory):
     assert indexer.store.info() == {"points": 0, "status": "not_found"}
 
 
+def test_a_file_that_fails_is_tried_again(spark, tmp_path):
+    from sparkseek.chunk.files import chunk_file
+
+    rows = [("a.ts", "export const a = 1;"), ("bad.ts", "FAIL"), ("c.ts", "export const c = 1;")]
+    files = spark.createDataFrame([(p, str(hash(t)), t) for p, t in rows], "path string, hash string, text string")
+    indexer = Indexer(spark, IndexConfig(index_dir=str(tmp_path / "index"), min_chunk_tokens=1))
+    told = []
+
+    def fails(path, text, most=512, least=64):
+        if text == "FAIL":
+            raise RuntimeError("unreadable")
+        return chunk_file(path, text, most, least)
+
+    indexer.reader = fails
+    first = indexer.index(files, lambda stage, counts: told.append((stage, counts["failed_files"])))
+    assert (first["added"], first["failed_files"], first["total_chunks"]) == (3, 1, 2) and told == [("compare", 0), ("embed", 1), ("done", 1)]
+    assert {r["path"] for r in indexer.store.table("leaves").collect()} == {"a.ts", "c.ts"} and "bad.ts" not in {r["path"] for r in indexer.store.table("nodes").collect()}
+    indexer.reader = chunk_file
+    again = indexer.index(files)
+    assert (again["added"], again["failed_files"], again["total_chunks"]) == (1, 0, 1)
+    assert {r["file_path"] for r in indexer.store.table("places").collect()} == {"a.ts", "bad.ts", "c.ts"}
+
+
+def test_store_writes_only_what_changes(spark, tmp_path):
+    from sparkseek.operators.store import VectorStore
+
+    store = VectorStore(spark, str(tmp_path / "s"), 2, "m")
+    store.ensure()
+    entry = lambda h, t: spark.createDataFrame([("m", h, [1.0, 2.0], t)], "model string, content_hash string, vector array<float>, t long").selectExpr("model", "content_hash", "vector", "timestamp_seconds(t) ts")
+    store.commit(cache=entry("a", 0), leaves=spark.createDataFrame([("p", "h")], "path string, hash string"))
+    before = store.manifest()["parts"]
+    store.commit({"cache": entry("b", 1000)})
+    after = store.manifest()["parts"]
+    assert after["leaves"] == before["leaves"] and after["cache"][0] == before["cache"][0] and len(after["cache"]) == 2 and store.table("cache").count() == 2
+    from pyspark.sql import functions as F
+
+    assert store.prune_cache(F.timestamp_seconds(F.lit(1000)), 999_999) == 1 and [r["content_hash"] for r in store.table("cache").collect()] == ["b"]
+    store.clear("cache")
+    assert store.table("cache").count() == 0 and store.table("leaves").count() == 1
+
+
+def test_providers(spark, tmp_path):
+    from sparkseek.embed.hashing import HashingProvider
+    from sparkseek.embed.providers import RemoteProvider, budget_batches, choose_provider
+
+    def transport(texts):
+        if len(texts) > 3 or any(len(t) > 30 for t in texts):
+            raise ValueError("too much")
+        return [(i, [float(len(t)), 1.0]) for i, t in reversed(list(enumerate(texts)))]
+
+    rows = spark.createDataFrame([(i, "x" * i if i else None) for i in range(40)], "id int, content string").repartition(2)
+    remote = RemoteProvider(transport, "m", 2, max_chars=30, budget=12, most=3)
+    assert {r["id"]: r["vector"][0] for r in remote.embed(rows).collect()} == {i: float(min(i, 30)) for i in range(40)}
+    assert choose_provider(remote, lambda: HashingProvider(8)) is remote and remote.dim == 2
+    said = []
+    broken = RemoteProvider(lambda texts: 1 / 0, "m", 2)
+    assert choose_provider(broken, lambda: HashingProvider(8), said.append).model == "hash-8" and len(said) == 1 and choose_provider(None, lambda: HashingProvider(8)).dim == 8
+    assert list(budget_batches(["a" * 30, "b" * 6, "c" * 100, "d"], 12, 2)) == [(0, 2), (2, 3), (3, 4)] and list(budget_batches([])) == []
+
+
+def test_dataset_parts(spark, tmp_path):
+    from sparkseek.sources.dataset import dataset_info, is_cached, read_rows
+
+    frame = spark.createDataFrame([("q", "c", 1.0, "test"), ("r", "c", 1.0, "train")], "query_id string, corpus_id string, score double, split string").coalesce(1)
+    frame.write.parquet(str(tmp_path / "by_column"))
+    frame.limit(1).write.parquet(str(tmp_path / "by_folder/test"))
+    assert read_rows(spark, str(tmp_path / "by_column"), "qrels", "test").count() == 1 and read_rows(spark, str(tmp_path / "by_column")).count() == 2
+    assert read_rows(spark, str(tmp_path / "by_folder"), "qrels", "test").count() == 1
+    assert not is_cached(spark, str(tmp_path))
+    for name in ("corpus", "queries", "qrels"):
+        (tmp_path / f"{name}.jsonl").write_text('{"_id": 1, "text": "x"}\n')
+    assert is_cached(spark, str(tmp_path)) and dataset_info("cosqa") == ("test", "python") and dataset_info("other") is None
+
+
+def test_ignore_file_of_the_user(tree, tmp_path_factory, monkeypatch):
+    home = tmp_path_factory.mktemp("home")
+    (home / "git").mkdir()
+    (home / "git/ignore").write_text("c.ts\n")
+    monkeypatch.setenv("XDG_CONFIG_HOME", str(home))
+    monkeypatch.setenv("HOME", str(home))
+    assert list_files(str(tree), (".ts",)) == ["_d/d.ts", "_u.ts", "b.TS", "sub/keep/skip.ts"]
+
+
+def test_nothing_found(spark):
+    from sparkseek.operators.enrich import formatted
+
+    hits = spark.createDataFrame([("q", 1, "a.ts", 1, 2, 0.5, None, "x")], "query_id string, rank int, file_path string, start_line int, end_line int, score double, symbol_name string, content string")
+    asked = spark.createDataFrame([("q",), ("none",)], "query_id string")
+    assert {r["query_id"]: r["text"].split("\n")[-1] for r in formatted(hits, ["query_id"], asked).collect()} == {"q": "x", "none": "No relevant code found."}
+
+
 def test_stream_of_files(spark, tmp_path):
     from sparkseek.streaming.ingest import index_stream
 
@@ -85,7 +176,20 @@ def test_evaluation(spark, tmp_path):
         (tmp_path / f"{name}.jsonl").write_text("\n".join(map(json.dumps, rows)) + "\n\n")
     data = load(*[read_rows(spark, str(tmp_path / f"{n}.jsonl")) for n in parts], max_corpus=3)
     assert data.corpus.count() == 3 and data.queries.count() == 2
-    assert evaluate(data).first()["mrr@1"] == 1.0
+    result = evaluate(data, name="small").first()
+    assert result["mrr@1"] == 1.0 and (result["dataset"], result["model"], result["num_queries"], result["num_corpus"]) == ("small", "hash-256", 2, 3) and result["total_ms"] >= result["search_ms"]
+    from sparkseek.embed.hashing import HashingProvider
+    from sparkseek.operators.store import VectorStore
+
+    asked = []
+
+    class Counting(HashingProvider):
+        def embed(self, rows, text="content"):
+            asked.append(rows.count())
+            return super().embed(rows, text)
+
+    cache = VectorStore(spark, str(tmp_path / "cache"), 256, "hash-256")
+    assert [evaluate(data, Counting(256), cache).first()["mrr@1"] for _ in range(2)] == [1.0, 1.0] and asked == [3, 2, 0, 0] and cache.table("cache").count() == 5
     assert registry(spark).count() == 7
 
 
@@ -97,6 +201,12 @@ def test_matrix_and_json_lines(spark, tmp_path):
 
     (tmp_path / "m.bin").write_bytes(np.arange(12, dtype="<f4").tobytes())
     assert [tuple(r["vector"]) for r in read_matrix(spark, str(tmp_path / "m.bin"), 4).orderBy("row").collect()] == [(0, 1, 2, 3), (4, 5, 6, 7), (8, 9, 10, 11)]
+    from sparkseek.sources.files import write_matrix
+
+    rows = spark.createDataFrame([(i, [float(i), -1.0]) for i in range(50)], "row int, vector array<double>").repartition(3)
+    write_matrix(rows, str(tmp_path / "matrix"))
+    back = [r["vector"][0] for r in read_matrix(spark, str(tmp_path / "matrix"), 2).orderBy("file", "row").collect()]
+    assert back == [float(i) for i in range(50)]
     write_jsonl(spark.createDataFrame([(1, "ä"), (2, None)], "a int, b string").coalesce(1), str(tmp_path / "out"))
     assert count_lines(spark, str(tmp_path / "out")) == 2
     one = spark.range(1)
