@@ -28,8 +28,8 @@ _ALNUM = re.compile(r"[^\W_]+")
 _BEFORE_OBJECT = frozenset("= ( , [ : ? && || ?? ... return default yield await => |".split()) | {"&", "as", "satisfies"}
 _MEMBER_START = frozenset(["STR", "NUM", "[", "...", "PRIVATE"])
 _AFTER_NAME = frozenset([":", ",", "}", "(", "?", "=", "<"])
-_MAY_HOLD = re.compile(r"(?:[=(,\[:?&|]|\breturn|\bdefault|=>\s*\()\s*\{|\binterface\b|^\s*\{", re.M)
 _LINE_GOES_ON = frozenset(": | & => < , ( [ { = ? .".split())
+HOT_COPIES = 100_000  # groups of so many records are told to the tasks, so that their rows need not meet in one
 _CODE = (".ts", ".tsx", ".js", ".cjs", ".json")
 
 
@@ -136,7 +136,7 @@ class _Form:
 def canonical(path: str | None, content: str) -> tuple[str, str]:
     """(root digest in hex, canonical text) of a content; the language follows the path's extension."""
     name = (path or "").lower()
-    if name.endswith(_CODE) and _MAY_HOLD.search(content):
+    if name.endswith(_CODE) and "{" in content:
         tokens = lex_js(content, name.endswith(".tsx"))
         form = _Form(tokens)
         if form.free:
@@ -176,10 +176,13 @@ def copy_groups(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
 def equal_records(chunks: DataFrame) -> DataFrame:
     """first_row, copy_row: the smallest row_id of each group and each other one; a record alone gives no row."""
     groups, rows = copy_groups(chunks)
-    several = groups.filter("copies > 1")
-    by_digest = several.groupBy("digest").agg(F.min("first_row").alias("first_row"), F.count(F.lit(1)).alias("texts"))
+    several = cut(groups.filter("copies > 1"))
+    by_digest = several.groupBy("digest").agg(F.min("first_row").alias("first_row"), F.count(F.lit(1)).alias("texts"), F.sum("copies").alias("copies"))
     # One text a digest, but for a collision: then the text itself decides.
-    clear = rows.select("row_id", "digest").join(by_digest.filter("texts = 1").drop("texts"), "digest").select("first_row", F.col("row_id").alias("copy_row"))
+    single, places = by_digest.filter("texts = 1"), rows.select("row_id", "digest")
+    hot = F.broadcast(single.filter(F.col("copies") >= HOT_COPIES).select("digest", "first_row"))  # at most a row for each HOT_COPIES records
+    cold = places.join(hot, "digest", "left_anti").join(single.filter(F.col("copies") < HOT_COPIES).select("digest", "first_row"), "digest")
+    clear = places.join(hot, "digest").unionByName(cold).select("first_row", F.col("row_id").alias("copy_row"))
     collided = by_digest.filter("texts > 1").select("digest")
     unclear = rows.join(collided, "digest", "left_semi").join(several.select("digest", "canonical", "first_row"), ["digest", "canonical"]).select("first_row", F.col("row_id").alias("copy_row"))
     return clear.unionByName(unclear).filter("copy_row <> first_row")

@@ -50,7 +50,7 @@ def queries() -> dict[str, Query]:
         "p7_redacted": lambda s, d: redacted_chunks(_chunks(s, d)),
         "p8_found": lambda s, d: _leaks(s, d).filter("exact").select("doc_id", "item_id"),
         "p8_leaks": _leaks,
-        "p8_items": lambda s, d: _leaks(s, d).filter("exact").groupBy("item_id").agg(F.count(F.lit(1)).alias("leaking_docs"), F.max("matched_chars").alias("longest")),
+        "p8_items": lambda s, d: _leaks(s, d).filter("exact").groupBy("item_id").agg(F.count(F.lit(1)).alias("leaking_docs")),
         "p9_mix": lambda s, d: mixed_documents(table(s, d, "documents"), table(s, d, "mix_targets")),
         "p9_shares": lambda s, d: reached_shares(table(s, d, "documents"), table(s, d, "mix_targets")),
         "p9_classifier": lambda s, d: classifier_report(table(s, d, "documents"), table(s, d, "mix_targets")),
@@ -67,6 +67,10 @@ s as (select a.model, a.h, b.h o, list_dot_product(a.v, b.v) / (a.n * b.n) score
 t as (select * from s qualify row_number() over (partition by model, h order by score desc, o) <= 5)
 select distinct model, least(h, o) hash_a, greatest(h, o) hash_b from t where score >= 0.85"""
 
+_LEFT_OUT = """with l as (select model, vector::double[] v from cache_entries where model is not null and content_hash is not null qualify row_number() over (partition by model, content_hash order by ts desc, loaded_at desc) = 1),
+r as (select model, case when v is null then 'null' when len(v) <> regexp_extract(model, '([0-9]+)$', 1)::int then 'wrong dimension' when len(list_filter(v, lambda x: isfinite(x))) < len(v) then 'not finite' when len(list_filter(v, lambda x: x <> 0)) = 0 then 'all zero' end reason from l)
+select model, reason, count(*) entries from r where reason is not null group by all"""
+
 _LEAKED = r"""with w as (select item_id id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') ws, len(regexp_extract_all(text, '[\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}\x{ff66}-\x{ff9f}]')) c from eval_items where text is not null),
 i as (select id, ws, array_to_string(ws, '') t, c > length(array_to_string(ws, '')) / 4.0 dense from w),
 d as (select doc_id id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') ws from documents where text is not null),
@@ -79,4 +83,4 @@ select distinct dg.id doc_id, ig.id item_id from dg join ig using (g) union sele
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries it can express on whole tables: exhaustive comparison in place of the operators' methods."""
-    return {"p2_found": _SIMILAR, "p8_found": _LEAKED}
+    return {"p2_found": _SIMILAR, "p2_left_out": _LEFT_OUT, "p8_found": _LEAKED, "p8_items": f"select item_id, count(*) leaking_docs from ({_LEAKED}) group by 1"}

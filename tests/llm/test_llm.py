@@ -33,6 +33,7 @@ def test_same_up_to_formatting():
     assert form("const a = { y: [2, 1] };") != form("const a = { y: [1, 2] };")
     assert form("interface I { a: string; b?: number }") == form("interface I {\n  b?: number\n  a: string\n}")
     assert form("a(); b();") != form("b(); a();")
+    assert form("function* g() { yield { a: 1, b: 2 }; }") == form("function* g() { yield { b: 2, a: 1 }; }") and form("f(/* c */ { a: 1, b: 2 } satisfies T)") == form("f(/* c */ { b: 2, a: 1 } satisfies T)")
     assert form("function f() { a = 1; b = 2 }") != form("function f() { b = 2; a = 1 }")
     assert form('{"a": {"c": 1, "d": 2}, "b": 3}', "a.json") == form('{"b":3,"a":{"d":2,"c":1}}', "a.json")
     assert form("x_y = 1", "a.py") == form("xY=1", "a.py") and form("", "a.ts") == form(" ;{}", "b.py")
@@ -48,10 +49,12 @@ def test_equal_records(spark):
     assert copies.equal_records(table.limit(0)).collect() == []
 
 
-def test_hot_group_of_copies(spark):
-    table = spark.range(3000).select(F.col("id").alias("row_id"), F.lit("a").alias("repo"), F.lit("r").alias("root_dir"), F.lit("f.py").alias("file_path"), F.lit(1).alias("start_line"), F.when(F.col("id") % 3 == 0, F.lit("same")).otherwise(F.concat(F.lit("x"), F.col("id"))).alias("content"))
-    got = copies.equal_records(table).collect()
-    assert len(got) == 999 and {r["first_row"] for r in got} == {0}
+@pytest.mark.parametrize("hot", [100_000, 500])
+def test_hot_group_of_copies(spark, monkeypatch, hot):
+    monkeypatch.setattr(copies, "HOT_COPIES", hot)
+    table = spark.range(3000).select(F.col("id").alias("row_id"), F.lit("a").alias("repo"), F.lit("r").alias("root_dir"), F.lit("f.py").alias("file_path"), F.lit(1).alias("start_line"), F.when(F.col("id") % 3 == 0, F.lit("same")).otherwise(F.concat(F.lit("x"), F.floor(F.col("id") / 30))).alias("content"))
+    got = {(r["first_row"], r["copy_row"]) for r in copies.equal_records(table).collect()}
+    assert got == {(0, i) for i in range(3, 3000, 3)} | {(i // 30 * 30 + 1, i) for i in range(3000) if i % 3 and i % 30 > 1}
 
 
 # 2 neighbours
