@@ -59,6 +59,12 @@ def normalized_qrels(rows: DataFrame, position: list[str]) -> DataFrame:
     return keyed.groupBy("query_id", "corpus_id").agg(F.max("v").alias("v")).select("query_id", "corpus_id", "v.rel")
 
 
+def qrels_by_query(qrels: DataFrame) -> DataFrame:
+    """query_id and a map of its judged documents to their relevance; a query's judgements are few beside the corpus."""
+    pairs = F.collect_list(F.struct("corpus_id", "rel"))
+    return qrels.dropna(subset=["query_id", "corpus_id"]).groupBy("query_id").agg(F.map_from_entries(F.sort_array(pairs)).alias("rels"))
+
+
 def relevant_first(corpus: DataFrame, relevant: DataFrame, most: int | None) -> DataFrame:
     """All relevant entries, then others in order of position until `most`; corpus: corpus_id, pos; no limit if most is null or 0."""
     flagged = corpus.join(relevant.select("corpus_id").distinct().withColumn("is_rel", F.lit(True)), "corpus_id", "left").fillna(False, ["is_rel"])

@@ -87,6 +87,11 @@ class Indexer:
         """Points and status of the store, files of the saved snapshot, entries of the cache."""
         return self.store.info() | {"files": self.store.table("leaves").count(), "cache_entries": latest_entries(self.store.table("cache")).count()}
 
+    def stats_frame(self) -> DataFrame:
+        """stats() as one row: points, status, files, cache_entries."""
+        found = self.stats()
+        return self.spark.createDataFrame([tuple(found[k] for k in ("points", "status", "files", "cache_entries"))], "points long, status string, files long, cache_entries long")
+
     def reset(self) -> None:
         """Drop vectors, cache and snapshot."""
         self.store.drop()

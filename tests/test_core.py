@@ -157,6 +157,11 @@ def test_blocks_of_many_queries_with_ids_of_any_type(spark):
         knn.top_k(spark.range(5000).select(F.col("id").alias("query_id"), F.array(F.lit(1.0)).alias("vector")), corpus, 3)
 
 
+def test_judgements_as_maps(spark):
+    rows = spark.createDataFrame([("q", "a", 1.0), ("q", "b", 0.0), ("r", "a", 2.0), (None, "a", 1.0)], "query_id string, corpus_id string, rel double")
+    assert {r["query_id"]: r["rels"] for r in ranking.qrels_by_query(rows).collect()} == {"q": {"a": 1.0, "b": 0.0}, "r": {"a": 2.0}}
+
+
 def test_names_for_sql(spark):
     from sparkseek.chunk.files import register_chunk_table
 

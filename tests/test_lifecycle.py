@@ -53,7 +53,7 @@ def test_index_lifecycle(spark, tree, tmp_path_factory):
     queries = spark.createDataFrame([("q", "export function cc() { return 'merkle tree hash'; }")], "query_id string, text string")
     best = indexer.search_enriched(queries, scan(spark, str(tree), (".ts",)), 1).collect()
     assert [(r["file_path"], r["rank"]) for r in best] == [("sub/c.ts", 1)] and "merkle" in best[0]["content"] and best[0]["score"] == pytest.approx(1, abs=1e-6)
-    assert indexer.stats()["status"] == "green"
+    assert indexer.stats()["status"] == "green" and indexer.stats_frame().first()["points"] == indexer.stats()["points"]
     with pytest.raises(ValueError):
         Indexer(spark, IndexConfig(index_dir=folder, dim=8)).store.ensure()
     indexer.reset()
@@ -143,6 +143,14 @@ def test_ignore_file_of_the_user(tree, tmp_path_factory, monkeypatch):
     assert list_files(str(tree), (".ts",)) == ["_d/d.ts", "_u.ts", "b.TS", "sub/keep/skip.ts"]
 
 
+def test_settings_from_environment(tmp_path, monkeypatch):
+    (tmp_path / "x.env").write_text("# c\nexport SPARKSEEK_COLLECTION='from file'\nSPARKSEEK_TOP_K=3 # few\nSPARKSEEK_EXTENSIONS=.js, TS\nnothing\n")
+    monkeypatch.setenv("SPARKSEEK_TOP_K", "4")
+    config = IndexConfig.from_environment(str(tmp_path / "x.env"), model="given", index_dir=None)
+    assert (config.collection, config.top_k, config.extensions, config.model, config.index_dir) == ("from file", 4, (".js", ".ts"), "given", IndexConfig().index_dir)
+    assert IndexConfig.from_environment(None).top_k == 4
+
+
 def test_nothing_found(spark):
     from sparkseek.operators.enrich import formatted
 
