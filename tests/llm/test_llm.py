@@ -341,6 +341,39 @@ def test_short_descriptions_are_kept_however_often_they_recur(spark):
     assert {(r["repo"], r["count"]) for r in got} == {("r", 25), ("c", 25)}
 
 
+def test_general_descriptions_that_recur_on_unrelated_functions_are_dropped(spark):
+    loops = "for (const x of a) { go(x); }"
+    files = [
+        ("a", "one.ts", "// Internal helper of the parser.\nfunction readRow(a) { return a[0]; }\n"),
+        ("b", "two.py", 'def send_mail(a):\n    """Internal helper of the parser."""\n    for x in a:\n        print(x)\n'),
+        ("a", "copy.ts", f"// Main routine of the wizard.\nexport const walkRows = (a) => {{ {loops} }};\n"),
+        ("b", "copy.ts", f"// Main routine of the wizard.\nexport const walkRows = (a) => {{ {loops} }};\n// Sorts rows.\nfunction f(a) {{ return a; }}\n"),
+        ("c", "renamed.ts", f"// Main routine of the wizard.\nexport const visitAll = (b) => {{ {loops} }};\n"),
+        ("a", "once.ts", "// Generic wrapper of sockets.\nfunction open1(a) { return a; }\n"),
+        ("a", "again.ts", f"// Generic wrapper of sockets.\nfunction shut(a) {{ {loops} }}\n// Sorts rows.\nfunction g(a) {{ {loops} }}\n"),
+    ]
+    got = {(r["repo"], r["file_path"], r["symbol"]) for r in docpairs.documented_functions(chunk_table(spark, files)).collect()}
+    kept = {("a", "copy.ts", "walkRows"), ("b", "copy.ts", "walkRows"), ("c", "renamed.ts", "visitAll"), ("a", "once.ts", "open1"), ("a", "again.ts", "shut")}
+    assert got == kept | {("b", "copy.ts", "f"), ("a", "again.ts", "g")}
+
+
+@pytest.mark.parametrize(
+    ("language", "code", "last"),
+    [
+        ("ts", "const f = async (a) => a + g({ b: 1 })", "=>"),
+        ("ts", "const f = (a) => { return { b: a }; }", "=>"),
+        ("ts", "const f = function <T>(a: { b: T }): T { return a.b; }", "function"),
+        ("ts", "function f(a) { return a; }", "}"),
+        ("python", "def f(a):\n    if a:\n        return 1\n    return 2", ":"),
+        ("python", "def f(a): return a", ":"),
+    ],
+)
+def test_code_of_a_function_ends_with_it(language, code, last):
+    t = lex(language, code + "\nrest = 1\n")
+    end = docpairs._code_end(t, t.kind.index(last) + 1, language == "python")
+    assert t.text[: t.start[end]].rstrip() == code
+
+
 # 7 secrets
 KEY = "AKIA" + "Q7Z2M4XW9R3T6Y8B"
 FOUND = [
