@@ -181,6 +181,27 @@ def test_copies_of_third_party_code(spark):
     assert provenance.foreign_code(chunk_table(spark, files).limit(0)).collect() == []
 
 
+def test_fingerprints_put_together_by_halves():
+    codes = np.random.default_rng(1).integers(0, 1 << 32, 40).astype(np.uint64)
+    base, whole = 0x9E3779B97F4A7C15, 1 << 64
+    for size in range(1, 14):
+        want = []
+        for i in range(len(codes) - size + 1):
+            value = 0
+            for code in codes[i : i + size]:
+                value = (value * base + int(code)) % whole
+            want.append(value)
+        assert provenance._rolling(codes, size).tolist() == want
+        assert provenance._least(codes, size).tolist() == [min(codes[i : i + size]) for i in range(len(codes) - size + 1)]
+    assert provenance.winnow("a.ts", "f(a);" * 50).tolist() == sorted(set(provenance.winnow("a.ts", "f(a);" * 50).tolist()), key=lambda x: x % whole)
+
+
+def test_data_is_told_from_code_by_its_share():
+    rows = "const rows = [" + ", ".join(f"'abcde {i}'" for i in range(200)) + "];\n"
+    assert provenance.own_marks("a.ts", rows) == "data"
+    assert provenance.own_marks("a.ts", rows + "\n".join(f"report(first + other{chr(97 + i % 26)});" for i in range(200))) is None
+
+
 def test_long_comments_at_the_end():
     mark = provenance.own_marks
     licence = "\n * ".join(["/*! lib v1.2.3 | (c) the lib contributors | MIT License"] + ["all that follows is a very long text of a licence"] * 80) + "\n */\n"
@@ -210,6 +231,11 @@ def test_broken_typescript(text):
     assert furthest_failure("ts", text)[1] >= 0
 
 
+def test_verdicts_do_not_depend_on_the_texts_before():
+    texts = ["const a = (b) => [b, { c: 1 }];", "const a = (b => [;", "class A { m<T>(x: T) { return x; } }", "const a = (b) => [b, { c: ];"] * 2
+    assert [furthest_failure("ts", x)[1] < 0 for x in texts] == [True, False, True, False] * 2
+
+
 def test_language_bounds():
     assert furthest_failure("js", "let a: number = 1;")[1] >= 0 and furthest_failure("js", "let a = 1")[1] < 0
     assert furthest_failure("tsx", "const a = <B c='1' {...d}>it's <i/>{e}</B>;")[1] < 0 and furthest_failure("ts", "const a = <B c='1'>x</B>;")[1] >= 0
@@ -266,6 +292,14 @@ def test_gll_takes_left_recursion_and_ambiguity():
     assert Gll(Islands(grammar), ["n", "+", "n", "+", "n", "EOF"], [0] * 7).ends("E", 0) == [1, 3, 5]
 
 
+def test_nonterminals_that_can_only_be_empty_take_no_stack_node():
+    t = lex("ts", "function f(a) { return a; }")
+    gll = Gll(docpairs._JS, t.kind, t.match)
+    assert gll.ends("Function", 0) == [len(t.kind) - 1] and {name for name, _ in gll.stack} == {"Function"}
+    t = lex("ts", "export async function f<T>(a): T {}")
+    assert Gll(docpairs._JS, t.kind, t.match).ends("Function", 0) == [len(t.kind) - 1]
+
+
 SOURCE = """import a from 'a';
 // Adds two numbers and keeps the result.
 export function add(a: number, b: number): { sum: number } { return { sum: a + b }; }
